@@ -7,6 +7,11 @@ on ``(series..., order...)`` (so a huge series spans many partitions), each
 partition counts its rows per series, a running sum over those counts (a
 table of at most #partitions + #series rows) gives every (partition, series)
 its starting offset, and each row adds its position inside the partition.
+
+The range-partitioned frame is pinned (checkpoint, or persist when no shared
+folder is configured) before it is read twice: range bounds come from a
+sample and row order after a shuffle is not fixed, so two evaluations of the
+same lazy frame could disagree about which row sits where.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 _LOW33 = (1 << 33) - 1
 
 
 def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
                 partition_by: list[str] | tuple[str, ...] = (), out: str = "idx",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, pin: str = "auto") -> DataFrame:
     """Add ``out`` = 0-based position of the row within its series
     (``partition_by``) in ``order_by`` order."""
     spark = df.sparkSession
@@ -30,6 +37,7 @@ def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
               .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
+    ranged = materialize(ranged.drop("_mid"), pin)
     counts = ranged.groupBy("_pid", *partition_by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*partition_by).orderBy("_pid") \
@@ -38,7 +46,7 @@ def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
     joined = ranged.join(offsets.select("_pid", *partition_by, "_offset", "_first"),
                          on=["_pid", *partition_by])
     return joined.withColumn(out, F.col("_offset") + F.col("_pos") - F.col("_first")) \
-        .drop("_mid", "_pid", "_pos", "_offset", "_first")
+        .drop("_pid", "_pos", "_offset", "_first")
 
 
 def preview(df: DataFrame, order_by: list[str] | tuple[str, ...], n: int = 20) -> DataFrame:

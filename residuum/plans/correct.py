@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,33 +22,14 @@ from ..functions.metrics import rmse, series_report
 from ..operators import models as M
 from ..operators.encode import assemble
 from ..operators.indexing import fit_indexer
+from ..operators.materialize import materialize
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean
 from ..operators.split import holdout_split
-from ..session import checkpoint_dir
 from ..spec import CalibrationSpec
 
 FEATURES_COL = "features"
 
 
-def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
-    """Pin a frame that several jobs will read.
-
-    ``checkpoint`` writes it to the cluster's shared checkpoint folder (lineage
-    cut; a lost executor costs a re-read, not a recompute); ``persist`` keeps
-    it in memory and on local disk (a lost executor recomputes its blocks
-    from lineage).  ``auto`` checkpoints when the session names a folder.
-    """
-    if how == "auto":
-        how = "checkpoint" if checkpoint_dir(df.sparkSession) else "persist"
-    if how == "checkpoint":
-        return df.checkpoint(eager=True)
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if how == "none":
-        return df
-    raise ValueError(f"unknown materialisation {how!r}")
-
-
 def prepare_frame(df: DataFrame, spec: CalibrationSpec) -> DataFrame:
     """``key, observed, predicted, features..., delta_e, features(vector)``."""
     return assemble(add_delta(clean(df, spec), spec), spec.features, out=FEATURES_COL)
@@ -60,7 +40,7 @@ class CorrectionResult:
     technique: str
     spec: CalibrationSpec
     model: M.FittedModel
-    series: DataFrame     # key, observed, predicted, delta_e, e_hat, improved
+    series: DataFrame     # key, observed, predicted, features, delta_e, e_hat, improved
     metrics: DataFrame    # series, rmse, pbias, cd, nse (3 rows)
     holdout: DataFrame    # technique, eval_scope, n_eval, rmse (1 row)
     _pinned: DataFrame | None = None
@@ -117,7 +97,7 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     else:
         raise ValueError("scope must be 'all' or 'holdout'")
     series = fitted.transform(to_score).select(
-        spec.key, spec.observed, spec.predicted, DELTA,
+        spec.key, spec.observed, spec.predicted, *spec.features, DELTA,
         F.col(M.PREDICTION).alias(E_HAT),
         (F.col(spec.predicted) + F.col(M.PREDICTION)).alias(IMPROVED),
     )

@@ -73,14 +73,14 @@ def calibration_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, label, day, hour, minute`` from ``events``: an integer label
-    (the value in hundredths) with three integer features, several of them
-    zero on many rows - the shape the LIBSVM encoder is exercised on."""
+    """``event_id, hour, day, minute, cents`` from ``events``: small integers,
+    zero on many rows (hour 0, minute 0), plus the value in hundredths - the
+    shape the sparse labelled-vector encoder is exercised on."""
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
         "event_id",
-        _hundredths(F.col("value")).alias("label"),
-        F.dayofmonth("ts").cast("int").alias("day"),
         F.hour("ts").cast("int").alias("hour"),
+        F.dayofmonth("ts").cast("int").alias("day"),
         F.minute("ts").cast("int").alias("minute"),
+        _hundredths(F.col("value")).alias("cents"),
     )
