@@ -81,20 +81,25 @@ def goodness_of_fit(df: DataFrame, sim: str, obs: str, *group_by: str) -> DataFr
 
 
 def series_report(df: DataFrame, pairs: dict[str, tuple[str, str]],
-                  *group_by: str) -> DataFrame:
+                  *group_by: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Several (sim, obs) pairs measured in a single aggregate, returned as one
-    row per series: ``[group..], series, rmse, pbias, cd, nse``.
+    row per series: ``[group..], series, rmse, pbias, cd, nse[, extra...]``.
 
     ``pairs`` maps a series name to its (sim, obs) columns, e.g. the reference's
     three-way report ``{"original": (predicted, observed), "improved":
-    (improved, observed), "delta_error": (e_hat, delta_e)}``.
+    (improved, observed), "delta_error": (e_hat, delta_e)}``.  ``extra`` maps
+    names to further aggregates computed in the same pass; they are repeated on
+    every series row.
     """
     aggs = []
     for i, (_, (sim, obs)) in enumerate(pairs.items()):
         aggs += metric_columns(sim, obs, prefix=f"_s{i}_")
+    extra = dict(extra or {})
+    aggs += [c.alias(name) for name, c in extra.items()]
     wide = df.groupBy(*group_by).agg(*aggs) if group_by else df.agg(*aggs)
     rows = ", ".join(
         f"'{name}', " + ", ".join(f"_s{i}_{m}" for m in METRICS)
         for i, name in enumerate(pairs))
     stacked = f"stack({len(pairs)}, {rows}) AS (series, {', '.join(METRICS)})"
-    return wide.selectExpr(*[f"`{g}`" for g in group_by], stacked)
+    return wide.selectExpr(*[f"`{g}`" for g in group_by], stacked,
+                           *[f"`{name}`" for name in extra])

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..session import checkpoint_dir
 
 
+def pinned_path(df: DataFrame) -> str | None:
+    """A fresh folder under the cluster's shared checkpoint folder, if any."""
+    base = checkpoint_dir(df.sparkSession)
+    return f"{base.rstrip('/')}/residuum-{uuid.uuid4().hex}" if base else None
+
+
 def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
-    """``checkpoint`` writes the frame to the cluster's shared checkpoint folder
-    (lineage cut; a lost executor costs a re-read, not a recompute);
-    ``persist`` keeps it in memory and on local disk (a lost executor
-    recomputes its blocks from lineage).  ``auto`` checkpoints when the
-    session names a folder, else persists.  ``none`` returns ``df``."""
+    """Compute ``df`` once and return a frame that reads the stored result.
+
+    ``table``    writes it as parquet into the shared checkpoint folder named
+                 by ``spark.checkpoint.dir`` and reads it back: one computation,
+                 lineage cut, columnar re-reads (pruning and pushdown apply),
+                 and a lost executor costs a re-read, not a recompute.
+    ``checkpoint`` Spark's reliable RDD checkpoint into the same folder (it
+                 computes the plan twice: once for the action, once to write).
+    ``persist``  memory and local disk; a lost executor recomputes its blocks
+                 from lineage.  Used by ``auto`` when no shared folder exists.
+    ``none``     returns ``df`` unchanged.
+    """
     if how == "auto":
-        how = "checkpoint" if checkpoint_dir(df.sparkSession) else "persist"
+        how = "table" if checkpoint_dir(df.sparkSession) else "persist"
+    if how == "table":
+        path = pinned_path(df)
+        if path is None:
+            raise ValueError("materialize('table') needs spark.checkpoint.dir")
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         return df.checkpoint(eager=True)
     if how == "persist":

@@ -18,21 +18,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import rmse, series_report
+from ..functions.metrics import METRICS, rmse, series_report
 from ..operators import models as M
 from ..operators.encode import assemble
 from ..operators.indexing import fit_indexer
 from ..operators.materialize import materialize
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean
-from ..operators.split import holdout_split
+from ..operators.split import holdout_split, train_flag
 from ..spec import CalibrationSpec
 
 FEATURES_COL = "features"
 
 
 def prepare_frame(df: DataFrame, spec: CalibrationSpec) -> DataFrame:
-    """``key, observed, predicted, features..., delta_e, features(vector)``."""
-    return assemble(add_delta(clean(df, spec), spec), spec.features, out=FEATURES_COL)
+    """``key, observed, predicted, features..., delta_e`` (typed and cleaned)."""
+    return add_delta(clean(df, spec), spec)
 
 
 @dataclass
@@ -41,24 +41,41 @@ class CorrectionResult:
     spec: CalibrationSpec
     model: M.FittedModel
     series: DataFrame     # key, observed, predicted, features, delta_e, e_hat, improved
-    metrics: DataFrame    # series, rmse, pbias, cd, nse (3 rows)
-    holdout: DataFrame    # technique, eval_scope, n_eval, rmse (1 row)
+    report: DataFrame     # series, rmse, pbias, cd, nse, technique, eval_scope, n_eval,
+                          # holdout_rmse (3 rows, ONE aggregate pass over the scored rows)
     _pinned: DataFrame | None = None
 
+    @property
+    def metrics(self) -> DataFrame:
+        """``series, rmse, pbias, cd, nse`` (3 rows)."""
+        return self.report.select("series", *METRICS)
+
+    @property
+    def holdout(self) -> DataFrame:
+        """``technique, eval_scope, n_eval, rmse`` of the error model (1 row)."""
+        return self.report.where(F.col("series") == "original").select(
+            "technique", "eval_scope", "n_eval", F.col("holdout_rmse").alias("rmse"))
+
     def release(self) -> None:
+        """Drop a persisted input (a stored table stays in the checkpoint folder)."""
         if self._pinned is not None and self._pinned.storageLevel.useMemory:
             self._pinned.unpersist()
 
 
-def three_way_report(series: DataFrame, spec: CalibrationSpec, e_hat: str = E_HAT,
-                     improved: str = IMPROVED, *group_by: str) -> DataFrame:
-    """``series, rmse, pbias, cd, nse`` for the original prediction, the
-    improved prediction and the predicted error (sim = e_hat, obs = delta_e)."""
-    return series_report(series, {
-        "original": (spec.predicted, spec.observed),
-        "improved": (improved, spec.observed),
-        "delta_error": (e_hat, DELTA),
-    }, *group_by)
+def three_way_pairs(spec: CalibrationSpec, e_hat: str = E_HAT,
+                    improved: str = IMPROVED) -> dict[str, tuple[str, str]]:
+    """The reference's three series: the original prediction, the improved
+    prediction (both against observed) and the predicted error (sim = e_hat,
+    obs = delta_e)."""
+    return {"original": (spec.predicted, spec.observed),
+            "improved": (improved, spec.observed),
+            "delta_error": (e_hat, DELTA)}
+
+
+def three_way_report(series: DataFrame, spec: CalibrationSpec, *group_by: str,
+                     extra: dict | None = None) -> DataFrame:
+    """``[group..], series, rmse, pbias, cd, nse[, extra..]`` in one aggregate."""
+    return series_report(series, three_way_pairs(spec), *group_by, extra=extra)
 
 
 def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
@@ -69,37 +86,49 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
 
     ``scope='all'`` scores every row (the reference's behaviour: improved
     metrics are then partly in-sample); ``scope='holdout'`` scores only the
-    rows the model did not see.  ``prepared=True`` means ``df`` already is the
-    output of ``prepare_frame``.
+    rows the model did not see.  ``prepared=True`` means ``df`` already holds
+    the columns ``prepare_frame`` produces.
+
+    Jobs: materialise (1), indexer (1, trees only), the learner's own passes,
+    then ONE aggregate over the scored rows for the 12 metrics and the holdout
+    RMSE together (the hash split is a pure expression of the key, so holdout
+    membership is known on every scored row).
     """
+    if scope not in ("all", "holdout"):
+        raise ValueError("scope must be 'all' or 'holdout'")
     tech = M.technique(technique)
     frame = df if prepared else prepare_frame(df, spec)
-    pinned = materialize(frame, materialise)
+    stored = materialize(frame, materialise)
+    pinned = assemble(stored, spec.features, out=FEATURES_COL)
     labelled = pinned.where(F.col(DELTA).isNotNull())
 
-    if tech.eval_scope == "holdout":
+    uses_holdout = tech.eval_scope == "holdout"
+    if uses_holdout:
         train, evaluation = holdout_split(labelled, spec.key, train_fraction, split, seed)
     else:
         train, evaluation = labelled, labelled
     indexer = fit_indexer(labelled, FEATURES_COL) if tech.uses_indexer else None
     fitted = M.fit(technique, train, DELTA, spec.features, FEATURES_COL, indexer, seed, **params)
 
-    holdout = fitted.transform(evaluation).agg(
-        F.lit(technique).alias("technique"),
-        F.lit(tech.eval_scope).alias("eval_scope"),
-        F.count(F.lit(1)).alias("n_eval"),
-        rmse(M.PREDICTION, DELTA).alias("rmse"),
-    )
-    if scope == "all":
-        to_score = pinned
-    elif scope == "holdout":
-        to_score = evaluation
-    else:
-        raise ValueError("scope must be 'all' or 'holdout'")
+    to_score = evaluation if scope == "holdout" else pinned
     series = fitted.transform(to_score).select(
         spec.key, spec.observed, spec.predicted, *spec.features, DELTA,
         F.col(M.PREDICTION).alias(E_HAT),
         (F.col(spec.predicted) + F.col(M.PREDICTION)).alias(IMPROVED),
     )
-    metrics = three_way_report(series, spec)
-    return CorrectionResult(technique, spec, fitted, series, metrics, holdout, pinned)
+    err = F.col(E_HAT) - F.col(DELTA)
+    extra = {"technique": F.lit(technique), "eval_scope": F.lit(tech.eval_scope)}
+    if uses_holdout and split == "random" and scope == "all":
+        # membership of a random split is not a column: one more pass
+        h = fitted.transform(evaluation).agg(F.count(F.lit(1)).alias("n"),
+                                             rmse(M.PREDICTION, DELTA).alias("r")).first()
+        extra["n_eval"] = F.lit(int(h["n"]))
+        extra["holdout_rmse"] = F.lit(h["r"]).cast("double")
+    else:
+        held = (~train_flag(spec.key, train_fraction)
+                if uses_holdout and scope == "all" else F.lit(True))
+        in_eval = held & F.col(DELTA).isNotNull()
+        extra["n_eval"] = F.count(F.when(in_eval, 1))
+        extra["holdout_rmse"] = F.sqrt(F.avg(F.when(in_eval, err * err)))
+    report = three_way_report(series, spec, extra=extra)
+    return CorrectionResult(technique, spec, fitted, series, report, stored)

@@ -117,7 +117,7 @@ SQL["original_metrics"] = _with(CAL, f"""agg AS (
          count(*) AS n_rows, avg(observed) AS mo, avg(predicted) AS mp, sum(observed) AS so
   FROM cal)""") + f"""
 SELECT {metric_final('o_')}, n_rows, {rnd_sql('mo', 4)} AS mean_observed,
-       {rnd_sql('mp', 4)} AS mean_predicted, {rnd_sql('so', 2)} AS sum_observed FROM agg"""
+       {rnd_sql('mp', 4)} AS mean_predicted, {rnd_sql('so', 0)} AS sum_observed FROM agg"""
 
 SQL["glr_report"] = _with(CAL, GLR, three_way("sc2"))
 

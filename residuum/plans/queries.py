@@ -67,7 +67,7 @@ def q_original_metrics(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         rnd(F.avg("observed"), 4).alias("mean_observed"),
         rnd(F.avg("predicted"), 4).alias("mean_predicted"),
-        rnd(F.sum("observed"), 2).alias("sum_observed"),
+        rnd(F.sum("observed"), 0).alias("sum_observed"),
     )
 
 
@@ -75,7 +75,7 @@ def q_original_metrics(spark, sf):
 
 def _glr_two_features(spark, sf):
     spec = SPEC.with_features(*GLR_FEATURES)
-    return correct(calibration_orders(spark, sf), spec, "glr", materialise="none")
+    return correct(calibration_orders(spark, sf), spec, "glr")
 
 
 def q_glr_report(spark, sf):
@@ -129,9 +129,8 @@ def _stump(spark, sf):
     """Depth-1 tree of delta_e on n_lines: trained on the hash-train rows
     (indexer fitted on all rows), scored on every row."""
     spec = SPEC.with_features(STUMP_FEATURE)
-    frame = assemble(add_delta(calibration_orders(spark, sf), spec), spec.features)
-    return correct(frame, spec, "decision_tree", prepared=True, materialise="none",
-                   maxDepth=1)
+    frame = add_delta(calibration_orders(spark, sf), spec)
+    return correct(frame, spec, "decision_tree", prepared=True, maxDepth=1)
 
 
 def q_stump_split(spark, sf):
@@ -262,11 +261,7 @@ def q_alignment(spark, sf):
 
 def _full_correction(name: str) -> Query:
     def run(spark, sf):
-        res = correct(calibration_orders(spark, sf), SPEC, name)
-        h = res.holdout.first()   # one row
-        return res.metrics.select(
-            "*", F.lit(name).alias("technique"), F.lit(h["eval_scope"]).alias("eval_scope"),
-            F.lit(h["rmse"]).cast("double").alias("holdout_rmse"))
+        return correct(calibration_orders(spark, sf), SPEC, name).report
     run.__doc__ = f"Full correction with {name} on the 5 calibration features."
     return run
 

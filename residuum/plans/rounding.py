@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Decimals kept per metric.
-DIGITS = {"rmse": 4, "pbias": 8, "cd": 10, "nse": 10, "mse": 2}
+DIGITS = {"rmse": 4, "pbias": 8, "cd": 10, "nse": 10, "mse": -1}
 
 
 def rnd(c: Column | str, digits: int) -> Column:
