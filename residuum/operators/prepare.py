@@ -22,7 +22,7 @@ def _no_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def clean(df: DataFrame, spec: CalibrationSpec) -> DataFrame:
+def clean(df: DataFrame, spec: CalibrationSpec, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Typed, NULL-normalised calibration rows: ``key, observed, predicted,
     features...`` as doubles.
 
@@ -32,8 +32,11 @@ def clean(df: DataFrame, spec: CalibrationSpec) -> DataFrame:
       fitting and of the metrics but still scored);
     * a missing feature counts as 0.0 - the value an empty field ends up with
       once the reference writes its sparse labelled vectors.
+
+    ``keep`` names further columns carried through unchanged (e.g. a time).
     """
     cols = [F.col(spec.key)] if spec.key in df.columns else []
+    cols += [F.col(c) for c in keep if c not in (spec.key, spec.observed, spec.predicted)]
     cols += [
         _no_nan(F.col(spec.observed).cast("double")).alias(spec.observed),
         _no_nan(F.col(spec.predicted).cast("double")).alias(spec.predicted),

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,8 @@ from ..operators.split import hash_bucket, train_flag
 from ..sources.readers import explode_series, read_prediction_list
 from ..sources.tables import (CALIBRATION_SPEC, calibration_orders, event_features,
                               read_table)
-from .correct import correct, three_way_report
+from ..sinks import report_json
+from .correct import correct
 from .rounding import DIGITS, rnd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,11 +278,8 @@ def q_glr_summary(spark, sf):
 
 
 def q_report_json(spark, sf):
-    """K5: the 12 metrics of the depth-5 tree correction as one JSON document."""
-    res = correct(calibration_orders(spark, sf), SPEC, "decision_tree")
-    wide = res.metrics.groupBy().pivot("series", ["original", "improved", "delta_error"]) \
-        .agg(*[F.first(m).alias(m) for m in METRICS])
-    return wide.select(F.to_json(F.struct(*wide.columns)).alias("report"))
+    """K5: the metrics of the depth-5 tree correction as one JSON document."""
+    return report_json(correct(calibration_orders(spark, sf), SPEC, "decision_tree").report)
 
 
 QUERIES: dict[str, Query] = {

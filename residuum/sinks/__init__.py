@@ -1 +1,72 @@
+"""Writers for the correction's outputs.
 
+Every writer is a distributed ``DataFrame.write``: files are written by the
+executors, one per task, never gathered on the driver.  The only driver-side
+formatting is ``accuracy_text`` (a single number).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.metrics import METRICS
+from ..operators.encode import to_libsvm
+from ..operators.prepare import DELTA, delta_table
+from ..spec import CalibrationSpec
+
+
+def write_delta_table(df: DataFrame, spec: CalibrationSpec, path: str, fmt: str = "csv",
+                      mode: str = "errorifexists", keep_key: bool = False) -> None:
+    """K1: ``delta_e, features...`` with a header (``delta_e`` first)."""
+    out = delta_table(df, spec, keep_key=keep_key)
+    writer = out.write.mode(mode)
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.format(fmt).save(path)
+
+
+def write_libsvm(df: DataFrame, path: str, label: str | None,
+                 features: list[str] | tuple[str, ...], mode: str = "errorifexists") -> None:
+    """K2: one sparse labelled-vector line per row (``label=None``: label 1).
+    Readable with ``sources.readers.read_libsvm``."""
+    to_libsvm(df, label, features).write.mode(mode).text(path)
+
+
+def write_predictions(series: DataFrame, path: str, key: str,
+                      prediction: str = "e_hat", mode: str = "errorifexists") -> None:
+    """K4: the keyed per-row predictions (not a positional list)."""
+    series.select(key, prediction).write.mode(mode).parquet(path)
+
+
+def accuracy_text(rmse: float | None) -> str:
+    """K4: the holdout accuracy line, C ``%g`` formatting of one number."""
+    return "Root Mean Squared Error (RMSE) on test data = %g" % (
+        float("nan") if rmse is None else rmse)
+
+
+def report_json(report: DataFrame) -> DataFrame:
+    """K5: the three-series report (``series, rmse, pbias, cd, nse[,
+    holdout_rmse]``) as one JSON object ``{original_rmse, ..., delta_error_nse
+    [, holdout_rmse]}`` (one aggregate over the 3 report rows).  Series values
+    stay in tables; only the metrics travel as JSON."""
+    names = ["original", "improved", "delta_error"]
+    cols = [F.first(F.when(F.col("series") == s, F.col(m)), ignorenulls=True).alias(f"{s}_{m}")
+            for s in names for m in METRICS]
+    if "holdout_rmse" in report.columns:
+        cols.append(F.first("holdout_rmse").alias("holdout_rmse"))
+    wide = report.agg(*cols)
+    return wide.select(F.to_json(F.struct(*wide.columns)).alias("report"))
+
+
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    report_json(report).coalesce(1).write.mode(mode).text(path)
+
+
+def write_series_csv(series: DataFrame, path: str, time: str, predicted: str,
+                     observed: str, mode: str = "errorifexists") -> None:
+    """K6: headerless ``time, predicted, observed, observed - predicted``."""
+    out = series.select(time, predicted, observed,
+                        (F.col(observed) - F.col(predicted)).alias(DELTA))
+    out.write.mode(mode).option("header", False).csv(path)

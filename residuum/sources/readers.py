@@ -20,23 +20,12 @@ from pyspark.sql import types as T
 from ..spec import CalibrationSpec
 
 
-def _dedupe(names: list[str]) -> list[str]:
-    """Duplicate header names resolved by position: a, a_2, a_3 ..."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        k = seen.get(n, 0) + 1
-        seen[n] = k
-        out.append(n if k == 1 else f"{n}_{k}")
-    return out
-
-
 def read_calibration(spark: SparkSession, path: str, fmt: str = "csv",
                      schema: T.StructType | str | None = None,
                      key: str | None = "row_id") -> tuple[DataFrame, CalibrationSpec]:
     """Read a calibration table once and resolve its roles by position.
 
-    CSV: header row, ``NaN``/``NA``/empty read as missing.  Without a
+    CSV: header row, ``NaN`` and empty fields read as missing.  Without a
     ``schema`` the types are inferred (an extra pass; give a schema at scale).
     If ``key`` is absent from the file a stable row id is added (monotonic:
     unique, not dense; order follows the file splits).
@@ -45,8 +34,7 @@ def read_calibration(spark: SparkSession, path: str, fmt: str = "csv",
         reader = spark.read.option("header", True).option("nanValue", "NaN") \
             .option("nullValue", "")
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(path)
-        df = df.toDF(*_dedupe(df.columns))
+        df = reader.csv(path)   # duplicate header names come back as name + position
     else:
         df = spark.read.format(fmt).load(path)
     if key and key not in df.columns:

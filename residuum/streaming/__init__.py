@@ -1 +1,49 @@
+"""Correction of a stream of calibration rows with an already fitted model.
 
+Scoring is a stateless projection (clean -> assemble -> model transform ->
+improved), so it runs per micro-batch with no state.  The goodness-of-fit
+metrics are declarative aggregates (count, sums, central moments) whose
+buffers merge, so Structured Streaming keeps them as state: either one
+running report (``complete`` mode) or one report per event-time window with
+a watermark (``append`` mode: a window is emitted once the watermark passes
+it, and its state is dropped).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.encode import assemble
+from ..operators.models import PREDICTION, FittedModel
+from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean
+from ..plans.correct import FEATURES_COL, three_way_report
+from ..spec import CalibrationSpec
+
+
+def correct_stream(stream: DataFrame, spec: CalibrationSpec, fitted: FittedModel,
+                   keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``key, [keep...], observed, predicted, delta_e, e_hat, improved`` for
+    every incoming row (works on batch frames too)."""
+    vec = assemble(add_delta(clean(stream, spec, keep), spec), spec.features, out=FEATURES_COL)
+    return fitted.transform(vec).select(
+        spec.key, *keep, spec.observed, spec.predicted, DELTA,
+        F.col(PREDICTION).alias(E_HAT),
+        (F.col(spec.predicted) + F.col(PREDICTION)).alias(IMPROVED))
+
+
+def running_report(scored: DataFrame, spec: CalibrationSpec) -> DataFrame:
+    """The three-series report over everything seen so far (``complete``)."""
+    return three_way_report(scored, spec)
+
+
+def windowed_report(scored: DataFrame, spec: CalibrationSpec, time_col: str,
+                    window: str, watermark: str) -> DataFrame:
+    """One three-series report per event-time window (``append`` with a
+    watermark: late rows within ``watermark`` still count, later ones are
+    dropped by Structured Streaming).  A zone-less timestamp is read in the
+    session time zone."""
+    timed = scored.withColumn(time_col, F.col(time_col).cast("timestamp")) \
+        .withWatermark(time_col, watermark) \
+        .withColumn("window", F.window(time_col, window))
+    return three_way_report(timed, spec, "window")
