@@ -2,11 +2,13 @@
 predictions and measure how much the correction helped."""
 
 from .spec import CalibrationSpec
-from .plans.correct import CorrectionResult, correct, materialize, prepare_frame, three_way_report
+from .plans.correct import (CorrectionResult, compare_techniques, correct, prepare_frame,
+                            three_way_report)
+from .operators.materialize import materialize
 from .functions.metrics import cd, goodness_of_fit, mse, nse, pbias, rmse, series_report
 
 __all__ = [
-    "CalibrationSpec", "CorrectionResult", "correct", "materialize", "prepare_frame",
+    "CalibrationSpec", "CorrectionResult", "compare_techniques", "correct", "materialize", "prepare_frame",
     "three_way_report", "cd", "goodness_of_fit", "mse", "nse", "pbias", "rmse",
     "series_report",
 ]

@@ -19,18 +19,18 @@ def pinned_path(df: DataFrame) -> str | None:
 def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     """Compute ``df`` once and return a frame that reads the stored result.
 
-    ``table``    writes it as parquet into the shared checkpoint folder named
-                 by ``spark.checkpoint.dir`` and reads it back: one computation,
-                 lineage cut, columnar re-reads (pruning and pushdown apply),
-                 and a lost executor costs a re-read, not a recompute.
-    ``checkpoint`` Spark's reliable RDD checkpoint into the same folder (it
-                 computes the plan twice: once for the action, once to write).
+    ``checkpoint`` Spark's reliable checkpoint into the shared folder named by
+                 ``spark.checkpoint.dir``: one computation, lineage cut, and a
+                 lost executor costs a re-read, not a recompute.  Used by
+                 ``auto`` when that folder is configured.
+    ``table``    writes a parquet table into the same folder and reads it back
+                 (columnar re-reads; slower to write than a checkpoint).
     ``persist``  memory and local disk; a lost executor recomputes its blocks
                  from lineage.  Used by ``auto`` when no shared folder exists.
     ``none``     returns ``df`` unchanged.
     """
     if how == "auto":
-        how = "table" if checkpoint_dir(df.sparkSession) else "persist"
+        how = "checkpoint" if checkpoint_dir(df.sparkSession) else "persist"
     if how == "table":
         path = pinned_path(df)
         if path is None:

@@ -132,3 +132,18 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
         extra["holdout_rmse"] = F.sqrt(F.avg(F.when(in_eval, err * err)))
     report = three_way_report(series, spec, extra=extra)
     return CorrectionResult(technique, spec, fitted, series, report, stored)
+
+
+def compare_techniques(df: DataFrame, spec: CalibrationSpec,
+                       techniques: tuple[str, ...] | list[str] = tuple(M.REGISTRY),
+                       materialise: str = "auto", **kwargs) -> DataFrame:
+    """The report of every technique on the same calibration table: the
+    prepared frame is computed and pinned ONCE and every fit reads it; the
+    reports are one union of single-pass aggregates."""
+    stored = materialize(prepare_frame(df, spec), materialise)
+    reports = [correct(stored, spec, t, prepared=True, materialise="none", **kwargs).report
+               for t in techniques]
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out

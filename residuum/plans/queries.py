@@ -25,7 +25,7 @@ from ..sources.readers import explode_series, read_prediction_list
 from ..sources.tables import (CALIBRATION_SPEC, calibration_orders, event_features,
                               read_table)
 from ..sinks import report_json
-from .correct import correct
+from .correct import compare_techniques, correct
 from .rounding import DIGITS, rnd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,11 @@ def _full_correction(name: str) -> Query:
     return run
 
 
+def q_technique_comparison(spark, sf):
+    """Every technique's report on one pinned calibration frame."""
+    return compare_techniques(calibration_orders(spark, sf), SPEC)
+
+
 def q_tree_summary(spark, sf):
     """Depth, nodes, trees and feature importances of the depth-5 tree."""
     res = correct(calibration_orders(spark, sf), SPEC, "decision_tree")
@@ -311,6 +316,7 @@ QUERIES: dict[str, Query] = {
     "correct_glr": _full_correction("glr"),
     "correct_linear": _full_correction("linear"),
     "correct_sgd": _full_correction("sgd"),
+    "technique_comparison": q_technique_comparison,
     "tree_summary": q_tree_summary,
     "glr_summary": q_glr_summary,
     "report_json": q_report_json,
