@@ -200,6 +200,16 @@ def tree_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def root_split(fitted: FittedModel) -> dict[str, float]:
+    """Threshold and leaf predictions of the root split of a single tree
+    whose root splits a continuous feature (depth-1 trees)."""
+    root = fitted.learner._java_obj.rootNode()
+    split = root.split()
+    return {"feature": int(split.featureIndex()), "threshold": float(split.threshold()),
+            "left": float(root.leftChild().prediction()),
+            "right": float(root.rightChild().prediction())}
+
+
 def residuals(scored: DataFrame, label: str, prediction: str = PREDICTION,
               out: str = "residual") -> DataFrame:
     """Response residuals ``label - prediction`` (for the gaussian/identity GLR

@@ -137,9 +137,8 @@ def q_stump_split(spark, sf):
     """M1 (depth 1) + A5: split threshold, leaf means, train counts and the
     holdout RMSE of the error model, in one aggregate over the scored rows."""
     res = _stump(spark, sf)
-    root = res.model.learner._java_obj.rootNode()
-    threshold = float(root.split().threshold())
-    left, right = float(root.leftChild().prediction()), float(root.rightChild().prediction())
+    root = M.root_split(res.model)
+    threshold, left, right = root["threshold"], root["left"], root["right"]
     is_train = train_flag(SPEC.key)
     err = F.col(E_HAT) - F.col(DELTA)
     return res.series.agg(

@@ -70,3 +70,20 @@ def test_alignment(spark):
         assert_aligned(a, b, "k")
     ok = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "k long, v double")
     assert attach(a, ok, "k").count() == 3
+
+
+def test_hot_key_alignment_and_index(spark):
+    # one key holds a third of all rows on the right side
+    n = 3000
+    left = spark.range(n).withColumnRenamed("id", "k")
+    right = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+                                  .alias("k"))
+    c = alignment_counts(left, right, "k").first()
+    assert c["n_right"] == n and c["n_duplicate_keys"] == 1
+    assert c["n_left_only"] == n // 3       # every multiple of 3 is missing on the right
+    # a series holding a third of all rows is numbered across partitions
+    rows = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, F.lit(0))
+                                 .otherwise(F.col("id") % 17 + 1).alias("s"))
+    got = dense_index(rows, ["id"], ["s"], num_partitions=6)
+    ref = rows.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("id")) - 1)
+    assert got.join(ref, "id").where(F.col("idx") != F.col("rn")).count() == 0
