@@ -98,6 +98,12 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
         raise ValueError("scope must be 'all' or 'holdout'")
     tech = M.technique(technique)
     frame = df if prepared else prepare_frame(df, spec)
+    # Row order inside a partition after a shuffle is not fixed, and the tree
+    # learners sample rows per partition (split candidates, bootstrap): a local
+    # sort by key (no shuffle) before pinning makes every seeded fit
+    # reproducible.  An input the caller pinned already ('none') is used as is.
+    if materialise != "none":
+        frame = frame.sortWithinPartitions(spec.key)
     stored = materialize(frame, materialise)
     pinned = assemble(stored, spec.features, out=FEATURES_COL)
     labelled = pinned.where(F.col(DELTA).isNotNull())
@@ -140,7 +146,7 @@ def compare_techniques(df: DataFrame, spec: CalibrationSpec,
     """The report of every technique on the same calibration table: the
     prepared frame is computed and pinned ONCE and every fit reads it; the
     reports are one union of single-pass aggregates."""
-    stored = materialize(prepare_frame(df, spec), materialise)
+    stored = materialize(prepare_frame(df, spec).sortWithinPartitions(spec.key), materialise)
     reports = [correct(stored, spec, t, prepared=True, materialise="none", **kwargs).report
                for t in techniques]
     out = reports[0]
