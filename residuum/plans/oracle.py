@@ -236,3 +236,52 @@ SELECT cast(coalesce(sum(l), 0) AS bigint) AS n_left, cast(coalesce(sum(r), 0) A
        count(CASE WHEN l = 0 THEN 1 END) AS n_right_only,
        count(CASE WHEN l > 1 OR r > 1 THEN 1 END) AS n_duplicate_keys
 FROM p"""
+
+
+def _sgd_full() -> str:
+    """Five-feature gradient descent (no intercept, step 1e-8 / sqrt(t), 100
+    iterations, tolerance 0.001) as a recursive CTE over the weight vector,
+    then the correction and the one-pass report of the ``sgd`` technique."""
+    f = ["yr", "mon", "dom", "n_lines", "qty"]
+    n = len(f)
+    gram = ",\n       ".join(
+        [f"avg(cast({f[i]} AS double) * cast({f[j]} AS double)) AS g{i}{j}"
+         for i in range(n) for j in range(n)]
+        + [f"avg(cast({f[i]} AS double) * delta_e) AS b{i}" for i in range(n)])
+    w0 = ", ".join(["CAST(0.0 AS double)"] * n)
+    ws = ", ".join(f"w{i}" for i in range(n))
+    nws = ", ".join(f"nw{i}" for i in range(n))
+    upd = ",\n                 ".join(
+        f"w{i} - (CAST(1e-8 AS double) / sqrt(t + 1)) * ("
+        + " + ".join(f"(SELECT g{i}{j} FROM g) * w{j}" for j in range(n))
+        + f" - (SELECT b{i} FROM g)) AS nw{i}" for i in range(n))
+    diff = " + ".join(f"(nw{i} - w{i}) * (nw{i} - w{i})" for i in range(n))
+    norm = " + ".join(f"nw{i} * nw{i}" for i in range(n))
+    e_hat = " + ".join(f"(SELECT w{i} FROM r) * cast({f[i]} AS double)" for i in range(n))
+    return _with(CAL, f"""g AS (SELECT {gram} FROM d WHERE delta_e IS NOT NULL),
+r AS (
+  WITH RECURSIVE it(t, {ws}, done) AS (
+    SELECT 0, {w0}, false
+    UNION ALL
+    SELECT t + 1, {nws},
+           (t + 1 >= 2) AND sqrt({diff}) < 0.001 * greatest(sqrt({norm}), 1.0)
+    FROM (SELECT t, {ws}, done,
+                 {upd}
+          FROM it WHERE t < 100 AND NOT done) q
+  )
+  SELECT * FROM it ORDER BY t DESC LIMIT 1),
+sc AS (SELECT d.*, {e_hat} AS e_hat FROM d),
+sc2 AS (SELECT *, predicted + e_hat AS improved FROM sc),
+agg AS (
+  SELECT {metric_aggs('predicted', 'observed', 'o_')},
+       {metric_aggs('improved', 'observed', 'i_')},
+       {metric_aggs('e_hat', 'delta_e', 'd_')},
+       count(delta_e) AS n_eval,
+       sqrt(avg(CASE WHEN delta_e IS NOT NULL THEN (e_hat - delta_e) * (e_hat - delta_e) END)) AS h
+  FROM sc2)""") + "\n" + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS series, {metric_final(p)}, 'sgd' AS technique, "
+        f"'train' AS eval_scope, n_eval, {rnd_sql('h', DIGITS['rmse'])} AS holdout_rmse FROM agg"
+        for name, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")])
+
+
+SQL["correct_sgd"] = _sgd_full()
