@@ -285,3 +285,65 @@ agg AS (
 
 
 SQL["correct_sgd"] = _sgd_full()
+
+
+def _glr_full() -> str:
+    """Five-feature GLR (gaussian, identity, regParam 0.3) in closed form:
+    on standardised data (population std) the coefficients solve
+    (R + k I) b = r with R the feature correlations, r the feature-label
+    correlations and k = 0.3 / std(label); solved by a straight-line
+    Cholesky factorisation, then mapped back to the original scale."""
+    f = ["yr", "mon", "dom", "n_lines", "qty"]
+    n = len(f)
+    x = [f"cast({c} AS double)" for c in f]
+    stats = ", ".join(
+        ["avg(delta_e) AS my", "stddev_pop(delta_e) AS sy", "0.3 / stddev_pop(delta_e) AS k"]
+        + [f"avg({x[i]}) AS m{i}, stddev_pop({x[i]}) AS s{i}, corr(delta_e, {x[i]}) AS r{i}"
+           for i in range(n)]
+        + [f"corr({x[i]}, {x[j]}) AS c{i}{j}" for i in range(n) for j in range(i + 1, n)])
+    ctes = [f"st AS (SELECT {stats} FROM d WHERE delta_e IS NOT NULL)"]
+    prev = "st"
+
+    def a(i, j):
+        return "(1 + k)" if i == j else f"c{min(i, j)}{max(i, j)}"
+
+    step = 0
+    for j in range(n):            # Cholesky, column by column
+        cols = [f"sqrt({a(j, j)}" + "".join(f" - l{j}{q} * l{j}{q}" for q in range(j)) + f") AS l{j}{j}"]
+        name = f"ch{step}"; step += 1
+        ctes.append(f"{name} AS (SELECT *, {', '.join(cols)} FROM {prev})"); prev = name
+        rest = [f"({a(i, j)}" + "".join(f" - l{i}{q} * l{j}{q}" for q in range(j)) + f") / l{j}{j} AS l{i}{j}"
+                for i in range(j + 1, n)]
+        if rest:
+            name = f"ch{step}"; step += 1
+            ctes.append(f"{name} AS (SELECT *, {', '.join(rest)} FROM {prev})"); prev = name
+    for i in range(n):            # forward substitution  L z = r
+        e = f"(r{i}" + "".join(f" - l{i}{q} * z{q}" for q in range(i)) + f") / l{i}{i} AS z{i}"
+        name = f"fw{i}"
+        ctes.append(f"{name} AS (SELECT *, {e} FROM {prev})"); prev = name
+    for i in reversed(range(n)):  # back substitution  L' b = z
+        e = f"(z{i}" + "".join(f" - l{q}{i} * b{q}" for q in range(i + 1, n)) + f") / l{i}{i} AS b{i}"
+        name = f"bw{i}"
+        ctes.append(f"{name} AS (SELECT *, {e} FROM {prev})"); prev = name
+    coef = ", ".join(f"b{i} * sy / s{i} AS w{i}" for i in range(n))
+    ctes.append(f"cf AS (SELECT *, {coef} FROM {prev})")
+    icpt = "my" + "".join(f" - w{i} * m{i}" for i in range(n))
+    ctes.append(f"cf2 AS (SELECT *, {icpt} AS w_icpt FROM cf)")
+    e_hat = "(SELECT w_icpt FROM cf2)" + "".join(
+        f" + (SELECT w{i} FROM cf2) * {x[i]}" for i in range(n))
+    ctes.append(f"sc AS (SELECT d.*, {e_hat} AS e_hat FROM d)")
+    ctes.append("sc2 AS (SELECT *, predicted + e_hat AS improved FROM sc)")
+    ctes.append(f"""agg AS (
+  SELECT {metric_aggs('predicted', 'observed', 'o_')},
+       {metric_aggs('improved', 'observed', 'i_')},
+       {metric_aggs('e_hat', 'delta_e', 'd_')},
+       count(delta_e) AS n_eval,
+       sqrt(avg(CASE WHEN delta_e IS NOT NULL THEN (e_hat - delta_e) * (e_hat - delta_e) END)) AS h
+  FROM sc2)""")
+    return _with(CAL, *ctes) + "\n" + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS series, {metric_final(p)}, 'glr' AS technique, "
+        f"'train' AS eval_scope, n_eval, {rnd_sql('h', DIGITS['rmse'])} AS holdout_rmse FROM agg"
+        for name, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")])
+
+
+SQL["correct_glr"] = _glr_full()
