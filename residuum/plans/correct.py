@@ -30,9 +30,11 @@ from ..spec import CalibrationSpec
 FEATURES_COL = "features"
 
 
-def prepare_frame(df: DataFrame, spec: CalibrationSpec) -> DataFrame:
-    """``key, observed, predicted, features..., delta_e`` (typed and cleaned)."""
-    return add_delta(clean(df, spec), spec)
+def prepare_frame(df: DataFrame, spec: CalibrationSpec,
+                  keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``key, [keep...], observed, predicted, features..., delta_e`` (typed and
+    cleaned; ``keep`` columns are carried unchanged, e.g. a site or a time)."""
+    return add_delta(clean(df, spec, keep), spec)
 
 
 @dataclass
@@ -81,13 +83,14 @@ def three_way_report(series: DataFrame, spec: CalibrationSpec, *group_by: str,
 def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
             train_fraction: float = 0.7, split: str = "hash", seed: int = 42,
             scope: str = "all", materialise: str = "auto", prepared: bool = False,
-            **params) -> CorrectionResult:
+            keep: tuple[str, ...] | list[str] = (), **params) -> CorrectionResult:
     """Run the whole correction for ``technique`` (see ``models.REGISTRY``).
 
     ``scope='all'`` scores every row (the reference's behaviour: improved
     metrics are then partly in-sample); ``scope='holdout'`` scores only the
     rows the model did not see.  ``prepared=True`` means ``df`` already holds
-    the columns ``prepare_frame`` produces.
+    the columns ``prepare_frame`` produces.  ``keep`` names columns carried
+    through to ``series`` (e.g. a group key for ``three_way_report``).
 
     Jobs: materialise (1), indexer (1, trees only), the learner's own passes,
     then ONE aggregate over the scored rows for the 12 metrics and the holdout
@@ -97,7 +100,7 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     if scope not in ("all", "holdout"):
         raise ValueError("scope must be 'all' or 'holdout'")
     tech = M.technique(technique)
-    frame = df if prepared else prepare_frame(df, spec)
+    frame = df if prepared else prepare_frame(df, spec, keep)
     # Row order inside a partition after a shuffle is not fixed, and the tree
     # learners sample rows per partition (split candidates, bootstrap): a local
     # sort by key (no shuffle) before pinning makes every seeded fit
@@ -117,8 +120,9 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     fitted = M.fit(technique, train, DELTA, spec.features, FEATURES_COL, indexer, seed, **params)
 
     to_score = evaluation if scope == "holdout" else pinned
+    carried = [c for c in keep if c not in (spec.key, *spec.features)]
     series = fitted.transform(to_score).select(
-        spec.key, spec.observed, spec.predicted, *spec.features, DELTA,
+        spec.key, *carried, spec.observed, spec.predicted, *spec.features, DELTA,
         F.col(M.PREDICTION).alias(E_HAT),
         (F.col(spec.predicted) + F.col(M.PREDICTION)).alias(IMPROVED),
     )

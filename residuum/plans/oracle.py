@@ -347,3 +347,12 @@ def _glr_full() -> str:
 
 
 SQL["correct_glr"] = _glr_full()
+
+
+SQL["glr_report_by_year"] = _with(CAL, GLR, f"""agg AS (
+  SELECT yr, {metric_aggs('predicted', 'observed', 'o_')},
+       {metric_aggs('improved', 'observed', 'i_')},
+       {metric_aggs('e_hat', 'delta_e', 'd_')}
+  FROM sc2 GROUP BY yr)""") + "\n" + "\nUNION ALL ".join(
+    f"SELECT yr, '{name}' AS series, {metric_final(p)} FROM agg"
+    for name, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")])

@@ -25,7 +25,7 @@ from ..sources.readers import explode_series, read_prediction_list
 from ..sources.tables import (CALIBRATION_SPEC, calibration_orders, event_features,
                               read_table)
 from ..sinks import report_json
-from .correct import compare_techniques, correct
+from .correct import compare_techniques, correct, three_way_report
 from .rounding import DIGITS, rnd
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,15 @@ def q_glr_report(spark, sf):
     return _rounded_report(_glr_two_features(spark, sf).metrics)
 
 
+def q_glr_report_by_year(spark, sf):
+    """A7 per group: the three-way report of the two-feature GLR correction
+    for every order year, still one aggregate (grouped by year)."""
+    spec = SPEC.with_features(*GLR_FEATURES)
+    res = correct(calibration_orders(spark, sf), spec, "glr", keep=["yr"])
+    rep = three_way_report(res.series, spec, "yr")
+    return rep.select("yr", "series", *[rnd(m, DIGITS[m]).alias(m) for m in METRICS])
+
+
 def q_glr_coefficients(spark, sf):
     """M8: coefficients and intercept of the two-feature GLR."""
     res = _glr_two_features(spark, sf)
@@ -295,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "pairs": q_pairs,
     "original_metrics": q_original_metrics,
     "glr_report": q_glr_report,
+    "glr_report_by_year": q_glr_report_by_year,
     "glr_coefficients": q_glr_coefficients,
     "glr_residuals": q_glr_residuals,
     "hash_split": q_hash_split,
