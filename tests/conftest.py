@@ -20,10 +20,12 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
          .config("spark.sql.warehouse.dir", os.path.join(scratch, "wh"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    # the configured shared checkpoint folder is used; a scratch one only if unset
+    from residuum.session import ensure_local_checkpoint_dir
+    ensure_local_checkpoint_dir(s)
     yield s
     s.stop()
 
