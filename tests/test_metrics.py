@@ -130,3 +130,31 @@ def test_matches_direct_formulas(spark, pairs):
     if exp["nse"] is not None and m["nse"] is not None and m["cd"] is not None:
         # NSE can never beat CD (CD is the best NSE of any linear rescaling)
         assert m["nse"] <= m["cd"] + 1e-9
+
+
+def test_metamorphic_shift_and_repartition(spark):
+    rows = [(i, float(o), float(p)) for i, (o, p) in
+            enumerate(zip([3, 5, 2, 8, 7, 1, 4], [2.5, 5.5, 2.0, 7.0, 8.0, 1.5, 3.0]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    base = goodness_of_fit(df, "predicted", "observed").first()
+    shifted = df.withColumn("observed", df.observed + 100.0)
+    m = goodness_of_fit(shifted, "predicted", "observed").first()
+    assert close(m["cd"], base["cd"], 1e-9)          # CD ignores a constant shift
+    assert not close(m["pbias"], base["pbias"])      # PBIAS does not
+    again = goodness_of_fit(df.repartition(3), "predicted", "observed").first()
+    for k in ("rmse", "pbias", "cd", "nse"):
+        assert close(again[k], base[k], 1e-12)
+
+
+def test_missing_observations_are_scored_not_fitted(spark):
+    from residuum import correct
+    from residuum.spec import CalibrationSpec
+    rows = [(i, float(i % 7) + (0.5 if i % 2 else -0.5), float(i % 7), float(i % 5))
+            for i in range(60)]
+    rows += [(100, None, 3.0, 1.0), (101, float("nan"), 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "row_id long, obs double, sim double, f double")
+    spec = CalibrationSpec("obs", "sim", ("f",))
+    res = correct(df, spec, "glr")
+    scored = {r.row_id: r for r in res.series.collect()}
+    assert len(scored) == 62 and scored[100].e_hat is not None and scored[100].delta_e is None
+    assert res.holdout.first()["n_eval"] == 60
