@@ -43,10 +43,14 @@ def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
     w = Window.partitionBy(*partition_by).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = ranged.join(offsets.select("_pid", *partition_by, "_offset", "_first"),
-                         on=["_pid", *partition_by])
+    # null-safe on the series columns: a NULL series is a series too
+    o = offsets.select(F.col("_pid").alias("_opid"),
+                       *[F.col(c).alias(f"_o_{c}") for c in partition_by], "_offset", "_first")
+    cond = [F.col("_pid") == F.col("_opid")] + \
+        [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in partition_by]
+    joined = ranged.join(o, on=cond)
     return joined.withColumn(out, F.col("_offset") + F.col("_pos") - F.col("_first")) \
-        .drop("_pid", "_pos", "_offset", "_first")
+        .drop("_pid", "_pos", "_opid", "_offset", "_first", *[f"_o_{c}" for c in partition_by])
 
 
 def preview(df: DataFrame, order_by: list[str] | tuple[str, ...], n: int = 20) -> DataFrame:

@@ -87,3 +87,10 @@ def test_hot_key_alignment_and_index(spark):
     got = dense_index(rows, ["id"], ["s"], num_partitions=6)
     ref = rows.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("id")) - 1)
     assert got.join(ref, "id").where(F.col("idx") != F.col("rn")).count() == 0
+
+
+def test_dense_index_keeps_null_series(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, 5), (4, 5), (5, None)],
+                                 "id long, s long")
+    got = {r.id: r.idx for r in dense_index(rows, ["id"], ["s"], num_partitions=2).collect()}
+    assert got == {1: 0, 2: 1, 5: 2, 3: 0, 4: 1}
