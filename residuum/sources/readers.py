@@ -70,12 +70,14 @@ def explode_series(df: DataFrame, arrays: dict[str, str | Column],
     """Parallel arrays (e.g. ``time``, ``predicted``, ``observed`` of one
     simulation run per row) to one row per position: ``keep..., pos, name...``.
 
-    Arrays are zipped by position; a shorter array yields NULLs at the tail.
+    Arrays are zipped by position; a shorter or missing (NULL) array yields
+    NULLs, so a run is never dropped because one of its arrays is absent.
     The work is per input row (no shuffle), so a long series is spread over
     as many tasks as there are rows holding series.
     """
     names = list(arrays)
-    cols = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in arrays.items()]
+    cols = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.array()).alias(n)
+            for n, c in arrays.items()]
     zipped = df.select(*keep, F.posexplode(F.arrays_zip(*cols)).alias(pos, "_z"))
     return zipped.select(*keep, pos, *[F.col(f"_z.{n}").alias(n) for n in names])
 

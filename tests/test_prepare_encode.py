@@ -117,3 +117,12 @@ def test_assemble_full_width(spark):
     df = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0)], "a double, z double")
     v = assemble(df, ["a", "z"]).first().features
     assert v.size == 2
+
+
+def test_explode_series_missing_array(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], None), (2, None, None)],
+                               "run long, sim array<double>, obs array<double>")
+    rows = explode_series(df, {"predicted": "sim", "observed": "obs"}, keep=["run"]) \
+        .orderBy("run", "pos").collect()
+    assert [(r.run, r.pos, r.predicted, r.observed) for r in rows] == \
+        [(1, 0, 1.0, None), (1, 1, 2.0, None)]
