@@ -146,12 +146,15 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
 
 def compare_techniques(df: DataFrame, spec: CalibrationSpec,
                        techniques: tuple[str, ...] | list[str] = tuple(M.REGISTRY),
-                       materialise: str = "auto", **kwargs) -> DataFrame:
+                       materialise: str = "auto", keep: tuple[str, ...] | list[str] = (),
+                       **kwargs) -> DataFrame:
     """The report of every technique on the same calibration table: the
     prepared frame is computed and pinned ONCE and every fit reads it; the
     reports are one union of single-pass aggregates."""
-    stored = materialize(prepare_frame(df, spec).sortWithinPartitions(spec.key), materialise)
-    reports = [correct(stored, spec, t, prepared=True, materialise="none", **kwargs).report
+    stored = materialize(prepare_frame(df, spec, keep).sortWithinPartitions(spec.key),
+                         materialise)
+    reports = [correct(stored, spec, t, prepared=True, materialise="none", keep=keep,
+                       **kwargs).report
                for t in techniques]
     out = reports[0]
     for r in reports[1:]:

@@ -28,7 +28,7 @@ class LabelledResult:
     technique: str
     model: M.FittedModel
     predictions: DataFrame    # row_id, label, prediction
-    accuracy: DataFrame       # technique, eval_scope, n_eval, rmse, training_mse (1 row)
+    accuracy: DataFrame       # technique, eval_scope, n_eval, rmse, all_rows_mse (1 row)
 
 
 def fit_labelled(df: DataFrame, technique: str, label: str = "label",
@@ -71,5 +71,5 @@ def fit_labelled(df: DataFrame, technique: str, label: str = "label",
         F.lit(technique).alias("technique"), F.lit(tech.eval_scope).alias("eval_scope"),
         F.count(F.when(in_eval, 1)).alias("n_eval"),
         F.sqrt(F.avg(F.when(in_eval, err * err))).alias("rmse"),
-        mse(M.PREDICTION, "label").alias("training_mse"))
+        mse(M.PREDICTION, "label").alias("all_rows_mse"))   # = training MSE for glr/sgd
     return LabelledResult(technique, fitted, scored, accuracy)
