@@ -147,15 +147,30 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
 def compare_techniques(df: DataFrame, spec: CalibrationSpec,
                        techniques: tuple[str, ...] | list[str] = tuple(M.REGISTRY),
                        materialise: str = "auto", keep: tuple[str, ...] | list[str] = (),
-                       **kwargs) -> DataFrame:
+                       parallelism: int = 1, **kwargs) -> DataFrame:
     """The report of every technique on the same calibration table: the
     prepared frame is computed and pinned ONCE and every fit reads it; the
-    reports are one union of single-pass aggregates."""
+    reports are one union of single-pass aggregates.
+
+    ``parallelism`` > 1 submits that many fits at once from a thread pool (as
+    Spark ML's ``CrossValidator(parallelism=...)`` does), so small fits that
+    cannot fill the cluster on their own share it.
+    """
     stored = materialize(prepare_frame(df, spec, keep).sortWithinPartitions(spec.key),
                          materialise)
-    reports = [correct(stored, spec, t, prepared=True, materialise="none", keep=keep,
+
+    def one(t: str) -> DataFrame:
+        return correct(stored, spec, t, prepared=True, materialise="none", keep=keep,
                        **kwargs).report
-               for t in techniques]
+
+    if parallelism > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        from pyspark import inheritable_thread_target
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            target = inheritable_thread_target(stored.sparkSession)(one)
+            reports = list(pool.map(target, techniques))
+    else:
+        reports = [one(t) for t in techniques]
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

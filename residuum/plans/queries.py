@@ -279,7 +279,7 @@ def _full_correction(name: str) -> Query:
 
 def q_technique_comparison(spark, sf):
     """Every technique's report on one pinned calibration frame."""
-    return compare_techniques(calibration_orders(spark, sf), SPEC)
+    return compare_techniques(calibration_orders(spark, sf), SPEC, parallelism=3)
 
 
 def q_tree_summary(spark, sf):

@@ -33,7 +33,8 @@ def test_predictions_and_report(spark, tmp_out):
 
 def test_compare_techniques(spark):
     cal = calibration_orders(spark, SF001)
-    rep = compare_techniques(cal, CALIBRATION_SPEC, ("glr", "decision_tree", "sgd")).collect()
+    rep = compare_techniques(cal, CALIBRATION_SPEC, ("glr", "decision_tree", "sgd"),
+                             parallelism=2).collect()
     assert len(rep) == 9
     assert {r["technique"] for r in rep} == {"glr", "decision_tree", "sgd"}
     orig = {r["rmse"] for r in rep if r["series"] == "original"}
