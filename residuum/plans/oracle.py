@@ -356,3 +356,18 @@ SQL["glr_report_by_year"] = _with(CAL, GLR, f"""agg AS (
   FROM sc2 GROUP BY yr)""") + "\n" + "\nUNION ALL ".join(
     f"SELECT yr, '{name}' AS series, {metric_final(p)} FROM agg"
     for name, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")])
+
+
+# Gaussian GLR fit statistics (rank 3: two features and the intercept).
+SQL["glr_fit_statistics"] = _with(CAL, GLR, """fs AS (
+  SELECT count(delta_e) AS n,
+         sum((delta_e - e_hat) * (delta_e - e_hat)) AS dev,
+         var_pop(delta_e) * count(delta_e) AS nulldev
+  FROM sc)""") + f"""
+SELECT {rnd_sql('dev / (n - 3)', 0)} AS dispersion,
+       {rnd_sql('nulldev', -4)} AS null_deviance,
+       {rnd_sql('dev', -4)} AS deviance,
+       cast(n - 1 AS bigint) AS residual_dof_null,
+       cast(n - 3 AS bigint) AS residual_dof,
+       {rnd_sql('n * (ln(2 * pi() * dev / n) + 1) + 2 + 2 * 3', 6)} AS aic
+FROM fs"""

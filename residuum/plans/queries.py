@@ -93,6 +93,18 @@ def q_glr_report_by_year(spark, sf):
     return rep.select("yr", "series", *[rnd(m, DIGITS[m]).alias(m) for m in METRICS])
 
 
+def q_glr_fit_statistics(spark, sf):
+    """M10 (scalars): deviance, null deviance, residual degrees of freedom,
+    dispersion and AIC of the two-feature GLR fit."""
+    summ = M.glr_summary(spark, _glr_two_features(spark, sf).model)
+    return summ.select(
+        rnd("dispersion", 0).alias("dispersion"),
+        rnd("null_deviance", -4).alias("null_deviance"),
+        rnd("deviance", -4).alias("deviance"),
+        "residual_dof_null", "residual_dof",
+        rnd("aic", 6).alias("aic"))
+
+
 def q_glr_coefficients(spark, sf):
     """M8: coefficients and intercept of the two-feature GLR."""
     res = _glr_two_features(spark, sf)
@@ -305,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "original_metrics": q_original_metrics,
     "glr_report": q_glr_report,
     "glr_report_by_year": q_glr_report_by_year,
+    "glr_fit_statistics": q_glr_fit_statistics,
     "glr_coefficients": q_glr_coefficients,
     "glr_residuals": q_glr_residuals,
     "hash_split": q_hash_split,
