@@ -19,8 +19,20 @@ def hash_bucket(key: Column | str) -> Column:
     return first32 % F.lit(100)
 
 
-def train_flag(key: Column | str, train_fraction: float = 0.7) -> Column:
-    return hash_bucket(key) < F.lit(int(round(train_fraction * 100)))
+BUCKET = "_bucket"
+
+
+def with_bucket(df: DataFrame, key: str) -> DataFrame:
+    """Store the hash bucket as a column (before pinning a frame that many
+    passes read, so md5 runs once per row, not once per pass)."""
+    return df if BUCKET in df.columns else df.withColumn(BUCKET, hash_bucket(key).cast("int"))
+
+
+def train_flag(key: Column | str, train_fraction: float = 0.7,
+               bucket: str | None = None) -> Column:
+    """True for training rows; reads a stored bucket column when given."""
+    b = F.col(bucket) if bucket else hash_bucket(key)
+    return b < F.lit(int(round(train_fraction * 100)))
 
 
 def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7,
@@ -28,7 +40,7 @@ def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7,
     if not 0.0 < train_fraction < 1.0:
         raise ValueError("train_fraction must lie strictly between 0 and 1")
     if method == "hash":
-        flag = train_flag(key, train_fraction)
+        flag = train_flag(key, train_fraction, BUCKET if BUCKET in df.columns else None)
         return df.where(flag), df.where(~flag)
     if method == "random":
         train, holdout = df.randomSplit([train_fraction, 1.0 - train_fraction], seed=seed)

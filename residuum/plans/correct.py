@@ -24,7 +24,7 @@ from ..operators.encode import assemble
 from ..operators.indexing import fit_indexer
 from ..operators.materialize import materialize
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean
-from ..operators.split import holdout_split, train_flag
+from ..operators.split import BUCKET, holdout_split, train_flag, with_bucket
 from ..spec import CalibrationSpec
 
 FEATURES_COL = "features"
@@ -105,8 +105,10 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     # learners sample rows per partition (split candidates, bootstrap): a local
     # sort by key (no shuffle) before pinning makes every seeded fit
     # reproducible.  An input the caller pinned already ('none') is used as is.
+    # The split bucket is stored with the pinned rows: md5 runs once per row,
+    # not once per pass of the learner.
     if materialise != "none":
-        frame = frame.sortWithinPartitions(spec.key)
+        frame = with_bucket(frame, spec.key).sortWithinPartitions(spec.key)
     stored = materialize(frame, materialise)
     pinned = assemble(stored, spec.features, out=FEATURES_COL)
     labelled = pinned.where(F.col(DELTA).isNotNull())
@@ -121,11 +123,14 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
 
     to_score = evaluation if scope == "holdout" else pinned
     carried = [c for c in keep if c not in (spec.key, *spec.features)]
-    series = fitted.transform(to_score).select(
+    internal = [BUCKET] if BUCKET in stored.columns else []
+    scored = fitted.transform(to_score).select(
         spec.key, *carried, spec.observed, spec.predicted, *spec.features, DELTA,
         F.col(M.PREDICTION).alias(E_HAT),
         (F.col(spec.predicted) + F.col(M.PREDICTION)).alias(IMPROVED),
+        *internal,
     )
+    series = scored.drop(*internal)
     err = F.col(E_HAT) - F.col(DELTA)
     extra = {"technique": F.lit(technique), "eval_scope": F.lit(tech.eval_scope)}
     if uses_holdout and split == "random" and scope == "all":
@@ -135,12 +140,13 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
         extra["n_eval"] = F.lit(int(h["n"]))
         extra["holdout_rmse"] = F.lit(h["r"]).cast("double")
     else:
-        held = (~train_flag(spec.key, train_fraction)
+        bucket = BUCKET if BUCKET in stored.columns else None
+        held = (~train_flag(spec.key, train_fraction, bucket)
                 if uses_holdout and scope == "all" else F.lit(True))
         in_eval = held & F.col(DELTA).isNotNull()
         extra["n_eval"] = F.count(F.when(in_eval, 1))
         extra["holdout_rmse"] = F.sqrt(F.avg(F.when(in_eval, err * err)))
-    report = three_way_report(series, spec, extra=extra)
+    report = three_way_report(scored, spec, extra=extra)
     return CorrectionResult(technique, spec, fitted, series, report, stored)
 
 
@@ -156,8 +162,8 @@ def compare_techniques(df: DataFrame, spec: CalibrationSpec,
     Spark ML's ``CrossValidator(parallelism=...)`` does), so small fits that
     cannot fill the cluster on their own share it.
     """
-    stored = materialize(prepare_frame(df, spec, keep).sortWithinPartitions(spec.key),
-                         materialise)
+    stored = materialize(with_bucket(prepare_frame(df, spec, keep), spec.key)
+                         .sortWithinPartitions(spec.key), materialise)
 
     def one(t: str) -> DataFrame:
         return correct(stored, spec, t, prepared=True, materialise="none", keep=keep,

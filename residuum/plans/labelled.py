@@ -18,7 +18,7 @@ from ..functions.metrics import mse, rmse
 from ..operators import models as M
 from ..operators.indexing import fit_indexer
 from ..operators.materialize import materialize
-from ..operators.split import holdout_split, train_flag
+from ..operators.split import BUCKET, holdout_split, train_flag, with_bucket
 
 ROW_ID = "row_id"
 
@@ -55,16 +55,16 @@ def fit_labelled(df: DataFrame, technique: str, label: str = "label",
         names = tuple(f"f{i + 1}" for i in range(width))
     else:
         names = ()
-    pinned = materialize(frame, materialise)
+    pinned = materialize(with_bucket(frame, key), materialise)
     labelled = pinned.where(F.col("label").isNotNull())
     if tech.eval_scope == "holdout":
         train, _ = holdout_split(labelled, key, train_fraction, "hash", seed)
-        held = ~train_flag(key, train_fraction)
+        held = ~train_flag(key, train_fraction, BUCKET)
     else:
         train, held = labelled, F.lit(True)
     indexer = fit_indexer(labelled, "features") if tech.uses_indexer else None
     fitted = M.fit(technique, train, "label", names, "features", indexer, seed, **params)
-    scored = fitted.transform(pinned).select(key, "label", M.PREDICTION)
+    scored = fitted.transform(pinned).select(key, "label", M.PREDICTION, BUCKET)
     err = F.col(M.PREDICTION) - F.col("label")
     in_eval = held & F.col("label").isNotNull()
     accuracy = scored.agg(
@@ -72,4 +72,4 @@ def fit_labelled(df: DataFrame, technique: str, label: str = "label",
         F.count(F.when(in_eval, 1)).alias("n_eval"),
         F.sqrt(F.avg(F.when(in_eval, err * err))).alias("rmse"),
         mse(M.PREDICTION, "label").alias("all_rows_mse"))   # = training MSE for glr/sgd
-    return LabelledResult(technique, fitted, scored, accuracy)
+    return LabelledResult(technique, fitted, scored.drop(BUCKET), accuracy)

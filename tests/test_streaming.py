@@ -69,7 +69,8 @@ def test_windowed_report_drops_rows_behind_watermark(spark, tmp_out):
     second = [(4, 4.0, 3.0, 4.0, day.format(5)), (5, 9.0, 0.0, 9.0, day.format(1))]
     def write(rows, name):
         spark.createDataFrame(rows, "row_id long, obs double, sim double, f double, ts string") \
-            .withColumn("ts", F.to_timestamp("ts")).write.parquet(os.path.join(src, name))
+            .withColumn("ts", F.to_timestamp("ts")).coalesce(1) \
+            .write.parquet(os.path.join(src, name))          # one file = one micro-batch
     write(first, "b1")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
         .parquet(os.path.join(src, "*"))
