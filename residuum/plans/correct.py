@@ -83,7 +83,8 @@ def three_way_report(series: DataFrame, spec: CalibrationSpec, *group_by: str,
 def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
             train_fraction: float = 0.7, split: str = "hash", seed: int = 42,
             scope: str = "all", materialise: str = "auto", prepared: bool = False,
-            keep: tuple[str, ...] | list[str] = (), **params) -> CorrectionResult:
+            keep: tuple[str, ...] | list[str] = (), indexer=None,
+            **params) -> CorrectionResult:
     """Run the whole correction for ``technique`` (see ``models.REGISTRY``).
 
     ``scope='all'`` scores every row (the reference's behaviour: improved
@@ -91,6 +92,8 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     rows the model did not see.  ``prepared=True`` means ``df`` already holds
     the columns ``prepare_frame`` produces.  ``keep`` names columns carried
     through to ``series`` (e.g. a group key for ``three_way_report``).
+    ``indexer`` reuses a fitted ``VectorIndexerModel`` (fitted on the same
+    labelled rows) instead of fitting one.
 
     Jobs: materialise (1), indexer (1, trees only), the learner's own passes,
     then ONE aggregate over the scored rows for the 12 metrics and the holdout
@@ -118,7 +121,10 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
         train, evaluation = holdout_split(labelled, spec.key, train_fraction, split, seed)
     else:
         train, evaluation = labelled, labelled
-    indexer = fit_indexer(labelled, FEATURES_COL) if tech.uses_indexer else None
+    if not tech.uses_indexer:
+        indexer = None
+    elif indexer is None:
+        indexer = fit_indexer(labelled, FEATURES_COL)
     fitted = M.fit(technique, train, DELTA, spec.features, FEATURES_COL, indexer, seed, **params)
 
     to_score = evaluation if scope == "holdout" else pinned
@@ -165,9 +171,15 @@ def compare_techniques(df: DataFrame, spec: CalibrationSpec,
     stored = materialize(with_bucket(prepare_frame(df, spec, keep), spec.key)
                          .sortWithinPartitions(spec.key), materialise)
 
+    # one categorical-feature indexer for every tree technique
+    shared = None
+    if any(M.technique(t).uses_indexer for t in techniques):
+        vec = assemble(stored, spec.features, out=FEATURES_COL)
+        shared = fit_indexer(vec.where(F.col(DELTA).isNotNull()), FEATURES_COL)
+
     def one(t: str) -> DataFrame:
         return correct(stored, spec, t, prepared=True, materialise="none", keep=keep,
-                       **kwargs).report
+                       indexer=shared, **kwargs).report
 
     if parallelism > 1:
         from concurrent.futures import ThreadPoolExecutor
