@@ -47,3 +47,25 @@ def attach(df: DataFrame, other: DataFrame, key: str, check: bool = True) -> Dat
     if check:
         assert_aligned(df, other, key)
     return df.join(other, on=key, how="inner")
+
+
+def attach_by_position(df: DataFrame, order_by: list[str] | tuple[str, ...],
+                       values: DataFrame, pos: str = "pos",
+                       partition_by: list[str] | tuple[str, ...] = (),
+                       check: bool = True) -> DataFrame:
+    """Attach values that arrive by position (e.g. a read-back prediction
+    list: ``[series..., pos, value]``) to keyed rows: the rows are numbered
+    0, 1, ... in ``order_by`` order within each series, the numbering is
+    checked to cover every position exactly once, then both are joined on
+    (series, position) - never zipped."""
+    from .ordering import dense_index
+    numbered = dense_index(df, order_by, partition_by, out="_pos_idx")
+    keys = list(partition_by)
+    if check:
+        left = numbered.select(F.concat_ws("|", *[F.col(c).cast("string") for c in keys],
+                                           F.col("_pos_idx").cast("string")).alias("_k"))
+        right = values.select(F.concat_ws("|", *[F.col(c).cast("string") for c in keys],
+                                          F.col(pos).cast("string")).alias("_k"))
+        assert_aligned(left, right, "_k")
+    joined = numbered.join(values.withColumnRenamed(pos, "_pos_idx"), on=[*keys, "_pos_idx"])
+    return joined.drop("_pos_idx")

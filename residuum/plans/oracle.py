@@ -371,3 +371,9 @@ SELECT {rnd_sql('dev / (n - 3)', 0)} AS dispersion,
        cast(n - 3 AS bigint) AS residual_dof,
        {rnd_sql('n * (ln(2 * pi() * dev / n) + 1) + 2 + 2 * 3', 6)} AS aic
 FROM fs"""
+
+
+SQL["prediction_list_attached"] = _with(_SERIES) + """
+SELECT vec_id, time, v AS observed,
+       cast(cast(round(v * CAST(1e6 AS double)) AS bigint) AS double) AS value
+FROM s"""

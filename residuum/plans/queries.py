@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, metric_columns, mse
 from ..operators import models as M
-from ..operators.alignment import alignment_counts
+from ..operators.alignment import alignment_counts, attach_by_position
 from ..operators.encode import assemble, libsvm_line
 from ..operators.indexing import categorical_decision, fit_indexer
 from ..operators.ordering import dense_index, lookup, preview
@@ -270,6 +270,15 @@ def q_prediction_list(spark, sf):
     return read_prediction_list(listed, "line", keep=["vec_id"])
 
 
+def q_prediction_list_attached(spark, sf):
+    """S5 + F2 + P11: each embedding's stored list read back and attached to
+    its observation series by position (numbered per series in time order,
+    completeness checked, then joined - never zipped)."""
+    obs = _embedding_series(spark, sf).select("vec_id", "time", "observed")
+    preds = q_prediction_list(spark, sf)
+    return attach_by_position(obs, ["time"], preds, pos="pos", partition_by=["vec_id"])
+
+
 def q_alignment(spark, sf):
     """key alignment of orders and line items (matched, one-sided, duplicated)."""
     orders = read_table(spark, sf, "orders").select("o_orderkey")
@@ -334,6 +343,7 @@ QUERIES: dict[str, Query] = {
     "series_rows": q_series_rows,
     "series_csv": q_series_csv,
     "prediction_list": q_prediction_list,
+    "prediction_list_attached": q_prediction_list_attached,
     "alignment": q_alignment,
     "correct_decision_tree": _full_correction("decision_tree"),
     "correct_rf": _full_correction("rf"),

@@ -94,3 +94,16 @@ def test_dense_index_keeps_null_series(spark):
                                  "id long, s long")
     got = {r.id: r.idx for r in dense_index(rows, ["id"], ["s"], num_partitions=2).collect()}
     assert got == {1: 0, 2: 1, 5: 2, 3: 0, 4: 1}
+
+
+def test_attach_by_position(spark):
+    from residuum.operators.alignment import attach_by_position
+    from residuum.sources.readers import read_prediction_list
+    rows = spark.createDataFrame([(30, 1.0), (10, 2.0), (20, 3.0)], "k long, obs double")
+    lines = spark.createDataFrame([("0.5,1.5,2.5",)], "line string")
+    preds = read_prediction_list(lines, "line")            # pos 0..2 in key order
+    got = {r.k: r.value for r in attach_by_position(rows, ["k"], preds).collect()}
+    assert got == {10: 0.5, 20: 1.5, 30: 2.5}
+    short = read_prediction_list(spark.createDataFrame([("0.5,1.5",)], "line string"), "line")
+    with pytest.raises(ValueError):
+        attach_by_position(rows, ["k"], short)
