@@ -377,3 +377,7 @@ SQL["prediction_list_attached"] = _with(_SERIES) + """
 SELECT vec_id, time, v AS observed,
        cast(cast(round(v * CAST(1e6 AS double)) AS bigint) AS double) AS value
 FROM s"""
+
+
+# the streamed report must equal the batch one
+SQL["stream_glr_report"] = SQL["glr_report"]

@@ -22,8 +22,8 @@ from ..operators.ordering import dense_index, lookup, preview
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, delta_table, pairs
 from ..operators.split import hash_bucket, train_flag
 from ..sources.readers import explode_series, read_prediction_list
-from ..sources.tables import (CALIBRATION_SPEC, calibration_orders, event_features,
-                              read_table)
+from ..sources.tables import (CALIBRATION_SPEC, calibration_from, calibration_orders,
+                              event_features, line_totals, read_table, stream_table)
 from ..sinks import report_json
 from .correct import compare_techniques, correct, three_way_report
 from .rounding import DIGITS, rnd
@@ -84,6 +84,22 @@ def q_glr_report(spark, sf):
     return _rounded_report(_glr_two_features(spark, sf).metrics)
 
 
+def q_stream_glr_report(spark, sf):
+    """Streaming: orders arrive as a stream, are joined to the (pinned) static
+    line totals, scored with the two-feature GLR fitted in batch, and the
+    three-way report is kept as streaming state; equals ``glr_report``."""
+    import uuid
+    from ..operators.materialize import materialize
+    from ..streaming import correct_stream, run_to_table, running_report
+    spec = SPEC.with_features(*GLR_FEATURES)
+    fitted = _glr_two_features(spark, sf).model
+    lines = materialize(line_totals(spark, sf))
+    stream = calibration_from(stream_table(spark, sf, "orders"), lines)
+    report = running_report(correct_stream(stream, spec, fitted), spec)
+    out = run_to_table(report, f"stream_report_{uuid.uuid4().hex[:12]}")
+    return _rounded_report(out)
+
+
 def q_glr_report_by_year(spark, sf):
     """A7 per group: the three-way report of the two-feature GLR correction
     for every order year, still one aggregate (grouped by year)."""
@@ -326,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "original_metrics": q_original_metrics,
     "glr_report": q_glr_report,
     "glr_report_by_year": q_glr_report_by_year,
+    "stream_glr_report": q_stream_glr_report,
     "glr_fit_statistics": q_glr_fit_statistics,
     "glr_coefficients": q_glr_coefficients,
     "glr_residuals": q_glr_residuals,

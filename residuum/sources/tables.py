@@ -38,25 +38,24 @@ def _hundredths(c: Column) -> Column:
     return F.round(c * F.lit(100)).cast("long")
 
 
-def calibration_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``row_id, observed, predicted, yr, mon, dom, n_lines, qty``: one row per
-    order that has line items.
-
-    Plan: line items are pre-aggregated per order (partial aggregation runs
-    map-side, so a hot order key never ships more than one row per task), the
-    aggregate's hash partitioning on the order key is reused by the join, and
-    only ``orders`` is shuffled to meet it.  Scans read 5 and 3 columns.
-    """
+def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: the total rebuilt from its line items (exact, in 1e-6
+    units), the number of lines and the quantity.  Partial aggregation runs
+    map-side, so a hot order key never ships more than one row per task."""
     li = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders")
     micros = (_hundredths(F.col("l_extendedprice"))
               * (F.lit(100) - _hundredths(F.col("l_discount")))
               * (F.lit(100) + _hundredths(F.col("l_tax"))))
-    lines = li.groupBy("l_orderkey").agg(
+    return li.groupBy("l_orderkey").agg(
         F.sum(micros).alias("p_micros"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.round(F.col("l_quantity")).cast("long")).alias("qty_units"),
     )
+
+
+def calibration_from(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The calibration rows of ``orders`` (a batch or a streaming frame) joined
+    to the per-order line totals."""
     return (
         orders.join(lines, orders.o_orderkey == lines.l_orderkey)
         .select(
@@ -72,6 +71,27 @@ def calibration_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calibration_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row_id, observed, predicted, yr, mon, dom, n_lines, qty``: one row per
+    order that has line items.
+
+    Plan: line items are pre-aggregated per order, the aggregate's hash
+    partitioning on the order key is reused by the join, and only ``orders``
+    is shuffled to meet it.  Scans read 5 and 3 columns.
+    """
+    return calibration_from(read_table(spark, sf_dir, "orders"), line_totals(spark, sf_dir))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A driver table read as a stream (the folder is watched; only this
+    table's files are picked up)."""
+    schema = read_table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(sf_dir.rstrip("/"))
+
+
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, hour, day, minute, cents`` from ``events``: small integers,
     zero on many rows (hour 0, minute 0), plus the value in hundredths - the

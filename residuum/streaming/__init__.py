@@ -47,3 +47,22 @@ def windowed_report(scored: DataFrame, spec: CalibrationSpec, time_col: str,
         .withWatermark(time_col, watermark) \
         .withColumn("window", F.window(time_col, window))
     return three_way_report(timed, spec, "window")
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a streaming frame over everything available into a memory table
+    and return it as a batch frame.  The stream's checkpoint goes to the
+    shared checkpoint folder when the session names one."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
+    base = checkpoint_dir(df.sparkSession)
+    if base:
+        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    q = writer.start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return df.sparkSession.table(name)
