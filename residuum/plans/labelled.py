@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import mse, rmse
+from ..functions.metrics import mse
 from ..operators import models as M
 from ..operators.indexing import fit_indexer
 from ..operators.materialize import materialize

@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from residuum.__main__ import main
 from residuum.operators.prepare import add_delta

@@ -2,7 +2,6 @@
 
 import os
 
-import pytest
 from pyspark.ml.linalg import SparseVector, DenseVector
 from pyspark.sql import functions as F
 

@@ -55,7 +55,6 @@ def test_windowed_report(spark, tmp_out):
 def test_windowed_report_drops_rows_behind_watermark(spark, tmp_out):
     """Two micro-batches: the second carries one on-time row and one row
     older than the watermark; only the on-time one may count."""
-    from residuum.operators import models as M
     from residuum.spec import CalibrationSpec
     spec = CalibrationSpec("obs", "sim", ("f",))
     train = spark.createDataFrame([(i, float(i), float(i) - 1.0, float(i)) for i in range(20)],
