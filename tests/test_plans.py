@@ -17,7 +17,7 @@ def plan(df) -> str:
 
 def test_view_prunes_and_pushes_down(spark):
     p = plan(calibration_orders(spark, SF001))
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
+    schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", p))   # AQE may list a plan twice
     widths = sorted(len(s.split(",")) for s in schemas)
     assert widths == [3, 5], schemas          # orders: 3 columns, lineitem: 5
     assert "IsNotNull(l_orderkey)" in p and "IsNotNull(o_orderkey)" in p
