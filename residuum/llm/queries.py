@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from residuum.llm import line_dedup, mixing
+
 #: The vocabulary file's path is a parameter of the operators; the queries use
 #: the public tokenizers' word vocabulary.
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +28,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.shared import Workspace
+    from residuum.llm.warc import merge_runs, read_archives, resolve_revisits, write_archives
+
+    work = Workspace(spark, "warc")
+    captures = merge_runs(write_archives(read(spark, sf_dir, "pages"), work), work)
+    return resolve_revisits(work.table(read_archives(captures), "records"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from residuum.llm.decontaminate import contamination, is_contaminated
+    from residuum.llm.shared import Workspace
+
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Workspace(spark, "decontaminate"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from residuum.llm.mixing import mix
+    from residuum.llm.shared import Workspace
+
+    mixed = mix(read(spark, sf_dir, "documents"), Workspace(spark, "mixing"))
+    return mixed.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.line_dedup import drop_boilerplate
+    from residuum.llm.shared import Workspace
+
+    return drop_boilerplate(read(spark, sf_dir, "pages"), Workspace(spark, "line-dedup"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residuum.llm.shared import Workspace
     from residuum.llm.token_files import read_token_files, write_token_files
@@ -35,6 +75,27 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from residuum.llm.multi_index import search
+    from residuum.llm.shared import Workspace
+
+    return search(read(spark, sf_dir, "embeddings"), Workspace(spark, "nearest"), k=20, is_query=F.col("_id") % 20 == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from residuum.llm.toxicity import THRESHOLD, fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("null"))) % 3 == 1
+    model = fit(docs, read(spark, sf_dir, "labels"), usable=~held_out("_id"))
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                                     (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residuum.llm.prefix_counts import token_counts
 
@@ -42,8 +103,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op8_nearest": op8_nearest,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_mixing": mixing.oracle_sql(),
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+}
