@@ -127,7 +127,7 @@ def oracle_sql(iterations: int = ITERATIONS, alpha: float = ALPHA, seed: str = S
     for _ in range(iterations):
         for d in DIMENSIONS:
             k += 1
-            ctes.append(f"""r{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN own > 0 THEN raked * ({d}_share * total / own) ELSE 0 END AS raked) EXCLUDE (own)
+            ctes.append(f"""r{k} AS MATERIALIZED (SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN raked * ({d}_share * total / own) ELSE 0 END AS raked)
   FROM (SELECT *, sum(raked) OVER (PARTITION BY {d}) AS own FROM r{k - 1}))""")
     ctes.append(f"w AS (SELECT _source, _lang, _topic, CASE WHEN mass > 0 THEN raked / mass ELSE 1 END AS weight FROM r{k})")
     ctes.append("m AS (SELECT *, weight / max(weight) OVER () AS probability FROM w)")

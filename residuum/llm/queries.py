@@ -28,6 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.ngram_join import jaccard_components
+    from residuum.llm.shared import Workspace
+
+    return jaccard_components(read(spark, sf_dir, "documents"), Workspace(spark, "ngram-join"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residuum.llm.shared import Workspace
     from residuum.llm.warc import merge_runs, read_archives, resolve_revisits, write_archives
@@ -103,6 +110,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
