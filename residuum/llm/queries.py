@@ -82,6 +82,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.shared import Workspace
+    from residuum.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), Workspace(spark, "suffix-dedup")).drop("spans")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
