@@ -188,6 +188,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace | None
                       F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_ids"), "spans")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None, window: int = WINDOW,
+                      text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that the contamination rule leaves, as they are."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    found = contamination(whole, benchmark, work, window, "_row", "_text", block_bytes)
+    return found.filter(~is_contaminated()).select("_row.*")
+
+
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     """The contamination rule: at least a twentieth of the words are hit."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))

@@ -73,42 +73,65 @@ def rake(cells: DataFrame, work: Workspace, iterations: int = ITERATIONS) -> Dat
     return frame
 
 
-def mix(docs: DataFrame, work: Workspace, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
-        iterations: int = ITERATIONS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """``id, source, lang, topic, n_tokens, weight, probability, selected``.
+def _name(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit("(none)"))
+
 
-    ``targets`` may give a frame of ``value, share`` for ``source``, ``lang`` or
-    ``topic``; a dimension without one is tempered by ``alpha``.  The largest
-    calibrated weight is kept whole (probability 1), so the expected token
-    shares of the selected documents are the raked ones.
+def _dimensions(text_col: str, source_col: str, lang_col: str, topic: Column | None) -> list[Column]:
+    own = topic if topic is not None else topic_of(F.col(f"`{text_col}`").cast("string"))
+    return [_name(F.col(f"`{source_col}`")).alias("_source"), _name(F.col(f"`{lang_col}`")).alias("_lang"), _name(own).alias("_topic")]
+
+
+def calibrate(rows: DataFrame, work: Workspace, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
+              iterations: int = ITERATIONS) -> DataFrame:
+    """``_source, _lang, _topic, weight, probability`` of every cell of ``rows``
+    (the dimensions and ``_tokens``).  ``targets`` may give a frame of ``value,
+    share`` for ``source``, ``lang`` or ``topic``; a dimension without one is
+    tempered by ``alpha``.  The cell of the largest calibrated weight is kept
+    whole, so the expected token shares of the kept documents are the raked ones.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("_id"), name(F.col(f"`{source_col}`")).alias("_source"), name(F.col(f"`{lang_col}`")).alias("_lang"),
-        name(topic if topic is not None else topic_of(text)).alias("_topic"), word_count(text).alias("_tokens"))
-    rows = work.table(rows, "rows")
     cells = work.table(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("mass")), "cells")
     shares = cells
     for d, key in zip(DIMENSIONS, ("source", "lang", "topic")):
         given = (targets or {}).get(key)
         if given is None:
-            sums = cells.groupBy(d).agg(F.sum("mass").alias("_sum")).withColumn("_power", F.when(F.col("_sum") > 0, F.pow(F.col("_sum").cast("double"), F.lit(alpha))).otherwise(0.0))
+            sums = cells.groupBy(d).agg(F.sum("mass").cast("double").alias("_sum"))
+            power = sums.select(d, F.when(F.col("_sum") > 0, F.pow("_sum", F.lit(alpha))).otherwise(0.0).alias("_power"))
         else:
-            sums = cells.select(d).distinct().join(given.select(F.col("value").alias(d), F.col("share").cast("double").alias("_power")), d, "left").fillna(0.0, ["_power"])
-        norm = sums.agg(F.sum("_power")).first()[0] or 1.0
-        shares = shares.join(sums.select(d, (F.col("_power") / F.lit(norm)).alias(f"{d}_share")), d)
-    shares = work.table(shares, "shares")
-    raked = work.table(rake(shares, work, iterations).select(
-        *DIMENSIONS, F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0).alias("weight")), "weights")
-    largest = raked.agg(F.max("weight")).first()[0] or 1.0
-    weighted = rows.join(raked, list(DIMENSIONS)).withColumn("probability", F.col("weight") / F.lit(largest))
+            wanted = given.select(_name(F.col("value")).alias(d), F.col("share").cast("double").alias("_power"))
+            power = cells.select(d).distinct().join(wanted, d, "left").fillna(0.0, ["_power"])
+        norm = power.agg(F.sum("_power")).first()[0] or 1.0
+        shares = shares.join(power.select(d, (F.col("_power") / F.lit(norm)).alias(f"{d}_share")), d)
+    raked = rake(work.table(shares, "shares"), work, iterations)
+    weights = work.table(raked.select(*DIMENSIONS, F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0).alias("weight")), "weights")
+    largest = weights.agg(F.max("weight")).first()[0] or 1.0
+    return weights.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(largest)))
+
+
+def mix(docs: DataFrame, work: Workspace, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
+        iterations: int = ITERATIONS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """``id, source, lang, topic, n_tokens, weight, probability, selected`` of
+    every document."""
+    rows = work.table(docs.select(F.col(f"`{id_col}`").alias("_id"), *_dimensions(text_col, source_col, lang_col, topic),
+                                  word_count(F.col(f"`{text_col}`").cast("string")).alias("_tokens")), "rows")
+    weighted = rows.join(calibrate(rows, work, targets, alpha, iterations), list(DIMENSIONS))
     return weighted.select(
         F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), "weight", "probability", (uniform(F.col("_id"), seed) < F.col("probability")).alias("selected"))
 
 
+def sample(docs: DataFrame, work: Workspace, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
+           iterations: int = ITERATIONS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
+           source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
+    """The selected rows of ``docs``, as they are."""
+    own = _dimensions(text_col, source_col, lang_col, topic)
+    rows = docs.select(*own, word_count(F.col(f"`{text_col}`").cast("string")).alias("_tokens"))
+    weights = calibrate(rows, work, targets, alpha, iterations)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *own, uniform(F.col(f"`{id_col}`"), seed).alias("_u"))
+    return whole.join(weights, list(DIMENSIONS)).filter(F.col("_u") < F.col("probability")).select("_row.*")
+
+
 def oracle_sql(iterations: int = ITERATIONS, alpha: float = ALPHA, seed: str = SEED, docs: str = "documents") -> str:
     """The same mixture as DuckDB SQL, every raking step a query of its own."""
     ctes = [f"""rows AS (
@@ -130,7 +153,7 @@ def oracle_sql(iterations: int = ITERATIONS, alpha: float = ALPHA, seed: str = S
             ctes.append(f"""r{k} AS MATERIALIZED (SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN raked * ({d}_share * total / own) ELSE 0 END AS raked)
   FROM (SELECT *, sum(raked) OVER (PARTITION BY {d}) AS own FROM r{k - 1}))""")
     ctes.append(f"w AS (SELECT _source, _lang, _topic, CASE WHEN mass > 0 THEN raked / mass ELSE 1 END AS weight FROM r{k})")
-    ctes.append("m AS (SELECT *, weight / max(weight) OVER () AS probability FROM w)")
+    ctes.append("m AS (SELECT *, least(1.0, weight / max(weight) OVER ()) AS probability FROM w)")
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, _source AS source, _lang AS lang, _topic AS topic, _tokens AS n_tokens,
        round(weight, 9) AS weight, round(probability, 9) AS probability,

@@ -379,3 +379,29 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
                       F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_representatives(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD, size: int = SIZE,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: that
+    with the smallest id.  Of repeated rows one stays; rows with a NULL id stay
+    unless their text's set has a document with an id."""
+    found = work.table(jaccard_components(docs, work, threshold, size, id_col, text_col), "found")
+    gone = found.filter(F.col("component_id") != F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias("_gone")).distinct()
+    nameless = found.filter(F.col(f"`{id_col}`").isNull() & F.col("component_id").isNotNull()).limit(1).count()
+    repeated = found.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count()
+    own = F.col(f"`{id_col}`")
+    small = gone.count() <= BROADCAST_IDS
+    stay = docs.join(F.broadcast(gone) if small else gone, own == F.col("_gone"), "left_anti")
+    if not nameless and not repeated:
+        return stay
+    # the unusual rows alone: with NULL or repeated ids
+    odd = found.groupBy(F.col(f"`{id_col}`").alias("_odd")).count().filter("_odd is null or count > 1").select("_odd")
+    usual = stay.join(odd, own.eqNullSafe(F.col("_odd")), "left_anti")
+    unusual = stay.join(odd, own.eqNullSafe(F.col("_odd")), "left_semi").dropDuplicates([id_col, text_col])
+    if nameless:
+        named = docs.filter(own.isNotNull()).select(F.col(f"`{text_col}`").alias("_named")).join(
+            unusual.filter(own.isNull()).select(F.col(f"`{text_col}`").alias("_named")).distinct(), "_named", "left_semi").distinct()
+        unusual = unusual.filter(own.isNotNull()).unionByName(
+            unusual.filter(own.isNull()).join(named, F.col(f"`{text_col}`") == F.col("_named"), "left_anti"))
+    return usual.unionByName(unusual)

@@ -46,12 +46,15 @@ class Workspace:
 
     ``table`` cuts the lineage of a frame with a Parquet table; ``release``
     deletes the folder once the results that read it are no longer needed.  It
-    is also a context manager.
+    is also a context manager.  ``live`` lists those not released yet.
     """
 
+    live: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.live.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
@@ -71,6 +74,8 @@ class Workspace:
         fs, path = filesystem(self.uri)
         if fs.get_file_info(path).type == pafs.FileType.Directory:
             fs.delete_dir(path)
+        if self in Workspace.live:
+            Workspace.live.remove(self)
 
     def __enter__(self) -> Workspace:
         return self
@@ -89,7 +94,7 @@ def join_path(folder: str, name: str) -> str:
     return posixpath.join(folder, name)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 8 << 20):
     """Slices of a batch that hold about ``max_bytes`` of a string or binary
     column each (a longer single value is a slice of its own)."""
     n = batch.num_rows

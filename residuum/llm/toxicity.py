@@ -27,6 +27,7 @@ without labels of both kinds ``fit`` raises ``ValueError``.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -350,47 +351,69 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, n_toxi
 _memories: dict[str, PieceMemory] = {}
 
 
+def _worst(model: Model, memory: PieceMemory, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the probability of toxicity and its worst string's byte range
+    (-1, -1 without any string)."""
+    data, offsets = text_bytes(column)
+    s = Strings(data, offsets)
+    n = len(column)
+    worst = np.full(n, model.bias, np.float32)
+    begin, end = np.full(n, -1), np.full(n, -1)
+    if len(s.owner):
+        at, _ = memory.look_up(s.pieces)
+        values = memory.pool[at]
+        order = np.lexsort((-values, s.owner))
+        texts, first = np.unique(s.owner[order], return_index=True)
+        top = order[first]
+        worst[texts] = values[top]
+        begin[texts], end[texts] = s.pieces.begins[top] - offsets[texts], s.pieces.ends[top] - offsets[texts]
+    z = model.slope * worst.astype(np.float64) + model.shift
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500))), begin, end
+
+
+def _memory(name: str, model: Model) -> PieceMemory:
+    if name not in _memories:
+        _memories.clear()
+        _memories[name] = PieceMemory(lambda pieces: _as_bytes(model, pieces), "<f4")
+    return _memories[name]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, start, end``: the probability of toxicity, and the byte
     range of the worst string (NULL in a text without strings)."""
-    import uuid
-
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     id_type = src.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        if name not in _memories:
-            _memories.clear()
-            _memories[name] = PieceMemory(lambda pieces: _as_bytes(own, pieces), "<f4")
-        memory = _memories[name]
+        memory = _memory(name, shared.value)
         for whole in batches:
             for batch in slices(whole, "_text"):
-                data, offsets = text_bytes(batch.column("_text"))
-                s = Strings(data, offsets)
-                worst = np.full(batch.num_rows, own.bias, np.float32)
-                begin, end = np.full(batch.num_rows, -1), np.full(batch.num_rows, -1)
-                if len(s.owner):
-                    at, _ = memory.look_up(s.pieces)
-                    values = memory.pool[at]
-                    order = np.lexsort((-values, s.owner))
-                    texts, first = np.unique(s.owner[order], return_index=True)
-                    top = order[first]
-                    worst[texts] = values[top]
-                    begin[texts], end[texts] = s.pieces.begins[top] - offsets[texts], s.pieces.ends[top] - offsets[texts]
-                z = own.slope * worst.astype(np.float64) + own.shift
+                p, begin, end = _worst(shared.value, memory, batch.column("_text"))
                 none = begin < 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))),
-                     pa.array(begin, pa.int32(), mask=none), pa.array(end, pa.int32(), mask=none)],
+                    [batch.column("_id"), pa.array(p), pa.array(begin, pa.int32(), mask=none), pa.array(end, pa.int32(), mask=none)],
                     names=["_id", "score", "start", "end"])
 
     out = src.mapInArrow(run, f"_id {id_type}, score double, start int, end int")
     return out.select(F.col("_id").alias(id_col), "score", "start", "end")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, as they are."""
+    name, place = uuid.uuid4().hex, docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _memory(name, shared.value)
+        for whole in batches:
+            for batch in slices(whole, place):
+                yield batch.filter(pa.array(_worst(shared.value, memory, batch.column(place))[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _as_bytes(model: Model, pieces: list[str]) -> list[bytes]:
     values = np.concatenate([model.strings(pieces[i:i + 20_000]) for i in range(0, len(pieces), 20_000)]).astype("<f4")
     raw = values.tobytes()
