@@ -2,24 +2,40 @@
 
 ``alignment_counts`` tags the keys of both sides and aggregates them per key;
 partial aggregation runs map-side, so a key repeated on a third of all rows
-still ships at most one partial row per task.
+still ships at most one partial row per task.  Keys are compared as they are,
+column by column, and NULL is a key like any other: the check counts it and
+the joins match it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Keys = str | list[str] | tuple[str, ...]
+
+
+def _names(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
 
-def alignment_counts(left: DataFrame, right: DataFrame, key: str,
-                     right_key: str | None = None) -> DataFrame:
+def _q(name: str):
+    return F.col(f"`{name}`")
+
+
+def alignment_counts(left: DataFrame, right: DataFrame, key: Keys,
+                     right_key: Keys | None = None) -> DataFrame:
     """One row: ``n_left, n_right, n_matched_keys, n_left_only, n_right_only,
     n_duplicate_keys`` (keys seen more than once on either side)."""
-    rk = right_key or key
-    tagged = (left.select(F.col(key).alias("_k"), F.lit(1).alias("_l"), F.lit(0).alias("_r"))
-              .unionByName(right.select(F.col(rk).alias("_k"), F.lit(0).alias("_l"),
-                                        F.lit(1).alias("_r"))))
-    per_key = tagged.groupBy("_k").agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    lk = _names(key)
+    rk = _names(right_key) if right_key is not None else lk
+    keys = [f"_k{i}" for i in range(len(lk))]
+    tagged = (left.select(*[_q(c).alias(k) for c, k in zip(lk, keys)], F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+              .unionByName(right.select(*[_q(c).alias(k) for c, k in zip(rk, keys)],
+                                        F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
+    per_key = tagged.groupBy(*keys).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
     return per_key.agg(
         F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("n_left"),
         F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("n_right"),
@@ -30,8 +46,8 @@ def alignment_counts(left: DataFrame, right: DataFrame, key: str,
     )
 
 
-def assert_aligned(left: DataFrame, right: DataFrame, key: str,
-                   right_key: str | None = None) -> None:
+def assert_aligned(left: DataFrame, right: DataFrame, key: Keys,
+                   right_key: Keys | None = None) -> None:
     """Raise unless both sides hold exactly the same keys, each once."""
     c = alignment_counts(left, right, key, right_key).first()
     if c["n_left_only"] or c["n_right_only"] or c["n_duplicate_keys"]:
@@ -41,12 +57,21 @@ def assert_aligned(left: DataFrame, right: DataFrame, key: str,
             f"{c['n_duplicate_keys']} duplicated")
 
 
-def attach(df: DataFrame, other: DataFrame, key: str, check: bool = True) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, key: Keys, how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left."""
+    names = _names(key)
+    other = right.select(*[_q(c).alias(f"_o{i}") for i, c in enumerate(names)],
+                         *[_q(c) for c in right.columns if c not in names])
+    same = reduce(lambda a, b: a & b, [_q(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(names)])
+    return left.join(other, same, how).drop(*[f"_o{i}" for i in range(len(names))])
+
+
+def attach(df: DataFrame, other: DataFrame, key: Keys, check: bool = True) -> DataFrame:
     """Join per-row results (e.g. stored predictions) back on the key,
     after checking that every key is present exactly once on both sides."""
     if check:
         assert_aligned(df, other, key)
-    return df.join(other, on=key, how="inner")
+    return null_safe_join(df, other, key)
 
 
 def attach_by_position(df: DataFrame, order_by: list[str] | tuple[str, ...],
@@ -57,15 +82,11 @@ def attach_by_position(df: DataFrame, order_by: list[str] | tuple[str, ...],
     list: ``[series..., pos, value]``) to keyed rows: the rows are numbered
     0, 1, ... in ``order_by`` order within each series, the numbering is
     checked to cover every position exactly once, then both are joined on
-    (series, position) - never zipped."""
+    (series, position) - never zipped.  A NULL series is a series."""
     from .ordering import dense_index
     numbered = dense_index(df, order_by, partition_by, out="_pos_idx")
-    keys = list(partition_by)
+    keys = [*partition_by, "_pos_idx"]
+    listed = values.withColumnRenamed(pos, "_pos_idx").withColumn("_pos_idx", F.col("_pos_idx").cast("long"))
     if check:
-        left = numbered.select(F.concat_ws("|", *[F.col(c).cast("string") for c in keys],
-                                           F.col("_pos_idx").cast("string")).alias("_k"))
-        right = values.select(F.concat_ws("|", *[F.col(c).cast("string") for c in keys],
-                                          F.col(pos).cast("string")).alias("_k"))
-        assert_aligned(left, right, "_k")
-    joined = numbered.join(values.withColumnRenamed(pos, "_pos_idx"), on=[*keys, "_pos_idx"])
-    return joined.drop("_pos_idx")
+        assert_aligned(numbered, listed, keys)
+    return null_safe_join(numbered, listed, keys).drop("_pos_idx")

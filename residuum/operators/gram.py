@@ -5,9 +5,11 @@ Plain gradient descent on the mean squared error with step
 
     gradient(w) = X'X/n . w - X'y/n
 
-so one distributed aggregate (``d(d+3)/2`` running sums, partial per task)
-replaces one full pass per iteration; the iterations then run on a d x d
-matrix.  This reproduces MLlib's full-batch ``LinearRegressionWithSGD``
+so the data is read a fixed number of times, whatever the iterations: up to
+``NARROW`` columns by one aggregate of ``d(d+3)/2`` sums, beyond by Spark ML's
+correlation matrix of one vector column (blocks in the JVM) with the columns'
+means and deviations, ``X'X/n = cov + mean mean'``.  The iterations then run on
+a d x d matrix.  This reproduces MLlib's full-batch ``LinearRegressionWithSGD``
 (zero start, no intercept by default, stop once
 ``||w_t - w_{t-1}|| < tol * max(||w_t||, 1)`` from the second iteration on)
 up to floating-point summation order.
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTERCEPT = "__intercept__"
+#: Up to so many columns the sums are separate aggregate expressions.
+NARROW = 12
 
 
 @dataclass
@@ -35,7 +39,7 @@ class GramLeastSquaresModel:
     def predict_column(self) -> Column:
         expr = F.lit(float(self.intercept))
         for name, w in zip(self.features, self.weights):
-            expr = expr + F.lit(float(w)) * F.col(name)
+            expr = expr + F.lit(float(w)) * F.col(f"`{name}`")
         return expr
 
     def transform(self, df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
@@ -57,6 +61,8 @@ class GramLeastSquares:
         if self.fit_intercept:
             src = src.withColumn(INTERCEPT, F.lit(1.0))
         d = len(cols)
+        if d > NARROW:
+            return self._block_moments(src, cols)
         aggs = [F.count(F.lit(1)).alias("n"),
                 F.avg(F.col(self.label) * F.col(self.label)).alias("yy")]
         for i in range(d):
@@ -72,6 +78,28 @@ class GramLeastSquares:
                 g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
         return n, g, b, float(row["yy"] or 0.0)
 
+    def _block_moments(self, src: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray, float]:
+        """The same moments for wide data, label included as a last column."""
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation, Summarizer
+
+        vec = VectorAssembler(inputCols=[*cols, self.label], outputCol="_xy").transform(src).select("_xy")
+        s = vec.select(Summarizer.metrics("count", "mean", "std").summary(F.col("_xy")).alias("s")).first()["s"]
+        n = int(s["count"])
+        d = len(cols)
+        if n == 0:
+            return 0, np.zeros((d, d)), np.zeros(d), 0.0
+        mean, std = s["mean"].toArray(), s["std"].toArray()
+        if n > 1:
+            # population covariances; a constant column has none (its correlations are NaN)
+            corr = np.nan_to_num(Correlation.corr(vec, "_xy").first()[0].toArray())
+            np.fill_diagonal(corr, 1.0)
+            cov = corr * np.outer(std, std) * (n - 1) / n
+        else:
+            cov = np.zeros((d + 1, d + 1))
+        second = cov + np.outer(mean, mean)
+        return n, second[:d, :d], second[:d, d], float(second[d, d])
+
     def fit(self, df: DataFrame) -> GramLeastSquaresModel:
         n, g, b, yy = self.moments(df)
         w = np.zeros(len(b))

@@ -8,6 +8,7 @@ name, which would silently tie results to it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
@@ -147,23 +148,19 @@ def coefficients(spark: SparkSession, fitted: FittedModel) -> DataFrame:
 
 
 def glr_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
-    """The training summary of a GLR fit as one row."""
+    """The training summary of a GLR fit as one row (a failing job is an error
+    here, not a missing statistic)."""
     s = fitted.learner.summary
-    def safe(f):
-        try:
-            return f()
-        except Exception:  # some statistics are undefined for a given fit
-            return None
     row = {
-        "dispersion": safe(lambda: float(s.dispersion)),
-        "null_deviance": safe(lambda: float(s.nullDeviance)),
-        "deviance": safe(lambda: float(s.deviance)),
-        "residual_dof_null": safe(lambda: int(s.residualDegreeOfFreedomNull)),
-        "residual_dof": safe(lambda: int(s.residualDegreeOfFreedom)),
-        "aic": safe(lambda: float(s.aic)),
-        "coefficient_standard_errors": safe(lambda: [float(x) for x in s.coefficientStandardErrors]),
-        "t_values": safe(lambda: [float(x) for x in s.tValues]),
-        "p_values": safe(lambda: [float(x) for x in s.pValues]),
+        "dispersion": float(s.dispersion),
+        "null_deviance": float(s.nullDeviance),
+        "deviance": float(s.deviance),
+        "residual_dof_null": int(s.residualDegreeOfFreedomNull),
+        "residual_dof": int(s.residualDegreeOfFreedom),
+        "aic": float(s.aic),
+        "coefficient_standard_errors": [float(x) for x in s.coefficientStandardErrors],
+        "t_values": [float(x) for x in s.tValues],
+        "p_values": [float(x) for x in s.pValues],
     }
     schema = T.StructType([
         T.StructField("dispersion", T.DoubleType()),
@@ -179,6 +176,23 @@ def glr_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
+def gaussian_statistics(scored: DataFrame, label: str, n_features: int,
+                        prediction: str = PREDICTION) -> DataFrame:
+    """The scalar statistics of a gaussian/identity fit with an intercept, in
+    one aggregate over its scored training rows: ``dispersion, null_deviance,
+    deviance, residual_dof_null, residual_dof, aic``."""
+    y, err = F.col(label), F.col(label) - F.col(prediction)
+    s = scored.where(y.isNotNull()).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(err * err).alias("deviance"),
+        (F.var_pop(y) * F.count(y)).alias("null_deviance"))
+    dof = F.col("_n") - F.lit(n_features + 1)
+    n = F.col("_n").cast("double")
+    return s.select(
+        F.try_divide(F.col("deviance"), dof.cast("double")).alias("dispersion"), "null_deviance", "deviance",
+        (F.col("_n") - 1).alias("residual_dof_null"), dof.alias("residual_dof"),
+        (n * (F.log(F.try_divide(F.col("deviance"), n) * F.lit(2.0) * F.pi()) + 1.0) + 2.0 + F.lit(2.0 * (n_features + 1))).alias("aic"))
+
+
 def tree_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     """``technique, num_trees, depth, num_nodes, feature, importance``: one row
     per feature (depth and node count summed over the trees of an ensemble)."""
@@ -200,14 +214,19 @@ def tree_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+_IF = re.compile(r"If \(feature (\d+) <= ([-+.\dEe]+)\)")
+_PREDICT = re.compile(r"Predict: ([-+.\dEe]+)")
+
+
 def root_split(fitted: FittedModel) -> dict[str, float]:
     """Threshold and leaf predictions of the root split of a single tree
-    whose root splits a continuous feature (depth-1 trees)."""
-    root = fitted.learner._java_obj.rootNode()
-    split = root.split()
-    return {"feature": int(split.featureIndex()), "threshold": float(split.threshold()),
-            "left": float(root.leftChild().prediction()),
-            "right": float(root.rightChild().prediction())}
+    whose root splits a continuous feature (depth-1 trees), from the model's
+    own text."""
+    text = fitted.learner.toDebugString
+    split, leaves = _IF.search(text), _PREDICT.findall(text)
+    if split is None or len(leaves) != 2:
+        raise ValueError("not a depth-1 tree with a continuous split")
+    return {"feature": int(split[1]), "threshold": float(split[2]), "left": float(leaves[0]), "right": float(leaves[1])}
 
 
 def residuals(scored: DataFrame, label: str, prediction: str = PREDICTION,

@@ -2,60 +2,112 @@
 label lookup.
 
 ``dense_index`` numbers the rows of each series 0, 1, 2 ... in key order
-without ever placing a whole series in one task: rows are range-partitioned
-on ``(series..., order...)`` (so a huge series spans many partitions), each
-partition counts its rows per series, a running sum over those counts (a
-table of at most #partitions + #series rows) gives every (partition, series)
-its starting offset, and each row adds its position inside the partition.
-
-The range-partitioned frame is pinned (checkpoint, or persist when no shared
-folder is configured) before it is read twice: range bounds come from a
-sample and row order after a shuffle is not fixed, so two evaluations of the
-same lazy frame could disagree about which row sits where.
+without ever placing a whole series in one task and with one shuffle of the
+data.  Rows are range-partitioned on ``(series..., order...)`` and sorted, so a
+huge series spans many partitions.  Only the first series of a partition can go
+on from an earlier partition: each partition's first and last series with
+their row counts give the number that its first series starts from, one number
+a partition.  The rest is counted inside the partition.
+
+The range-partitioned frame is pinned before it is read twice: range bounds
+come from a sample and row order after a shuffle is not fixed, so two
+evaluations of the same lazy frame could disagree about which row sits where.
+Ties in the order are broken by the remaining columns, so equal rows are the
+only ones whose numbers could be exchanged, and a tied group may span
+partitions too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .materialize import materialize, owns
 
-from .materialize import materialize
+_ORDERABLE = ("map", "variant", "void", "udt", "interval")
 
-_LOW33 = (1 << 33) - 1
+
+def _ties(df: DataFrame, keys: list[str]) -> list[Column]:
+    """The other columns that can be ordered, as tie-breakers."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes
+            if c not in keys and not any(k in kind for k in _ORDERABLE) and kind != "vector"]
 
 
 def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
                 partition_by: list[str] | tuple[str, ...] = (), out: str = "idx",
                 num_partitions: int | None = None, pin: str = "auto") -> DataFrame:
     """Add ``out`` = 0-based position of the row within its series
-    (``partition_by``) in ``order_by`` order."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(partition_by) + list(order_by)
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
-    ranged = materialize(ranged.drop("_mid"), pin)
-    counts = ranged.groupBy("_pid", *partition_by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    w = Window.partitionBy(*partition_by).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # null-safe on the series columns: a NULL series is a series too
-    o = offsets.select(F.col("_pid").alias("_opid"),
-                       *[F.col(c).alias(f"_o_{c}") for c in partition_by], "_offset", "_first")
-    cond = [F.col("_pid") == F.col("_opid")] + \
-        [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in partition_by]
-    joined = ranged.join(o, on=cond)
-    return joined.withColumn(out, F.col("_offset") + F.col("_pos") - F.col("_first")) \
-        .drop("_pid", "_pos", "_opid", "_offset", "_first", *[f"_o_{c}" for c in partition_by])
+    (``partition_by``) in ``order_by`` order.
+
+    Without ``num_partitions`` the partitions are sized by adaptive execution.
+    """
+    keys = [F.col(f"`{c}`") for c in (*partition_by, *order_by)]
+    order = keys + _ties(df, [*partition_by, *order_by])
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    # a series as one value; NULL is a series of its own
+    own = [F.col(f"`{c}`") for c in partition_by]
+    series = F.xxhash64(*own, *[c.isNull() for c in own]) if own else F.lit(0).cast("long")
+    placed = (ranged.sortWithinPartitions(*order).withColumn("_series", series).withColumn("_part", F.spark_partition_id())
+              .withColumn("_at", F.monotonically_increasing_id()))
+    names = df.columns
+    own_columns = [F.col(f"`{c}`") for c in names]
+    schema = T.StructType([*placed.schema.fields, T.StructField("_first", T.BooleanType()), T.StructField("_local", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Count inside the partition; mark the rows of its first series."""
+        last, count, leading = None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = batch.column(len(names)).to_numpy()
+            new = np.ones(n, bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last is not None and key[0] != last
+            run = np.cumsum(new)                      # 0: the series goes on from the batch before
+            starts = np.concatenate([[-count], np.flatnonzero(new)])
+            local = np.arange(n) - starts[run]
+            first = (run == 0) & leading
+            leading = leading and not new.any()
+            last, count = key[-1], int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(local)], names=[f.name for f in schema])
+
+    numbered = materialize(placed.mapInArrow(number, schema), pin)
+    begins = _continued(numbered)
+    base = F.lit(0).cast("long")
+    if begins:      # at most one entry a partition
+        table = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])
+        base = F.when(F.col("_first"), F.coalesce(F.try_element_at(table, F.col("_part")), F.lit(0))).otherwise(F.lit(0))
+    return owns(numbered.select(*own_columns, (F.col("_local") + base).alias(out)), numbered)
+
+
+def _continued(numbered: DataFrame) -> dict[int, int]:
+    """For partitions whose first series goes on from earlier ones, the number
+    it starts from.  A few numbers per partition come to the driver."""
+    per_part = numbered.groupBy("_part").agg(
+        F.max_by("_series", F.when(F.col("_first"), 1)).alias("first"), F.max(F.when(F.col("_first"), F.col("_local"))).alias("_hi"),
+        F.count(F.when(~F.col("_first"), 1)).alias("n_later"), F.max_by(F.struct("_series", "_local"), "_at").alias("end"))
+    out: dict[int, int] = {}
+    running, current = 0, None
+    for r in sorted(per_part.collect(), key=lambda r: r["_part"]):
+        goes_on = current is not None and r["first"] == current
+        if goes_on:
+            out[r["_part"]] = running
+        if r["n_later"]:
+            running, current = r["end"]["_local"] + 1, r["end"]["_series"]
+        else:
+            running, current = (running if goes_on else 0) + r["_hi"] + 1, r["first"]
+    return out
 
 
 def preview(df: DataFrame, order_by: list[str] | tuple[str, ...], n: int = 20) -> DataFrame:
     """The first ``n`` rows in key order (a top-n: each task keeps n rows)."""
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(n)
 
 
 def first_row(df: DataFrame, order_by: list[str] | tuple[str, ...]) -> DataFrame:
@@ -65,8 +117,9 @@ def first_row(df: DataFrame, order_by: list[str] | tuple[str, ...]) -> DataFrame
 def lookup(df: DataFrame, where: Column, select: list[str], order_by: list[str],
            as_json: str | None = "json") -> DataFrame:
     """First row (in key order) matching ``where``, projected to ``select``;
-    with ``as_json`` the projection is returned as one JSON text column."""
+    with ``as_json`` the projection is returned as one JSON text column, its
+    NULL members included."""
     found = first_row(df.where(where), order_by).select(*select)
     if as_json:
-        return found.select(F.to_json(F.struct(*select)).alias(as_json))
+        return found.select(F.to_json(F.struct(*select), {"ignoreNullFields": "false"}).alias(as_json))
     return found

@@ -1,9 +1,12 @@
 """Holdout split (70/30 by default).
 
-``hash`` (default) assigns a row by a hash of its key: the same row always
+``hash`` (default) places a row by a hash of its key: the same row always
 lands on the same side, whatever the partitioning, retries or executor losses,
 and the assignment is a projection (no shuffle, no sampling job).  ``random``
 is Spark's seeded Bernoulli split, as the reference used (unseeded there).
+
+A NULL key has a place too (that of a fixed text), so no row is on neither
+side, and any fraction is met to the resolution of the hash.
 """
 
 from __future__ import annotations
@@ -11,38 +14,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NULL_KEY = "\u0000null"
+_STEPS = 42949673          # hundredths of the 32-bit hash range, rounded up
+
+
+def _first32(key: Column | str) -> Column:
+    k = F.col(key) if isinstance(key, str) else key
+    text = F.coalesce(k.cast("string"), F.lit(NULL_KEY))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
 
 def hash_bucket(key: Column | str) -> Column:
     """0..99 from the first 32 bits of md5(key as text)."""
-    k = F.col(key) if isinstance(key, str) else key
-    first32 = F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("long")
-    return first32 % F.lit(100)
+    return _first32(key) % F.lit(100)
+
+
+def hash_place(key: Column | str) -> Column:
+    """A place in [0, 1): the bucket gives the hundredths, the rest of the 32
+    bits what lies between them, so whole percents cut exactly at buckets."""
+    h = _first32(key)
+    between = F.floor(h / F.lit(100)).cast("double") / F.lit(float(_STEPS))
+    return ((h % F.lit(100)).cast("double") + between) / F.lit(100.0)
 
 
-BUCKET = "_bucket"
+PLACE = "_split_place"
 
 
-def with_bucket(df: DataFrame, key: str) -> DataFrame:
-    """Store the hash bucket as a column (before pinning a frame that many
+def with_place(df: DataFrame, key: str) -> DataFrame:
+    """Store the hash place as a column (before pinning a frame that many
     passes read, so md5 runs once per row, not once per pass)."""
-    return df if BUCKET in df.columns else df.withColumn(BUCKET, hash_bucket(key).cast("int"))
+    return df if PLACE in df.columns else df.withColumn(PLACE, hash_place(F.col(f"`{key}`")))
 
 
 def train_flag(key: Column | str, train_fraction: float = 0.7,
-               bucket: str | None = None) -> Column:
-    """True for training rows; reads a stored bucket column when given."""
-    b = F.col(bucket) if bucket else hash_bucket(key)
-    return b < F.lit(int(round(train_fraction * 100)))
+               place: str | None = None) -> Column:
+    """True for training rows; reads a stored place column when given."""
+    p = F.col(place) if place else hash_place(key)
+    return p < F.lit(float(train_fraction))
+
+
+def require_rows(df: DataFrame, side: str, train_fraction: float) -> None:
+    """Raise when a side of the split is empty (reads at most one row)."""
+    if df.isEmpty():
+        raise ValueError(f"train_fraction={train_fraction} leaves no rows for the {side} side")
 
 
 def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7,
-                  method: str = "hash", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                  method: str = "hash", seed: int = 42,
+                  check: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(train, holdout)``; ``check`` raises ``ValueError`` if either is empty."""
     if not 0.0 < train_fraction < 1.0:
         raise ValueError("train_fraction must lie strictly between 0 and 1")
     if method == "hash":
-        flag = train_flag(key, train_fraction, BUCKET if BUCKET in df.columns else None)
-        return df.where(flag), df.where(~flag)
-    if method == "random":
+        flag = train_flag(F.col(f"`{key}`"), train_fraction, PLACE if PLACE in df.columns else None)
+        train, holdout = df.where(flag), df.where(~flag)
+    elif method == "random":
         train, holdout = df.randomSplit([train_fraction, 1.0 - train_fraction], seed=seed)
-        return train, holdout
-    raise ValueError(f"unknown split method {method!r}; use 'hash' or 'random'")
+    else:
+        raise ValueError(f"unknown split method {method!r}; use 'hash' or 'random'")
+    if check:
+        require_rows(train, "training", train_fraction)
+        require_rows(holdout, "holdout", train_fraction)
+    return train, holdout

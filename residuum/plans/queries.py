@@ -18,6 +18,7 @@ from ..operators import models as M
 from ..operators.alignment import alignment_counts, attach_by_position
 from ..operators.encode import assemble, libsvm_line
 from ..operators.indexing import categorical_decision, fit_indexer
+from ..operators.materialize import materialize
 from ..operators.ordering import dense_index, lookup, preview
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, delta_table, pairs
 from ..operators.split import hash_bucket, train_flag
@@ -88,16 +89,14 @@ def q_stream_glr_report(spark, sf):
     """Streaming: orders arrive as a stream, are joined to the (pinned) static
     line totals, scored with the two-feature GLR fitted in batch, and the
     three-way report is kept as streaming state; equals ``glr_report``."""
-    import uuid
-    from ..operators.materialize import materialize
-    from ..streaming import correct_stream, run_to_table, running_report
+    from ..streaming import correct_stream, run_to_store, running_report
     spec = SPEC.with_features(*GLR_FEATURES)
-    fitted = _glr_two_features(spark, sf).model
-    lines = materialize(line_totals(spark, sf))
+    lines = materialize(line_totals(spark, sf))     # aggregated once, for the fit and the stream
+    cal = calibration_from(read_table(spark, sf, "orders"), lines)
+    fitted = correct(cal, spec, "glr").model
     stream = calibration_from(stream_table(spark, sf, "orders"), lines)
     report = running_report(correct_stream(stream, spec, fitted), spec)
-    out = run_to_table(report, f"stream_report_{uuid.uuid4().hex[:12]}")
-    return _rounded_report(out)
+    return _rounded_report(run_to_store(report))
 
 
 def q_glr_report_by_year(spark, sf):
@@ -112,7 +111,8 @@ def q_glr_report_by_year(spark, sf):
 def q_glr_fit_statistics(spark, sf):
     """M10 (scalars): deviance, null deviance, residual degrees of freedom,
     dispersion and AIC of the two-feature GLR fit."""
-    summ = M.glr_summary(spark, _glr_two_features(spark, sf).model)
+    scored = _glr_two_features(spark, sf).series
+    summ = M.gaussian_statistics(scored, DELTA, len(GLR_FEATURES), E_HAT)
     return summ.select(
         rnd("dispersion", 0).alias("dispersion"),
         rnd("null_deviance", -4).alias("null_deviance"),
@@ -130,9 +130,9 @@ def q_glr_coefficients(spark, sf):
 def q_glr_residuals(spark, sf):
     """M9 + L1: the residual listing (first 20 rows in key order)."""
     res = _glr_two_features(spark, sf)
-    top = preview(res.series, [SPEC.key], 20)
+    top = preview(M.residuals(res.series, DELTA, E_HAT), [SPEC.key], 20)
     return top.select(SPEC.key, rnd(DELTA, 2).alias("label"), rnd(E_HAT, 2).alias("prediction"),
-                      rnd(F.col(DELTA) - F.col(E_HAT), 2).alias("residual"))
+                      rnd("residual", 2).alias("residual"))
 
 
 # ------------------------------------------------------------ split, indexing
@@ -236,7 +236,7 @@ def q_event_index(spark, sf):
 def q_sgd_one_feature(spark, sf):
     """M6 + A6: full-batch least squares by gradient descent on qty
     (100 iterations, step 1e-8, no intercept) and its training MSE."""
-    cal = add_delta(calibration_orders(spark, sf), SPEC)
+    cal = materialize(add_delta(calibration_orders(spark, sf), SPEC))
     fitted = M.fit("sgd", cal, DELTA, (SGD_FEATURE,))
     model = fitted.learner
     scored = fitted.transform(cal)

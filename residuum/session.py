@@ -2,14 +2,13 @@
 cluster's shared checkpoint folder.
 
 The library never invents a storage location on a cluster: ``checkpoint_dir``
-only reports what the session was configured with.  Tests and the bench set a
+only reports what the session was configured with.  Tests and the bench name a
 scratch folder themselves when the setting is missing.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -59,15 +58,3 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext.getCheckpointDir()
     return None
-
-
-def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """For tests and the local bench only: use the configured folder, or
-    create a fresh scratch folder when the session names none."""
-    found = checkpoint_dir(spark)
-    if found:
-        return found
-    scratch = tempfile.mkdtemp(prefix="residuum-ckpt-")
-    spark.conf.set(CHECKPOINT_CONF, scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return spark.sparkContext.getCheckpointDir()

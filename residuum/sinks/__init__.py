@@ -7,7 +7,7 @@ formatting is ``accuracy_text`` (a single number).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS
@@ -42,22 +42,47 @@ def write_predictions(series: DataFrame, path: str, key: str,
 
 def accuracy_text(rmse: float | None) -> str:
     """K4: the holdout accuracy line, C ``%g`` formatting of one number."""
+    # fixed value: the line's text
     return "Root Mean Squared Error (RMSE) on test data = %g" % (
         float("nan") if rmse is None else rmse)
 
 
+def general_number(c: Column) -> Column:
+    """A double as C's ``%g`` writes it: six significant digits, without
+    closing zeros, with an exponent from 1e6 on and below 1e-4 (an exact tie
+    between two results goes up)."""
+    text = F.format_string("%.5e", c)
+    mantissa, power = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1).cast("int")
+    short = lambda t: F.when(t.contains("."), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t)
+    plain = F.format_string("%.0f", c)
+    for digits in range(1, 10):
+        plain = F.when(power == 5 - digits, F.format_string(f"%.{digits}f", c)).otherwise(plain)
+    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (F.when(c.isNull() | F.isnan(c), "nan").when(c == 0, "0")
+            .when((power < -4) | (power > 5), F.concat(short(mantissa), F.lit("e"), exponent)).otherwise(short(plain)))
+
+
+def accuracy_line(rmse: Column) -> Column:
+    """The accuracy line as a column expression (``accuracy_text`` of a value)."""
+    # fixed value: the line's text
+    return F.concat(F.lit("Root Mean Squared Error (RMSE) on test data = "), general_number(rmse))
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """K5: the three-series report (``series, rmse, pbias, cd, nse[,
     holdout_rmse]``) as one JSON object ``{original_rmse, ..., delta_error_nse
-    [, holdout_rmse]}`` (one aggregate over the 3 report rows).  Series values
-    stay in tables; only the metrics travel as JSON."""
+    [, accuracy_info, holdout_rmse]}`` (one aggregate over the 3 report rows).
+    A metric that is not defined is a ``null`` member.  Series values stay in
+    tables; only the metrics travel as JSON."""
     names = ["original", "improved", "delta_error"]
     cols = [F.first(F.when(F.col("series") == s, F.col(m)), ignorenulls=True).alias(f"{s}_{m}")
             for s in names for m in METRICS]
-    if "holdout_rmse" in report.columns:
-        cols.append(F.first("holdout_rmse").alias("holdout_rmse"))
-    wide = report.agg(*cols)
-    return wide.select(F.to_json(F.struct(*wide.columns)).alias("report"))
+    wide = report.agg(*cols, *([F.first("holdout_rmse").alias("holdout_rmse")] if "holdout_rmse" in report.columns else []))
+    members = [F.col(c) for c in wide.columns if c != "holdout_rmse"]
+    if "holdout_rmse" in wide.columns:
+        # the line ends with a line break, as in the reference's document
+        members += [F.concat(accuracy_line(F.col("holdout_rmse").cast("double")), F.lit("\n")).alias("accuracy_info"), F.col("holdout_rmse")]
+    return wide.select(F.to_json(F.struct(*members), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

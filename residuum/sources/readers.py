@@ -13,6 +13,8 @@ and nothing here pulls data to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,26 +22,79 @@ from pyspark.sql import types as T
 from ..spec import CalibrationSpec
 
 
+#: Fields that mean "no value", after trimming (any case of the words).
+MISSING = ("", "na", "nan", "null", "none")
+_CORRUPT = "_corrupt_record"
+
+
+def _number(c: Column) -> Column:
+    """A text field as a double: NULL for a missing token, and NULL too for
+    anything else that is no number (``_is_bad`` tells the two apart)."""
+    text = F.trim(c)
+    return F.when(F.lower(text).isin(*MISSING), F.lit(None)).otherwise(text.try_cast("double"))
+
+
+def _is_bad(c: Column) -> Column:
+    text = F.trim(c)
+    return c.isNotNull() & ~F.lower(text).isin(*MISSING) & text.try_cast("double").isNull()
+
+
 def read_calibration(spark: SparkSession, path: str, fmt: str = "csv",
                      schema: T.StructType | str | None = None,
-                     key: str | None = "row_id") -> tuple[DataFrame, CalibrationSpec]:
-    """Read a calibration table once and resolve its roles by position.
-
-    CSV: header row, ``NaN`` and empty fields read as missing.  Without a
-    ``schema`` the types are inferred (an extra pass; give a schema at scale).
-    If ``key`` is absent from the file a stable row id is added (monotonic:
-    unique, not dense; order follows the file splits).
+                     key: str | None = "row_id", check: bool = True) -> tuple[DataFrame, CalibrationSpec]:
+    """Read a calibration table and resolve its roles by position.
+
+    CSV with a header row.  Every field is read as text and the roles are
+    turned into doubles: empty fields and ``NA``, ``NaN``, ``null``, ``none``
+    are missing.  A row with another number of fields than the header, or with
+    a role that is neither missing nor a number, is malformed: ``check`` counts
+    such rows in one pass and raises ``ValueError`` with their number, so none
+    is trained on half-read.  Without ``check`` such fields are NULL.
+
+    ``schema`` gives the types of columns without a numeric role (the key).  If
+    ``key`` is absent from the file a row id is added that is unique but follows
+    the file splits; the holdout split then goes by the row's content
+    (``split_key``), which is the same however the file is read.
     """
+    split_key = None
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("nanValue", "NaN") \
-            .option("nullValue", "")
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(path)   # duplicate header names come back as name + position
+        names = spark.read.option("header", True).csv(path).columns   # repeated names get their position
+        text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+        raw = spark.read.schema(text).option("header", True).option("enforceSchema", True) \
+            .option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
+        given = {f.name: f.dataType for f in _schema(schema)} if schema is not None else {}
+        roles = [n for n in names if n != key]
+        if check:
+            bad = reduce(lambda x, y: x | y, [_is_bad(_field(n)) for n in roles], F.col(_CORRUPT).isNotNull())
+            n_bad = raw.select(bad.alias("bad")).agg(F.count_if("bad")).first()[0]
+            if n_bad:
+                raise ValueError(f"{n_bad} malformed rows in {path}: wrong number of fields, or a field that is no number")
+        cols = [_number(_field(n)).alias(n) for n in roles]
+        if key in names:
+            cols = [_field(key).cast(given.get(key, T.StringType())).alias(key), *cols]
+            df = raw.select(*cols)
+            if key not in given and not df.filter(_field(key).try_cast("long").isNull() & _field(key).isNotNull()).limit(1).count():
+                df = df.withColumn(key, _field(key).cast("long"))
+        else:
+            split_key = "_split_content"
+            df = raw.select(*cols, F.md5(F.to_json(F.array(*[_field(n) for n in names]), {"ignoreNullFields": "false"})).alias(split_key))
     else:
         df = spark.read.format(fmt).load(path)
     if key and key not in df.columns:
         df = df.withColumn(key, F.monotonically_increasing_id())
-    return df, CalibrationSpec.from_positions(df, key=key)
+        if split_key is None:
+            split_key = "_split_content"
+            content = [_field(c).cast("string") for c in df.columns if c != key]
+            df = df.withColumn(split_key, F.md5(F.to_json(F.array(*content), {"ignoreNullFields": "false"})))
+    return df, CalibrationSpec.from_positions(df, key=key, split_key=split_key)
+
+
+def _field(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _schema(schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:

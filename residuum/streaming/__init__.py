@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import assemble
+from ..operators.materialize import new_store, owns
 from ..operators.models import PREDICTION, FittedModel
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean
 from ..plans.correct import FEATURES_COL, three_way_report
@@ -49,20 +50,30 @@ def windowed_report(scored: DataFrame, spec: CalibrationSpec, time_col: str,
     return three_way_report(timed, spec, "window")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over everything available into a memory table
-    and return it as a batch frame.  The stream's checkpoint goes to the
-    shared checkpoint folder when the session names one."""
-    import uuid
+def run_to_store(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a streaming frame over everything available, micro-batch by
+    micro-batch, into a table under the shared folder and return it as a batch
+    frame.  ``complete`` keeps the last batch's state, ``append`` and
+    ``update`` every batch's rows.  Each batch has a folder of its own that a
+    repeated batch overwrites, so a restart writes nothing twice; the stream's
+    checkpoint lies beside them, and ``release`` deletes both.
+    """
+    spark = df.sparkSession
+    base = new_store(spark)
+    if base is None:
+        raise ValueError("a stream needs spark.checkpoint.dir for its checkpoint and its result")
+    done: list[int] = []
 
-    from ..session import checkpoint_dir
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name)
-    base = checkpoint_dir(df.sparkSession)
-    if base:
-        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
-    q = writer.start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        done.append(number)
+
+    q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/_stream")
+         .trigger(availableNow=True).foreachBatch(write).start())
+    q.awaitTermination()
+    if not done:
+        out = spark.createDataFrame([], df.schema)
+    else:
+        numbers = [max(done)] if mode == "complete" else sorted(set(done))
+        out = spark.read.schema(df.schema).parquet(*[f"{base}/batch={n}" for n in numbers])
+    return owns(out, base)

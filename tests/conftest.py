@@ -24,8 +24,8 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # the configured shared checkpoint folder is used; a scratch one only if unset
-    from residuum.session import ensure_local_checkpoint_dir
-    ensure_local_checkpoint_dir(s)
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.conf.set("spark.checkpoint.dir", "file://" + os.path.join(scratch, "shared"))
     yield s
     s.stop()
 

@@ -38,10 +38,25 @@ def test_report_is_one_aggregate(spark):
     assert p.count("HashAggregate") + p.count("ObjectHashAggregate") == 2   # partial + final
 
 
-def test_dense_index_has_no_single_partition_sort(spark):
-    p = plan(queries()["event_index"](spark, SF001))
-    # the per-user index never funnels a user's rows into one window partition:
-    # the only window runs over the small (partition, series) counts
-    windows = [line for line in p.splitlines() if "Window [" in line]
-    assert len(windows) == 1
-    assert re.search(r"sum\(_n", windows[0]), windows[0]   # over the counts table, not rows
+def test_dense_index_shuffles_once(spark):
+    """One exchange of the data, by range, and no window and no join, also
+    when nothing may be broadcast."""
+    from residuum.operators.ordering import dense_index
+    from residuum.sources.tables import read_table
+    ev = read_table(spark, SF001, "events").select("event_id", "user_id", "ts")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        unpinned = plan(dense_index(ev, ["ts", "event_id"], ["user_id"], pin="none"))
+        pinned = plan(dense_index(ev, ["ts", "event_id"], ["user_id"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert unpinned.count("Exchange rangepartitioning") >= 1 and "Exchange hashpartitioning" not in unpinned
+    assert "Exchange" not in pinned
+    for p in (unpinned, pinned):
+        assert "Window" not in p and "Join" not in p
+
+
+def test_comparison_scans_once(spark):
+    p = plan(queries()["technique_comparison"](spark, SF001))
+    assert p.count("FileScan") == 1 and p.count("Exchange") == 1

@@ -25,7 +25,8 @@ def test_predictions_and_report(spark, tmp_out):
     doc = json.loads(report_json(res.report).first().report)
     metrics = {r["series"]: r for r in res.metrics.collect()}
     assert abs(doc["improved_rmse"] - metrics["improved"]["rmse"]) < 1e-9
-    assert len([k for k in doc if k != "holdout_rmse"]) == 12 and "holdout_rmse" in doc
+    assert len([k for k in doc if k not in ("holdout_rmse", "accuracy_info")]) == 12 and "holdout_rmse" in doc
+    assert doc["accuracy_info"] == accuracy_text(doc["holdout_rmse"]) + "\n"
     rp = os.path.join(tmp_out, "report")
     write_report(res.report, rp)
     assert json.loads(spark.read.text(rp).first().value)["original_nse"] == doc["original_nse"]
