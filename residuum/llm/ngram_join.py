@@ -9,14 +9,15 @@ of the larger one, so their first ``n - ceil(t n) + l`` shingles in the global
 order share at least ``l``; ``l`` is a tenth of the set.  These alone are
 exchanged, dealt out by shingle, and come back with the number of documents
 that hold them.  A document that shares fewer than ``l`` of them with anybody
-links with nobody (most documents end here).  Of the shared ones the ``l - 1``
-most frequent may be skipped (by the smallest ``l`` of any partner), which
-keeps passages that very many documents quote from bringing these together.
+links with nobody (most documents end here).  Of the shared ones the most
+frequent are skipped, half as many as ``l`` would allow (by the smallest ``l``
+of any partner), which keeps passages that very many documents quote from
+bringing these together; partners have at least the other half in common.
 
 *Remaining fragments.*  The documents left are laid out in blocks, those with
-common rare shingles beside one another, and two blocks meet when they share
-one of the kept shingles.  Where blocks meet, the overlaps of all their pairs
-are counted fragment by fragment and summed.  Only what the links amount to
+common rare shingles beside one another.  A document meets another block when
+enough of its kept shingles occur there.  Where blocks meet, the overlaps of all
+pairs that are there are counted fragment by fragment and summed.  Only what the links amount to
 leaves the task: a spanning forest and the number of links of each document, so
 a group of thousands of near copies gives thousands of rows and not millions.
 
@@ -67,6 +68,13 @@ def _extra(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n // 10)
 
 
+def _skip(n: np.ndarray, threshold: int) -> np.ndarray:
+    """How many of its most frequent shared shingles a set of ``n`` skips.  Of
+    two partners' common ones the two skip the same upper end, so what both
+    keep is at least ``_extra`` of the larger one's need less its ``_skip``."""
+    return (_extra(_need(n, threshold)) - 1) // 2
+
+
 def _reach(n: np.ndarray, threshold: int) -> np.ndarray:
     """Shingles of a set of ``n`` in the first fragment."""
     return np.where(n > 0, np.minimum(n, n - _need(n, threshold) + _extra(n)), 0)
@@ -210,7 +218,7 @@ def _keepers(threshold: int):
         order = np.lexsort((token, df, own))
         token, own = token[order], own[order]
         rank = np.arange(len(own)) - np.concatenate([[0], np.cumsum(shared)])[own]
-        take = enough[own] & (rank < (shared - (_extra(need) - 1))[own])
+        take = enough[own] & (rank < (shared - _skip(n, threshold))[own])
         token, own = token[take], own[take]
         idx = np.flatnonzero(enough)
         borders = np.searchsorted(own, np.append(idx, len(n)))
@@ -283,24 +291,17 @@ def _meet(threshold: int):
         block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
         n, copies = table.column("n").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        first, second = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+        rows = np.flatnonzero(block == b1)
+        cols = rows if b1 == b2 else np.flatnonzero(block == b2)
         out: list[tuple] = []
-
-        def compare(rows: np.ndarray, cols: np.ndarray) -> None:
-            if not len(rows) or not len(cols):
-                return
+        if len(rows) and len(cols):
             both = overlaps([sets[i] for i in rows], [sets[i] for i in cols])
             link = 100 * both >= threshold * (n[rows][:, None] + n[cols][None, :] - both)
             if rows is cols:
                 np.fill_diagonal(link, False)
-            out.extend(forest(nodes, copies, link, rows, cols))
-
-        if table.column("own")[0].as_py():
-            compare(first, first)
-        if b1 != b2:
-            compare(first, second)
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "n_links"), cols)})
+            out = forest(nodes, copies, link, rows, cols)
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "n_links"), columns)})
 
     return run
 
@@ -358,15 +359,17 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
 
     sets = found.mapInArrow(whole_sets, "block long, node long, n long, copies long, shingles binary").dropDuplicates(["node"])
     sets = work.table(sets, "sets")
-    # blocks that share a key meet; each block is compared with itself in its first meeting
-    per_key = held.select("key", "node").join(blocks, "node").select("key", "block").distinct()
-    pairs = (per_key.alias("x").join(per_key.alias("y"), F.expr("x.key = y.key and x.block < y.block"))
-             .select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct())
-    alone = blocks.select(F.col("block").alias("b1")).distinct().withColumn("b2", F.col("b1"))
-    meetings = pairs.union(alone.join(pairs.select("b1").distinct(), "b1", "left_anti"))
-    meetings = work.table(meetings.withColumn("own", F.row_number().over(Window.partitionBy("b1").orderBy("b2")) == 1), "meetings")
-    sides = meetings.withColumn("block", F.explode(F.array_distinct(F.array("b1", "b2"))))
-    links = sides.join(sets, "block").groupBy("b1", "b2").applyInArrow(_meet(threshold), "a long, b long, n_links long")
+    # a document meets its own block, and those where enough of its keys occur
+    held = held.select("key", "node").join(nodes.select("node", "n"), "node").join(blocks, "node")
+    per_key = held.select("key", F.col("block").alias("other")).distinct()
+    need = F.ceil(F.col("n") * threshold / 100).cast("long")
+    extra = F.greatest(F.lit(1), F.floor(need / 10))
+    enough = extra - F.floor((extra - 1) / 2)
+    away = (held.join(per_key, "key").filter("block <> other").groupBy("node", "n", "block", "other").agg(F.count("*").alias("_keys"))
+            .filter(F.col("_keys") >= enough).select("node", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")))
+    home = blocks.select("node", F.col("block").alias("b1"), F.col("block").alias("b2"))
+    meetings = work.table(away.union(home), "meetings")
+    links = meetings.join(sets, "node").groupBy("b1", "b2").applyInArrow(_meet(threshold), "a long, b long, n_links long")
     links = work.table(links, "links")
 
     parts = connected_components(links.filter("a <> b").select("a", "b"), work)
