@@ -3,7 +3,10 @@
 Vectors are cut in two halves, each half has its own codebook, and a cell is a
 pair of centroids.  A query ranks the centroids of both halves and walks the
 pairs by their summed distance with a heap until the cells it has met hold
-``candidates`` entries; those are reranked by the exact inner product.
+enough entries; those are reranked by the exact inner product.  What is enough
+is measured: the share of the entries that queries of the sample must meet so
+that ``target`` of their true neighbours in the sample are among them.  Data in
+clusters need a small share, data without structure a large one.
 
 Equal vectors are one entry with their smallest ids: no result needs more than
 ``k + 1`` of them, so a vector that a third of the rows share costs one entry.
@@ -34,10 +37,16 @@ from residuum.llm.shared import Workspace
 
 SAMPLE = 20_000
 CENTROIDS = 64
-CANDIDATES = 4_000
+#: Recall that the walk's length is measured for, by so many queries of the
+#: sample, and the entries that it meets at least.
+TARGET = 0.95
+TRIALS = 300
+CANDIDATES = 2_000
 BLOCK = 4_096
 #: Queries that a task holds while it scores a block.
 QUERY_BATCH = 512
+#: Queries whose best entries a task holds before it gives them out.
+HELD = 20_000
 
 
 def usable(vector: str):
@@ -101,6 +110,28 @@ class MultiIndex:
         return out
 
 
+def needed_share(index: MultiIndex, rows: np.ndarray, k: int, target: float, trials: int = TRIALS) -> float:
+    """The share of all entries that a walk over the sample ``rows`` meets when
+    it has met ``target`` of the queries' ``k`` true neighbours."""
+    if len(rows) <= k + 1:
+        return 1.0
+    i, j = index.cells(rows)
+    counts = np.zeros(index.counts.shape, np.int64)
+    np.add.at(counts, (i, j), 1)
+    cell, width = i * counts.shape[1] + j, index.half
+    shares = []
+    for q in np.linspace(0, len(rows) - 1, min(trials, len(rows))).astype(int):
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        near = np.argpartition(-score, k)[:k]
+        far = -(index.books[0] @ rows[q, :width])[:, None] - (index.books[1] @ rows[q, width:])[None]
+        order = np.argsort(far.ravel(), kind="stable")
+        met = np.empty(len(order), np.int64)
+        met[order] = np.cumsum(counts.ravel()[order])
+        shares.append(met[cell[near]])
+    return float(np.quantile(np.concatenate(shares), target)) / len(rows)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
@@ -116,7 +147,7 @@ def _batch(block, tag, key, ids, cells, vec) -> pa.RecordBatch:
 
 
 def search(vectors: DataFrame, work: Workspace, k: int = 20, is_query=None, id_col: str = "vec_id", vector_col: str = "embedding",
-           centroids: int = CENTROIDS, candidates: int = CANDIDATES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+           centroids: int = CENTROIDS, target: float = TARGET, least: int = CANDIDATES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``is_query`` (a
     condition on ``_id``) its ``k`` rows of largest inner product found."""
     spark = vectors.sparkSession
@@ -152,6 +183,7 @@ def search(vectors: DataFrame, work: Workspace, k: int = 20, is_query=None, id_c
     # the directory has at most centroids ** 2 rows, whatever the input
     for r in placed.groupBy("_i", "_j").count().collect():
         index.counts[r._i, r._j] = r["count"]
+    candidates = max(least, int(np.ceil(needed_share(index, rows, k, target) * index.counts.sum())))
     index.parts = np.maximum(1, -(-index.counts.sum(1) // block))
     directory = spark.sparkContext.broadcast(index)
     parts = F.element_at(F.array([F.lit(int(p)) for p in index.parts]), F.col("_i") + 1)
@@ -182,6 +214,7 @@ def search(vectors: DataFrame, work: Workspace, k: int = 20, is_query=None, id_c
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second = len(index_shape[1])
         now, entries_in, arrays = None, [], None
+        best: dict[str, list[tuple]] = {}        # what the task's blocks have for each query
         for whole in batches:
             for at in range(0, whole.num_rows, QUERY_BATCH):
                 b = whole.slice(at, QUERY_BATCH)
@@ -200,9 +233,12 @@ def search(vectors: DataFrame, work: Workspace, k: int = 20, is_query=None, id_c
                         ids = [x for p in entries_in for x in p.column("ids").to_pylist()]
                         arrays = (np.vstack([_matrix(p.column("vec"), dim) for p in entries_in]), np.concatenate([p.column("cells").flatten().to_numpy() for p in entries_in]),
                                   ids, np.array([x[0] for x in ids]))
-                    found = _best(part, arrays, dim, k + 1, second)
-                    if found is not None:
-                        yield found
+                    _best(part, arrays, dim, k + 1, second, best)
+                if len(best) > HELD:
+                    yield _hits(best)
+                    best = {}
+        if best:
+            yield _hits(best)
 
     index_shape = (range(len(index.books[0])), range(len(index.books[1])))
     hits = met.mapInArrow(rerank, "key string, score double, ids array<long>")
@@ -216,27 +252,33 @@ def search(vectors: DataFrame, work: Workspace, k: int = 20, is_query=None, id_c
     return pairs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(part: pa.RecordBatch, arrays: tuple, dim: int, k: int, second: int) -> pa.RecordBatch | None:
-    """For each query of a piece its ``k`` best entries among its cells."""
+def _best(part: pa.RecordBatch, arrays: tuple, dim: int, k: int, second: int, best: dict[str, list[tuple]]) -> None:
+    """For each query of a piece its ``k`` best entries among its cells, put
+    together with those it has already."""
     vectors, cell, ids, first = arrays
     queries = _matrix(part.column("vec"), dim)
     rough = queries @ vectors.T
-    keys, out = part.column("key").to_pylist(), []
+    keys = part.column("key").to_pylist()
     for n, cells in enumerate(part.column("cells").to_pylist()):
         visited = np.zeros(second, bool)
         visited[cells] = True
         at = np.flatnonzero(visited[cell])
+        have = best.get(keys[n], [])
+        if len(have) == k and len(at):
+            # the product above may differ in its last digits from the sum below
+            at = at[rough[n, at] >= have[-1][0] - 1e-9 * max(1.0, abs(have[-1][0]))]
         if not len(at):
             continue
         values = rough[n, at]
         if len(at) > k:
-            # the product above may differ in its last digits from the sum below
             bar = np.partition(values, len(at) - k)[len(at) - k]
             at = at[values >= bar - 1e-9 * max(1.0, abs(bar))]
         exact = (vectors[at] * queries[n]).sum(axis=1)
-        order = np.lexsort((first[at], -exact))[:k]
-        out += [(keys[n], float(exact[o]), ids[at[o]]) for o in order]
-    if not out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64()),
-                                       pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["key", "score", "ids"])
+        found = [(float(x), int(first[a]), ids[a]) for x, a in zip(exact, at)]
+        best[keys[n]] = sorted(have + found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _hits(best: dict[str, list[tuple]]) -> pa.RecordBatch:
+    rows = [(key, x[0], x[2]) for key, found in best.items() for x in found]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64()),
+                                       pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["key", "score", "ids"])
