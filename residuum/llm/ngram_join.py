@@ -50,12 +50,16 @@ THRESHOLD = 80
 BUCKETS = 1024
 #: Shingles of a block, and what a document counts for at least.
 BLOCK_SHINGLES = 600_000
-LEAST_SHINGLES = 500
+LEAST_SHINGLES = 250
 #: Shingles of one fragment where blocks meet.
-FRAGMENT = 8192
+FRAGMENT = 4096
 #: Up to so many ids the documents left are found with a broadcast of them.
 BROADCAST_IDS = 2_000_000
-_BITS = 50
+#: Bits of a shingle beside its bucket; equal shingles of the first fragment
+#: stay equal, and a chance meeting of others only brings a pair to be counted.
+_BITS = 40
+#: Text that is hashed at a time, in bytes; bounds a worker's arrays.
+SLICE = 4 << 20
 _MANY = np.uint32(0xFFFFFFFF)
 
 
@@ -98,7 +102,7 @@ def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) ->
 
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 hashes, borders = shingle_sets(batch.column("_text"), size)
                 n = np.diff(borders)
                 s1, s2 = signatures(hashes, borders)
@@ -107,10 +111,10 @@ def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) ->
                                     batch.column("_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(rows, pa.binary())])
                 owner = np.repeat(np.arange(rows, dtype=np.uint32), n)
                 early = np.arange(len(hashes)) - np.repeat(borders[:-1], n) < np.repeat(_reach(n, threshold), n)
-                token = hashes[early] & np.uint64((1 << _BITS) - 1)
                 own = owner[early]
                 # by bucket, then by shingle
-                place = (token % np.uint64(buckets)).astype(np.int64)
+                place = (hashes[early] % np.uint64(buckets)).astype(np.int64)
+                token = ((hashes[early] // np.uint64(buckets)) & np.uint64((1 << _BITS) - 1)) * np.uint64(buckets) + place.astype(np.uint64)
                 order = np.lexsort((token, place))
                 token, own, place = token[order], own[order], place[order]
                 new = np.ones(len(token), bool)
@@ -248,7 +252,7 @@ def _meet(threshold: int):
     def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         a, b = np.concatenate(left), np.concatenate(right)
         common = np.intersect1d(a, b)
-        total = np.zeros((len(left), len(right)), np.int64)
+        total = np.zeros((len(left), len(right)), np.float32)    # counts: exact far beyond any set's size
         sides = []
         for tokens, each in ((a, left), (b, right)):
             owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -265,17 +269,18 @@ def _meet(threshold: int):
                 m = np.zeros((len(each), min(FRAGMENT, len(common) - begin)), np.float32)
                 m[owner[s:e], at[s:e] - begin] = 1
                 part.append(m)
-            total += (part[0] @ part[1].T).astype(np.int64)
+            total += part[0] @ part[1].T
         return total
 
     def forest(nodes: np.ndarray, copies: np.ndarray, link: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple]:
         """Star edges of the links' components, and each node's links."""
-        label = np.arange(len(nodes))
+        label = np.arange(len(nodes), dtype=np.int32)
+        none = np.int32(len(nodes))
         while True:
             old = label.copy()
-            low = np.where(link, label[cols][None, :], len(nodes)).min(1, initial=len(nodes))
+            low = np.where(link, label[cols][None, :], none).min(1, initial=none)
             label[rows] = np.minimum(label[rows], low)
-            low = np.where(link, label[rows][:, None], len(nodes)).min(0, initial=len(nodes))
+            low = np.where(link, label[rows][:, None], none).min(0, initial=none)
             label[cols] = np.minimum(label[cols], low)
             label = label[label]
             if (label == old).all():
@@ -296,7 +301,10 @@ def _meet(threshold: int):
         out: list[tuple] = []
         if len(rows) and len(cols):
             both = overlaps([sets[i] for i in rows], [sets[i] for i in cols])
-            link = 100 * both >= threshold * (n[rows][:, None] + n[cols][None, :] - both)
+            link = np.empty(both.shape, bool)
+            for i, row in enumerate(rows):
+                mine = both[i].astype(np.int64)
+                link[i] = 100 * mine >= threshold * (n[row] + n[cols] - mine)
             if rows is cols:
                 np.fill_diagonal(link, False)
             out = forest(nodes, copies, link, rows, cols)
@@ -347,7 +355,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 hashes, borders = shingle_sets(batch.column("_text"), size)
                 s1, _ = signatures(hashes, borders)
                 keep = np.flatnonzero(s1 == batch.column("_s1").to_numpy())

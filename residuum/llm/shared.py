@@ -54,21 +54,26 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self._used: dict[str, int] = {}
         Workspace.live.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.uri}/{name}"
+        """A place in the folder that was not given out before."""
+        n = self._used[name] = self._used.get(name, 0) + 1
+        return f"{self.uri}/{name}-{n}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a frame that reads it."""
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:
         """Make a folder for files that tasks write themselves."""
-        fs, path = filesystem(self.path(name))
+        folder = self.path(name)
+        fs, path = filesystem(folder)
         fs.create_dir(path, recursive=True)
-        return self.path(name)
+        return folder
 
     def release(self) -> None:
         fs, path = filesystem(self.uri)

@@ -61,7 +61,8 @@ HOT = 1_000
 #: Suffixes of one run.
 RUN = 150_000
 BROADCAST_IDS = 2_000_000
-_MASK = np.uint64((1 << 50) - 1)
+#: Bits of a gram's hash beside its bucket.
+_BITS = 44
 _SEVERAL = -1
 
 
@@ -131,7 +132,7 @@ def _grams(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append(((turn + i // 100_000) % buckets, 3, np.int64([len(some)]).tobytes() + gram[some].tobytes() + doc[some].tobytes() + pos[some].tobytes()))
             many = count > 1
             whose, where = np.where(many, _SEVERAL, doc[at]), np.where(many, count, pos[at]).astype(np.uint32)
-            # an id may be negative: what is several is told by the high bit of the gram's five bytes
+            # an id may be negative: what is several is told by a high bit of the gram's six bytes
             edges = np.searchsorted(bucket[at], np.arange(buckets + 1))
             tags = (gram[at] // np.uint64(buckets)) | (many.astype(np.uint64) << np.uint64(47))
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -152,7 +153,7 @@ def _grams(docs: DataFrame, buckets: int) -> DataFrame:
                 owner = np.searchsorted(offsets, place, "right") - 1
                 keep = np.concatenate([[True], place[1:] != place[:-1]])
                 ids = batch.column("_id").to_numpy()
-                held.append((gram[keep] & _MASK, ids[owner[keep]], (place - offsets[owner])[keep].astype(np.uint32)))
+                held.append((_short(gram[keep], buckets), ids[owner[keep]], (place - offsets[owner])[keep].astype(np.uint32)))
                 size += len(data)
                 if size >= CHUNK:
                     yield from flush()
@@ -163,6 +164,12 @@ def _grams(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ROUTED)
 
 
+def _short(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """A gram's hash with as many bits as are sent beside its bucket."""
+    own = np.uint64(buckets)
+    return ((gram // own) & np.uint64((1 << _BITS) - 1)) * own + gram % own
+
+
 def _six(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -474,7 +481,7 @@ def _runs(marked: DataFrame, buckets: int) -> DataFrame:
                     doc, base = int(ids[o]), text[o]
                     if not h:
                         row = (raw[a:min(e + LENGTH, text[o + 1])], raw[s:a], a - e if a > e else 0, doc, a - base)
-                        _earliest(seen, settled, key, (g & int(_MASK)) % buckets, row, a - s, e - s)
+                        _earliest(seen, settled, key, g % buckets, row, a - s, e - s)
                         continue
                     each = stretch_hash(sums, np.arange(s, e + 1), np.arange(s, e + 1) + LENGTH).tolist()
                     for p, own in zip(range(s, e + 1), each):

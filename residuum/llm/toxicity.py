@@ -108,9 +108,10 @@ def _subsequences(codes: np.ndarray):
             yield (x * _SIZE + y) * _SIZE + z, (x > 0) & (y > 0) & (z > 0), DECAY ** (b - 2)
 
 
-def weigh(strings: list[str], table: np.ndarray) -> np.ndarray:
+def weigh(strings: list[str], table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
     """The sum of table weights over each string's subsequences, each by its
-    gaps, over the string's norm.  One table column, or several."""
+    gaps, over the string's norm.  The table has one column, or several;
+    ``rows`` tells the table row of each subsequence (without it, its place)."""
     if not strings:
         return np.zeros((0, *table.shape[1:]), np.float32)
     codes, begins = _codes(strings)
@@ -118,24 +119,33 @@ def weigh(strings: list[str], table: np.ndarray) -> np.ndarray:
     norm = np.zeros(len(total), np.float32)
     for place, real, weight in _subsequences(codes):
         at = np.flatnonzero(real)
-        total[at] += np.float32(weight) * table[place[at]]
         norm[at] += np.float32(weight * weight)
+        own = place[at] if rows is None else rows[place[at]]
+        if rows is not None:
+            at, own = at[own >= 0], own[own >= 0]
+        total[at] += np.float32(weight) * table[own]
     sums = np.add.reduceat(total, begins, axis=0)
     scale = 1 / np.sqrt(np.maximum(np.add.reduceat(norm, begins), 1e-9))
     return sums * (scale if sums.ndim == 1 else scale[:, None])
 
 
-def _features(strings: list[str]) -> np.ndarray:
-    """Explicit kernel features of a few strings, one row each, by the norm."""
+def _features(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Explicit kernel features of a few strings, one row each, by the norm;
+    and the places of the subsequences that occur, one a column."""
     codes, begins = _codes(strings)
-    out = np.zeros((len(strings), _SIZE ** 3), np.float32)
     norm = np.zeros(len(codes) - REACH + 1, np.float32)
     owner = np.searchsorted(begins, np.arange(len(norm)), "right") - 1
+    owners, places, weights = [], [], []
     for place, real, weight in _subsequences(codes):
         at = np.flatnonzero(real)
-        np.add.at(out, (owner[at], place[at]), np.float32(weight))
         norm[at] += np.float32(weight * weight)
-    return out / np.sqrt(np.maximum(np.add.reduceat(norm, begins), 1e-9))[:, None]
+        owners.append(owner[at])
+        places.append(place[at])
+        weights.append(np.full(len(at), weight, np.float32))
+    found, column = np.unique(np.concatenate(places), return_inverse=True)
+    out = np.zeros((len(strings), len(found)), np.float32)
+    np.add.at(out, (np.concatenate(owners), column), np.concatenate(weights))
+    return out / np.sqrt(np.maximum(np.add.reduceat(norm, begins), 1e-9))[:, None], found
 
 
 @dataclass
@@ -189,7 +199,7 @@ def _calibrate(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def fit_documents(documents: list[tuple[bool, list[str]]], seed: int = 7) -> Model:
+def fit_documents(documents: list[tuple[bool, tuple[str, ...] | list[str]]], seed: int = 7) -> Model:
     """Fit on documents given as (toxic, distinct strings)."""
     rng = np.random.default_rng(seed)
     toxic_docs = _distinct([sorted(s) for t, s in documents if t and s])
@@ -206,25 +216,28 @@ def fit_documents(documents: list[tuple[bool, list[str]]], seed: int = 7) -> Mod
     clean_all = sorted(in_clean)
     chosen = rng.permutation(len(clean_all))
     others = [clean_all[i] for i in chosen[:CLEAN_LANDMARKS]]
-    # landmarks: strings that speak for toxicity, unlike one another
-    phi = _features(ranked)
-    landmarks: list[int] = []
-    covered = np.zeros(len(phi))
-    for _ in range(min(LANDMARKS, len(phi))):
-        gain = np.array([in_toxic[w] * max(odds[w], 0) for w in ranked]) * (1 - np.minimum(covered, 1))
+    # landmarks: the strings that speak most for toxicity, then others unlike them
+    phi, found = _features([*ranked, *others])
+    worth = np.array([in_toxic[w] * max(odds[w], 0) for w in ranked])
+    landmarks = list(range(min(LANDMARKS // 4, len(ranked))))
+    covered = (phi[:len(ranked)] @ phi[landmarks].T).max(axis=1)
+    covered[landmarks] = 1
+    for _ in range(min(LANDMARKS, len(ranked)) - len(landmarks)):
+        gain = worth * (1 - np.minimum(covered, 1))
         best = int(np.argmax(gain))
         if gain[best] <= 0:
             break
         landmarks.append(best)
-        covered = np.maximum(covered, phi @ phi[best])
+        covered = np.maximum(covered, phi[:len(ranked)] @ phi[best])
         covered[best] = 1
-    basis = np.vstack([phi[landmarks], _features(others)]) if others else phi[landmarks]
-    del phi
+    basis = phi[[*landmarks, *range(len(ranked), len(phi))]]
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     inverse_root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
     # the Nyström map as one table column per direction
     table = np.ascontiguousarray((inverse_root.T @ basis).T)
+    rows = np.full(_SIZE ** 3, -1, np.int32)
+    rows[found] = np.arange(len(found), dtype=np.int32)
     # strings that only toxic documents have, often enough not to be chance
     telling = sorted(x for x, n in in_toxic.items() if n >= TELLING and not in_clean[x])
     vocabulary = sorted(set(in_toxic) | set(in_clean))
@@ -242,13 +255,14 @@ def fit_documents(documents: list[tuple[bool, list[str]]], seed: int = 7) -> Mod
             for k, form in enumerate([x, *_disguised(x, rng)]):
                 strings.append(form)
                 y.append(1.0)
-                cost.append(min(n, 25) ** 0.5 * (2.0 if k == 0 else 0.5))
-        for found, each in ((negatives, 0.5), (hard, 4.0)):
-            strings += [vocabulary[i] for i in found]
-            y += [-1.0] * len(found)
-            cost += [each] * len(found)
-        w = _train_svm(_in_parts(strings, table), np.array(y), np.array(cost))
-        flat = (table @ w[:-1].astype(np.float32)).astype(np.float32)
+                cost.append(min(n, 400) ** 0.5 * (2.0 if k == 0 else 1.0))
+        for some, each in ((negatives, 0.5), (hard, 4.0)):
+            strings += [vocabulary[i] for i in some]
+            y += [-1.0] * len(some)
+            cost += [each] * len(some)
+        w = _train_svm(_in_parts(strings, table, rows), np.array(y), np.array(cost))
+        flat = np.zeros(_SIZE ** 3, np.float32)
+        flat[found] = table @ w[:-1].astype(np.float32)
         values = _in_parts(vocabulary, flat)
         worst = [int(p[np.argmax(values[p])]) for p in places[:nt]]
         hard = sorted({*hard, *(int(i) for p in places[nt:] for i in p[np.argsort(-values[p])[:3]])})
@@ -275,18 +289,20 @@ def _distinct(documents: list[list[str]]) -> list[list[str]]:
     return out
 
 
-def _in_parts(strings: list[str], table: np.ndarray) -> np.ndarray:
+def _in_parts(strings: list[str], table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
     step = 20_000 if table.ndim == 1 else 1000
-    return np.concatenate([weigh(strings[i:i + step], table) for i in range(0, len(strings), step)])
+    return np.concatenate([weigh(strings[i:i + step], table, rows) for i in range(0, len(strings), step)])
 
 
 def _disguised(x: str, rng: np.random.Generator) -> list[str]:
     """Forms of an insult that the machine shall know too: a sign between all
-    letters, and one letter put in."""
+    letters, and a letter put in somewhere."""
     if len(x) < 4:
         return []
-    at = int(rng.integers(1, len(x)))
-    return [".".join(x), x[:at] + chr(97 + int(rng.integers(26))) + x[at:]]
+    forms = [".".join(x)]
+    for at in rng.integers(1, len(x), 2).tolist():
+        forms.append(x[:at] + chr(97 + int(rng.integers(26))) + x[at:])
+    return forms
 
 
 class Strings:
@@ -312,7 +328,7 @@ class Strings:
 
 
 def sample_strings(docs: DataFrame, labels: DataFrame, usable: Column | None, n_toxic: int, n_clean: int,
-                   id_col: str, text_col: str, label_col: str) -> list[tuple[bool, list[str]]]:
+                   id_col: str, text_col: str, label_col: str) -> list[tuple[bool, tuple[str, ...]]]:
     """The distinct strings of a bounded sample of labelled documents."""
     told = (labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_toxic"))
             .filter("_id is not null and _toxic is not null").groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
@@ -336,8 +352,11 @@ def sample_strings(docs: DataFrame, labels: DataFrame, usable: Column | None, n_
                     [batch.column("_id"), batch.column("_toxic"), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
                     names=["_id", "_toxic", "strings"])
 
-    rows = src.join(chosen, "_id").mapInArrow(run, "_id long, _toxic int, strings array<string>").collect()
-    return [(r._toxic == 1, r.strings) for r in sorted(rows, key=lambda r: (r._id, r.strings))]
+    found = src.join(chosen, "_id").mapInArrow(run, "_id long, _toxic int, strings array<string>").toArrow()
+    one: dict[str, str] = {}                 # each distinct string once in memory
+    rows = [(i, t, tuple(one.setdefault(x, x) for x in s.as_py()))
+            for i, t, s in zip(found["_id"].to_pylist(), found["_toxic"].to_pylist(), found["strings"])]
+    return [(t == 1, s) for _, t, s in sorted(rows)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, n_toxic: int = SAMPLE_TOXIC,
