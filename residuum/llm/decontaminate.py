@@ -133,7 +133,9 @@ def _scan_block(src: DataFrame, patterns, id_type: str, earlier: bool, keep_text
                 first, last, pattern = own.scan(data, begins, ends, rows)
                 text_of = np.searchsorted(rows, first, "right") - 1
                 base = offsets[text_of]
-                spans: list[list] = batch.column("spans").to_pylist() if earlier else [[] for _ in range(batch.num_rows)]
+                spans: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+                if earlier:
+                    spans = [[(s["start"], s["end"], s["item_id"]) for s in x] for x in batch.column("spans").to_pylist()]
                 for t, a, b, p in zip(text_of.tolist(), (begins[first] - base).tolist(), (ends[last] - base).tolist(), pattern.tolist()):
                     spans[t] += [(a, b, item) for item in own.values[p][1]]
                 n_words = np.diff(rows)
@@ -147,10 +149,10 @@ def _scan_block(src: DataFrame, patterns, id_type: str, earlier: bool, keep_text
     return src.mapInArrow(run, schema)
 
 
-def _covered(begins: np.ndarray, base: int, spans: list) -> int:
+def _covered(begins: np.ndarray, base: int, spans: list[tuple]) -> int:
     """Words of a text inside any of its spans."""
     hit, reach = 0, 0
-    for start, end in sorted((s["start"], s["end"]) if isinstance(s, dict) else s[:2] for s in spans):
+    for start, end in sorted(s[:2] for s in spans):
         if end > reach:
             inside = np.searchsorted(begins, [base + max(start, reach), base + end])
             hit += int(inside[1] - inside[0])
