@@ -381,3 +381,120 @@ FROM s"""
 
 # the streamed report must equal the batch one
 SQL["stream_glr_report"] = SQL["glr_report"]
+
+
+# ------------------------------------------------------------ files, written and read back
+
+SQL["calibration_csv"] = _with(CAL) + """
+SELECT row_id, observed, predicted, cast(yr AS double) AS yr, cast(mon AS double) AS mon, cast(dom AS double) AS dom,
+       cast(n_lines AS double) AS n_lines, qty FROM cal"""
+
+SQL["delta_table_file"] = SQL["delta_table"]
+
+SQL["libsvm_files"] = _with(_EV) + """
+SELECT cast(hour AS double) AS label, cast(day AS double) AS day, cast(minute AS double) AS minute, cast(cents AS double) AS cents FROM ev"""
+
+SQL["labelled_csv_file"] = SQL["libsvm_files"]
+
+SQL["series_csv_file"] = _with(_SERIES) + """
+SELECT time, v * CAST(0.9 AS double) AS predicted, v AS observed, v - v * CAST(0.9 AS double) AS delta FROM s"""
+
+SQL["predictions_file"] = _with(CAL, STUMP) + f"""
+SELECT row_id, {rnd_sql('e_hat', 4)} AS prediction FROM sc"""
+
+_HOLDOUT = f"(SELECT sqrt(avg((e_hat - delta_e) * (e_hat - delta_e))) FROM sc WHERE {BUCKET} >= 70)"
+SQL["accuracy_line"] = _with(CAL, STUMP) + f"""
+SELECT 'Root Mean Squared Error (RMSE) on test data = ' || printf('%g', {_HOLDOUT}) AS line"""
+
+
+# One-feature GLR on n_lines in closed form (see GLR).
+GLR1 = """
+s1 AS (SELECT avg(delta_e) my, avg(n_lines) mx, stddev_pop(delta_e) sy, stddev_pop(n_lines) sx, corr(delta_e, n_lines) r,
+              0.3 / stddev_pop(delta_e) k FROM d),
+c1 AS (SELECT r / (1 + k) * sy / sx AS b1, my - r / (1 + k) * sy / sx * mx AS b0 FROM s1)"""
+
+SQL["labelled_fit"] = _with(CAL, GLR1, """e AS (
+  SELECT avg(((SELECT b0 FROM c1) + (SELECT b1 FROM c1) * n_lines - delta_e) * ((SELECT b0 FROM c1) + (SELECT b1 FROM c1) * n_lines - delta_e)) AS m,
+         count(*) AS n FROM d)""") + f"""
+SELECT 'glr' AS technique, 'train' AS eval_scope, n AS n_eval, {rnd_sql('sqrt(m)', DIGITS['rmse'])} AS rmse,
+       {rnd_sql('m', DIGITS['mse'])} AS all_rows_mse FROM e"""
+
+
+# ------------------------------------------------------------ learners whose result SQL can state
+
+SQL["rf_stump_report"] = SQL["stump_report"]
+
+
+def _stump_on(name: str, rows: str) -> str:
+    """The best depth-1 split of column y on x over ``rows``, as a CTE."""
+    return f"""{name}_g AS (SELECT x, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM {rows} GROUP BY x),
+{name}_t AS (SELECT sum(n) AS n, sum(sy) AS sy, sum(syy) AS syy FROM {name}_g),
+{name}_c AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER (ORDER BY x) AS nl, sum(sy) OVER (ORDER BY x) AS syl,
+                    sum(syy) OVER (ORDER BY x) AS syyl FROM {name}_g),
+{name} AS (SELECT (x + nx) / 2.0 AS threshold, syl / nl AS left_mean, (t.sy - syl) / (t.n - nl) AS right_mean
+           FROM {name}_c, {name}_t t WHERE nx IS NOT NULL
+           ORDER BY (syyl - syl * syl / nl) + (t.syy - syyl - (t.sy - syl) * (t.sy - syl) / (t.n - nl)) LIMIT 1)"""
+
+
+def _leaf(name: str, x: str) -> str:
+    return f"CASE WHEN {x} <= (SELECT threshold FROM {name}) THEN (SELECT left_mean FROM {name}) ELSE (SELECT right_mean FROM {name}) END"
+
+
+# Boosting with squared loss: the second tree learns twice the residual of the
+# first and is added with the step size 0.1.
+SQL["gbt_stump_report"] = _with(
+    CAL, f"tr1 AS (SELECT n_lines AS x, delta_e AS y FROM d WHERE {BUCKET} < 70)", _stump_on("t1", "tr1"),
+    f"tr2 AS (SELECT x, 2 * (y - ({_leaf('t1', 'x')})) AS y FROM tr1)", _stump_on("t2", "tr2"),
+    f"sc AS (SELECT d.*, ({_leaf('t1', 'n_lines')}) + 0.1 * ({_leaf('t2', 'n_lines')}) AS e_hat FROM d)",
+    "sc2 AS (SELECT *, predicted + e_hat AS improved FROM sc)", three_way("sc2"))
+
+# One-feature elastic net on standardised data: soft threshold, then shrinkage
+# (regParam 0.3, elasticNetParam 0.8, both over the label's deviation).
+SQL["linear_one_feature"] = _with(CAL, f"""s AS (
+  SELECT avg(delta_e) my, avg(n_lines) mx, stddev_pop(delta_e) sy, stddev_pop(n_lines) sx, corr(delta_e, n_lines) r FROM d WHERE {BUCKET} < 70),
+b AS (SELECT *, sign(r) * greatest(abs(r) - 0.8 * 0.3 / sy, 0) / (1 + 0.2 * 0.3 / sy) * sy / sx AS w FROM s)""") + f"""
+SELECT 'n_lines' AS feature, {rnd_sql('w', 2)} AS coefficient FROM b
+UNION ALL SELECT '(intercept)', {rnd_sql('my - w * mx', 2)} FROM b"""
+
+SQL["stump_summary"] = _with(CAL, STUMP) + """
+SELECT 'decision_tree' AS technique, cast(1 AS int) AS num_trees, cast(1 AS int) AS depth, cast(3 AS int) AS num_nodes,
+       'n_lines' AS feature, CAST(1.0 AS double) AS importance FROM best"""
+
+
+def _comparison() -> str:
+    sgd = """sg AS (SELECT avg(n_lines * n_lines) AS gxx, avg(n_lines * delta_e) AS gxy FROM d),
+sw AS (
+  WITH RECURSIVE it(t, w, done) AS (
+    SELECT 0, CAST(0.0 AS double), false
+    UNION ALL
+    SELECT t + 1, nw, (t + 1 >= 2) AND abs(nw - w) < 0.001 * greatest(abs(nw), 1.0)
+    FROM (SELECT t, w, done, w - (CAST(1e-8 AS double) / sqrt(t + 1)) * ((SELECT gxx FROM sg) * w - (SELECT gxy FROM sg)) AS nw
+          FROM it WHERE t < 100 AND NOT done) q)
+  SELECT w FROM it ORDER BY t DESC LIMIT 1)"""
+    hats = {"glr": "(SELECT b0 FROM c1) + (SELECT b1 FROM c1) * n_lines", "sgd": "(SELECT w FROM sw) * n_lines", "decision_tree": _leaf("best", "n_lines")}
+    ctes, parts = [CAL, GLR1, sgd, STUMP], []
+    for t, e in hats.items():
+        held = f"{BUCKET} >= 70" if t == "decision_tree" else "true"
+        ctes.append(f"e_{t} AS (SELECT d.*, {e} AS e_hat FROM d)")
+        ctes.append(f"""a_{t} AS (
+  SELECT {metric_aggs('predicted', 'observed', 'o_')}, {metric_aggs('predicted + e_hat', 'observed', 'i_')}, {metric_aggs('e_hat', 'delta_e', 'd_')},
+         count(CASE WHEN {held} THEN 1 END) AS n_eval, sqrt(avg(CASE WHEN {held} THEN (e_hat - delta_e) * (e_hat - delta_e) END)) AS h FROM e_{t})""")
+        scope = "holdout" if t == "decision_tree" else "train"
+        parts += [f"SELECT '{s}' AS series, {metric_final(p)}, '{t}' AS technique, '{scope}' AS eval_scope, n_eval, {rnd_sql('h', DIGITS['rmse'])} AS holdout_rmse FROM a_{t}"
+                  for s, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")]]
+    return _with(*ctes) + "\n" + "\nUNION ALL ".join(parts)
+
+
+SQL["comparison_one_feature"] = _comparison()
+
+_WHOLE = "cast(cast(round({}) AS bigint) AS varchar)"
+SQL["report_json_rounded"] = _with(CAL, GLR, f"""rep AS (
+{three_way("sc2").replace("agg AS (", "SELECT * FROM (WITH agg AS (", 1)}))""") + """
+SELECT '{' || string_agg('"' || series || '_' || m || '":' || """ + _WHOLE.format("v") + """, ',' ORDER BY o, k)
+       || ',"accuracy_info":"Root Mean Squared Error (RMSE) on test data = ' || printf('%g', any_value(h)) || '\\n","holdout_rmse":' || """ + _WHOLE.format("any_value(h)") + """ || '}' AS report
+FROM (SELECT series, CASE series WHEN 'original' THEN 0 WHEN 'improved' THEN 1 ELSE 2 END AS o, unnest(['rmse', 'pbias', 'cd', 'nse']) AS m,
+             unnest([0, 1, 2, 3]) AS k, unnest([rmse, pbias, cd, nse]) AS v, (SELECT round(sqrt(avg((e_hat - delta_e) * (e_hat - delta_e)))) FROM sc) AS h FROM rep)"""
+
+SQL["row_by_label"] = _with(CAL, STUMP) + f"""
+SELECT cast(json_object('row_id', row_id, 'prediction', {rnd_sql('e_hat', 2)}) AS varchar) AS json
+FROM sc WHERE delta_e BETWEEN -1000 AND 1000 ORDER BY row_id LIMIT 1"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +19,16 @@ from ..operators import models as M
 from ..operators.alignment import alignment_counts, attach_by_position
 from ..operators.encode import assemble, libsvm_line
 from ..operators.indexing import categorical_decision, fit_indexer
-from ..operators.materialize import materialize
+from ..operators.materialize import materialize, new_store, owns
 from ..operators.ordering import dense_index, lookup, preview
-from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, delta_table, pairs
+from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean, delta_table, pairs
 from ..operators.split import hash_bucket, train_flag
-from ..sources.readers import explode_series, read_prediction_list
+from ..sources.readers import (explode_series, read_calibration, read_labelled_csv, read_libsvm,
+                               read_prediction_list)
 from ..sources.tables import (CALIBRATION_SPEC, calibration_from, calibration_orders,
                               event_features, line_totals, read_table, stream_table)
-from ..sinks import report_json
+from ..sinks import (accuracy_line, report_json, write_delta_table, write_libsvm, write_predictions,
+                     write_series_csv)
 from .correct import compare_techniques, correct, three_way_report
 from .rounding import DIGITS, rnd
 
@@ -302,6 +305,133 @@ def q_alignment(spark, sf):
     return alignment_counts(orders, li, "o_orderkey", "l_orderkey")
 
 
+# ------------------------------------------------------------ files, written and read back
+
+def _folder(spark) -> str:
+    path = new_store(spark)
+    if path is None:
+        raise ValueError("the file queries need spark.checkpoint.dir")
+    return path
+
+
+def q_calibration_csv(spark, sf):
+    """The calibration table as a CSV file, read by position."""
+    path = _folder(spark)
+    calibration_orders(spark, sf).select("observed", "predicted", *SPEC.features, "row_id") \
+        .write.option("header", True).csv(path)
+    df, spec = read_calibration(spark, path)
+    return owns(clean(df, spec).select(spec.key, spec.observed, spec.predicted, *spec.features), path)
+
+
+def q_delta_table_file(spark, sf):
+    """K1: the delta table written with a header, read back."""
+    path = _folder(spark)
+    write_delta_table(add_delta(calibration_orders(spark, sf), SPEC), SPEC, path, keep_key=True, mode="overwrite")
+    schema = "row_id long, delta_e double, yr int, mon int, dom int, n_lines long, qty double"
+    return owns(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path), path)
+
+
+def q_libsvm_files(spark, sf):
+    """Sparse labelled vectors written as LIBSVM, read at full width."""
+    path = _folder(spark)
+    feats = ["day", "minute", "cents"]
+    write_libsvm(event_features(spark, sf), path, "hour", feats, mode="overwrite")
+    read = read_libsvm(spark, path, num_features=len(feats))
+    values = vector_to_array(F.col("features"))
+    return owns(read.select("label", *[values[i].alias(f) for i, f in enumerate(feats)]), path)
+
+
+def q_labelled_csv_file(spark, sf):
+    """S3: a headerless labelled CSV, read into vectors."""
+    path = _folder(spark)
+    event_features(spark, sf).select("hour", "day", "minute", "cents").write.csv(path)
+    read = read_labelled_csv(spark, path, 3)
+    values = vector_to_array(F.col("features"))
+    return owns(read.select("label", *[values[i].alias(f) for i, f in enumerate(["day", "minute", "cents"])]), path)
+
+
+def q_series_csv_file(spark, sf):
+    """K6: time, predicted, observed, observed - predicted without a header."""
+    path = _folder(spark)
+    write_series_csv(_embedding_series(spark, sf), path, "time", "predicted", "observed", mode="overwrite")
+    schema = "time int, predicted double, observed double, delta double"
+    return owns(spark.read.schema(schema).option("mode", "FAILFAST").csv(path), path)
+
+
+def q_predictions_file(spark, sf):
+    """K4: the keyed predictions of the depth-1 tree, written and read back."""
+    path = _folder(spark)
+    with _stump(spark, sf) as res:
+        write_predictions(res.series, path, SPEC.key, mode="overwrite")
+    return owns(spark.read.parquet(path).select(SPEC.key, rnd(E_HAT, 4).alias("prediction")), path)
+
+
+def q_accuracy_line(spark, sf):
+    """The accuracy line of the depth-1 tree."""
+    return _stump(spark, sf).holdout.select(accuracy_line(F.col("rmse")).alias("line"))
+
+
+def q_labelled_fit(spark, sf):
+    """The stand-alone model step: LIBSVM file in, GLR on the labelled vectors,
+    its accuracy out."""
+    from .labelled import fit_labelled
+    path = _folder(spark)
+    write_libsvm(add_delta(calibration_orders(spark, sf), SPEC), path, DELTA, [STUMP_FEATURE], mode="overwrite")
+    res = fit_labelled(read_libsvm(spark, path, 1), "glr")
+    out = res.accuracy.select("technique", "eval_scope", "n_eval", rnd("rmse", DIGITS["rmse"]).alias("rmse"),
+                              rnd("all_rows_mse", DIGITS["mse"]).alias("all_rows_mse"))
+    return owns(out, path, res._pinned)
+
+
+# ------------------------------------------------------------ learners whose result SQL can state
+
+def q_rf_stump_report(spark, sf):
+    """M2: a forest of one depth-1 tree over all rows and features is the
+    depth-1 tree."""
+    spec = SPEC.with_features(STUMP_FEATURE)
+    res = correct(calibration_orders(spark, sf), spec, "rf", numTrees=1, maxDepth=1, featureSubsetStrategy="all", bootstrap=False)
+    return _rounded_report(res.metrics)
+
+
+def q_gbt_stump_report(spark, sf):
+    """M3: two rounds of boosted depth-1 trees."""
+    spec = SPEC.with_features(STUMP_FEATURE)
+    return _rounded_report(correct(calibration_orders(spark, sf), spec, "gb_tree", maxIter=2, maxDepth=1).metrics)
+
+
+def q_linear_one_feature(spark, sf):
+    """M5: elastic net on one feature (fitted on the training side)."""
+    spec = SPEC.with_features(STUMP_FEATURE)
+    res = correct(calibration_orders(spark, sf), spec, "linear")
+    return M.coefficients(spark, res.model).select("feature", rnd("coefficient", 2).alias("coefficient"))
+
+
+def q_stump_summary(spark, sf):
+    """The summary of the depth-1 tree."""
+    return M.tree_summary(spark, _stump(spark, sf).model)
+
+
+def q_comparison_one_feature(spark, sf):
+    """Three techniques on one feature, one stored frame, one aggregate."""
+    rep = compare_techniques(calibration_orders(spark, sf), SPEC.with_features(STUMP_FEATURE), ("glr", "sgd", "decision_tree"),
+                             params={"decision_tree": {"maxDepth": 1}})
+    return owns(rep.select("series", *[rnd(m, DIGITS[m]).alias(m) for m in METRICS], "technique", "eval_scope", "n_eval",
+                           rnd("holdout_rmse", DIGITS["rmse"]).alias("holdout_rmse")), rep)
+
+
+def q_report_json_rounded(spark, sf):
+    """K5: the JSON report of the two-feature GLR, its metrics as whole numbers."""
+    rep = _glr_two_features(spark, sf).report
+    whole = rep.select("series", *[F.round(m).cast("long").alias(m) for m in METRICS], F.round("holdout_rmse").cast("long").alias("holdout_rmse"))
+    return report_json(whole)
+
+
+def q_row_by_label(spark, sf):
+    """the first row (key order) whose label lies in a range, as JSON."""
+    scored = _stump(spark, sf).series.withColumn("prediction", rnd(E_HAT, 2))
+    return lookup(scored, F.col(DELTA).between(-1000.0, 1000.0), [SPEC.key, "prediction"], [SPEC.key], as_json="json")
+
+
 # ------------------------------------------------------------ rows-only (no SQL oracle)
 
 def _full_correction(name: str) -> Query:
@@ -369,6 +499,21 @@ QUERIES: dict[str, Query] = {
     "correct_linear": _full_correction("linear"),
     "correct_sgd": _full_correction("sgd"),
     "technique_comparison": q_technique_comparison,
+    "calibration_csv": q_calibration_csv,
+    "delta_table_file": q_delta_table_file,
+    "libsvm_files": q_libsvm_files,
+    "labelled_csv_file": q_labelled_csv_file,
+    "series_csv_file": q_series_csv_file,
+    "predictions_file": q_predictions_file,
+    "accuracy_line": q_accuracy_line,
+    "labelled_fit": q_labelled_fit,
+    "rf_stump_report": q_rf_stump_report,
+    "gbt_stump_report": q_gbt_stump_report,
+    "linear_one_feature": q_linear_one_feature,
+    "stump_summary": q_stump_summary,
+    "comparison_one_feature": q_comparison_one_feature,
+    "report_json_rounded": q_report_json_rounded,
+    "row_by_label": q_row_by_label,
     "tree_summary": q_tree_summary,
     "glr_summary": q_glr_summary,
     "report_json": q_report_json,
