@@ -53,6 +53,8 @@ BLOCK_SHINGLES = 600_000
 LEAST_SHINGLES = 250
 #: Shingles of one fragment where blocks meet.
 FRAGMENT = 4096
+#: A shingle of at most so many pairs of documents has them counted one by one.
+FEW = 256
 #: Up to so many ids the documents left are found with a broadcast of them.
 BROADCAST_IDS = 2_000_000
 #: Bits of a shingle beside its bucket; equal shingles of the first fragment
@@ -250,24 +252,41 @@ def _meet(threshold: int):
     of all pairs, counted fragment by fragment."""
 
     def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        a, b = np.concatenate(left), np.concatenate(right)
-        common = np.intersect1d(a, b)
-        total = np.zeros((len(left), len(right)), np.float32)    # counts: exact far beyond any set's size
+        """How many shingles each pair has in common.  A fragment of shingles
+        that many have is one product of 0/1 matrices; the pairs of those that
+        few have are counted one by one."""
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+        total = np.zeros(len(left) * len(right), np.float32)     # counts: exact far beyond any set's size
         sides = []
-        for tokens, each in ((a, left), (b, right)):
-            owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        for each in (left, right):
+            tokens, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
             at = np.searchsorted(common, tokens)
             hit = at < len(common)
             hit[hit] = common[at[hit]] == tokens[hit]
             at, owner = at[hit], owner[hit]
             order = np.argsort(at, kind="stable")
-            sides.append((at[order], owner[order]))
-        for begin in range(0, len(common), FRAGMENT):
+            sides.append((at[order], owner[order], np.bincount(at, minlength=len(common))))
+        (at1, own1, n1), (at2, own2, n2) = sides
+        few = n1 * n2 <= FEW
+        starts = np.cumsum(n2) - n2
+        mine = few[at1]
+        a, own = at1[mine], own1[mine]
+        for s in range(0, len(a), FRAGMENT * 16):
+            part, times = a[s:s + FRAGMENT * 16], n2[a[s:s + FRAGMENT * 16]]
+            place = np.repeat(starts[part] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            pairs = np.repeat(own[s:s + FRAGMENT * 16], times) * len(right) + own2[place]
+            np.add.at(total, pairs, np.float32(1))
+        total = total.reshape(len(left), len(right))
+        many = np.flatnonzero(~few)
+        column = np.full(len(common), -1)
+        column[many] = np.arange(len(many))
+        for begin in range(0, len(many), FRAGMENT):
             part = []
-            for (at, owner), each in zip(sides, (left, right)):
-                s, e = np.searchsorted(at, [begin, begin + FRAGMENT])
-                m = np.zeros((len(each), min(FRAGMENT, len(common) - begin)), np.float32)
-                m[owner[s:e], at[s:e] - begin] = 1
+            for at, owner, each in ((at1, own1, left), (at2, own2, right)):
+                c = column[at]
+                here = (c >= begin) & (c < begin + FRAGMENT)
+                m = np.zeros((len(each), min(FRAGMENT, len(many) - begin)), np.float32)
+                m[owner[here], c[here] - begin] = 1
                 part.append(m)
             total += part[0] @ part[1].T
         return total
