@@ -99,7 +99,7 @@ def join_path(folder: str, name: str) -> str:
     return posixpath.join(folder, name)
 
 
-def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 4 << 20):
     """Slices of a batch that hold about ``max_bytes`` of a string or binary
     column each (a longer single value is a slice of its own)."""
     n = batch.num_rows
