@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.bytewords import LOWERED, byte_class, text_bytes, words_before, words_of
-from residuum.llm.shared import Workspace, slices
+from residuum.llm.shared import Workspace, held, slices
 
 WINDOW = 13
 #: Bytes of patterns in one automaton; its nodes take some fifty times that.
@@ -111,20 +111,13 @@ class Scanner:
         return last - self.sizes[pattern] + 1, last, pattern
 
 
-#: The worker's automaton, by the name of its block.
-_scanners: dict[str, Scanner] = {}
-
-
 def _scan_block(src: DataFrame, patterns, id_type: str, earlier: bool, keep_text: bool) -> DataFrame:
     """One scan: the spans of a block's patterns, after those found ``earlier``;
     ``keep_text`` carries the texts on to the next block's scan."""
     kept, name = ["_text"] * keep_text, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scanners:
-            _scanners.clear()
-            _scanners[name] = Scanner(patterns.value)
-        own = _scanners[name]
+        own = held(f"scanner {name}", lambda: Scanner(patterns.value))
         for whole in batches:
             for batch in slices(whole, "_text"):
                 data, offsets = text_bytes(batch.column("_text"))

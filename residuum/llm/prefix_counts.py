@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.bytewords import text_bytes
-from residuum.llm.shared import slices
+from residuum.llm.shared import held, slices
 from residuum.llm.words import MAX_PIECE, PLAIN, PieceMemory, Pieces
 
 #: Bound of one worker's memory of words; at the bound it is emptied.
@@ -196,14 +196,9 @@ class PrefixTables:
         return pieces, np.concatenate([[0], np.cumsum(counts)])
 
 
-_tables: dict[str, PrefixTables] = {}
-
-
 def tables(vocabulary: str) -> PrefixTables:
     """The worker's tables of a vocabulary; tasks of one worker share them."""
-    if vocabulary not in _tables:
-        _tables[vocabulary] = PrefixTables(vocabulary)
-    return _tables[vocabulary]
+    return held(f"tables {vocabulary}", lambda: PrefixTables(vocabulary))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:

@@ -89,6 +89,18 @@ class Workspace:
         self.release()
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker remembers between tasks: one thing at a time, so
+    that operators that follow one another do not add up in its memory."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def attempt_name(prefix: str, suffix: str) -> str:
     """A file name that no other attempt of the task uses; only names that a
     finished task returned are ever read."""

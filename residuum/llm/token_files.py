@@ -30,20 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.bytewords import text_bytes
-from residuum.llm.shared import Workspace, attempt_name, filesystem, join_path, slices
+from residuum.llm.shared import Workspace, attempt_name, filesystem, held, join_path, slices
 from residuum.llm.words import WordEncoder
 
 #: Tokens of a row group.  At four bytes each this bounds a reader's memory.
 GROUP_TOKENS = 4 << 20
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(vocabulary: str) -> WordEncoder:
     """The worker's encoder of a vocabulary; tasks of one worker share it."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordEncoder(vocabulary)
-    return _encoders[vocabulary]
+    return held(f"encoder {vocabulary}", lambda: WordEncoder(vocabulary))
 
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.uint16()))])

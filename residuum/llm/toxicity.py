@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.bytewords import byte_class, mix, prefix_sums, stretch_hash, text_bytes
-from residuum.llm.shared import slices
+from residuum.llm.shared import held, slices
 from residuum.llm.words import PieceMemory, Pieces
 
 DECAY = 0.6
@@ -366,10 +366,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, n_toxi
     return fit_documents(sample_strings(docs, labels, usable, n_toxic, n_clean, id_col, text_col, label_col))
 
 
-#: The worker's memory of string scores, by the name of its model.
-_memories: dict[str, PieceMemory] = {}
-
-
 def _worst(model: Model, memory: PieceMemory, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text the probability of toxicity and its worst string's byte range
     (-1, -1 without any string)."""
@@ -391,10 +387,8 @@ def _worst(model: Model, memory: PieceMemory, column: pa.Array) -> tuple[np.ndar
 
 
 def _memory(name: str, model: Model) -> PieceMemory:
-    if name not in _memories:
-        _memories.clear()
-        _memories[name] = PieceMemory(lambda pieces: _as_bytes(model, pieces), "<f4")
-    return _memories[name]
+    """The worker's memory of string scores."""
+    return held(f"strings {name}", lambda: PieceMemory(lambda pieces: _as_bytes(model, pieces), "<f4"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
