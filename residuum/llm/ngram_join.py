@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.components import connected_components
-from residuum.llm.shared import Workspace, slices
+from residuum.llm.shared import Workspace, forget, slices
 from residuum.llm.shingles import SIZE, shingle_sets, signatures
 
 THRESHOLD = 80
@@ -102,6 +102,7 @@ def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, "_text", SLICE):
@@ -373,6 +374,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
     found = src.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_id")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in slices(whole, "_text", SLICE):
                 hashes, borders = shingle_sets(batch.column("_text"), size)

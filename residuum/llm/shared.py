@@ -101,6 +101,13 @@ def held(name: str, make):
     return _held[name]
 
 
+def forget() -> None:
+    """Begin a task of an operator that remembers nothing: give back what an
+    earlier one remembered and what freed Arrow buffers still hold."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def attempt_name(prefix: str, suffix: str) -> str:
     """A file name that no other attempt of the task uses; only names that a
     finished task returned are ever read."""

@@ -13,14 +13,28 @@ import pyarrow as pa
 from residuum.llm.bytewords import BLANKS, LOWERED, mix, prefix_sums, stretch_hash, text_bytes, words_before, words_of
 
 SIZE = 5
+#: Bytes of text that are hashed at a time (a longer text is one piece).
+PIECE = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending within a text, and
-    the border of each text in them (one more than texts)."""
+    the border of each text in them (one more than texts).  Worked on in
+    pieces: the arrays over all bytes take some thirty times a piece."""
     data, offsets = text_bytes(column)
+    hashes, borders, done, first = [], [np.zeros(1, np.int64)], 0, 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        h, b = _sets(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], size)
+        hashes.append(h)
+        borders.append(b[1:] + done)
+        done, first = done + len(h), last
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(borders)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     begins, ends = words_of(data, offsets, BLANKS)
     rows = words_before(offsets, begins)
     n_words = np.diff(rows)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.bytewords import BYTE_VALUE, _powers, mix, prefix_sums, stretch_hash, text_bytes
-from residuum.llm.shared import Workspace, slices
+from residuum.llm.shared import Workspace, forget, slices
 
 LENGTH = 100
 GRAM = 36
@@ -142,6 +142,7 @@ def _grams(docs: DataFrame, buckets: int) -> DataFrame:
 
         from pyspark import TaskContext
 
+        forget()
         turn = TaskContext.get().partitionId() * 7
         for whole in batches:
             for batch in slices(whole, "_text", SLICE):
@@ -441,6 +442,7 @@ def _runs(marked: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         pool, seen, done = Suffixes(), {}, []
+        forget()
         turn = TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
