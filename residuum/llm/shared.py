@@ -13,6 +13,7 @@ import uuid
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
