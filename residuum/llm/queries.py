@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from residuum.llm import line_dedup, mixing
+from residuum.llm.shared import text_batches
 
 #: The vocabulary file's path is a parameter of the operators; the queries use
 #: the public tokenizers' word vocabulary.
@@ -25,6 +26,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -42,6 +42,19 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of text that go to a Python worker at a time.  Spark's own default of
+#: 10,000 makes batches of some thirty MB, held several times over.
+TEXT_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in smaller batches, unless the session says
+    otherwise.  Applications call this; the operators leave the session alone."""
+    if spark.conf.get(ARROW_ROWS, None) == "10000":
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
 class Workspace:
     """A fresh folder under the shared root that owns what an operator stores.
 
@@ -97,7 +110,7 @@ def held(name: str, make):
     """What a Python worker remembers between tasks: one thing at a time, so
     that operators that follow one another do not add up in its memory."""
     if name not in _held:
-        _held.clear()
+        forget()
         _held[name] = make()
     return _held[name]
 
