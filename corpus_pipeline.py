@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from residuum.llm import decontaminate, mixing, ngram_join, token_files, toxicity
 from residuum.llm.queries import END_ID, read, vocabulary_path
-from residuum.llm.shared import Workspace
+from residuum.llm.shared import Workspace, text_batches
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard 0.8, five words)."""
+    text_batches(spark)
     return ngram_join.keep_representatives(docs, Workspace(spark, "pipeline-join"))
 
 
@@ -42,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of what is left, read back."""
+    text_batches(spark)
     manifest = token_files.write_token_files(docs, Workspace(spark, "pipeline-tokens"), vocabulary_path(), END_ID)
     return token_files.read_token_files(manifest)
 
