@@ -31,6 +31,12 @@ def _powers(n: int, kind: str) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Give the tables of powers back; they are made again when needed."""
+    for kind in _POWERS:
+        _POWERS[kind] = np.ones(1, np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every input bit moves every output bit."""
     with np.errstate(over="ignore"):

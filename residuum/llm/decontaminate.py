@@ -111,6 +111,20 @@ class Scanner:
         return last - self.sizes[pattern] + 1, last, pattern
 
 
+def _hits(own: Scanner, column: pa.Array, spans: list[list[tuple]]) -> tuple[np.ndarray, list[int]]:
+    """Words and hit words of each text; the block's occurrences are added to
+    ``spans``."""
+    data, offsets = text_bytes(column)
+    begins, ends = words_of(data, offsets, _BREAKS)
+    rows = words_before(offsets, begins)
+    first, last, pattern = own.scan(data, begins, ends, rows)
+    text_of = np.searchsorted(rows, first, "right") - 1
+    base = offsets[text_of]
+    for t, a, b, p in zip(text_of.tolist(), (begins[first] - base).tolist(), (ends[last] - base).tolist(), pattern.tolist()):
+        spans[t] += [(a, b, item) for item in own.values[p][1]]
+    return np.diff(rows), [_covered(begins, o, s) if s else 0 for o, s in zip(offsets.tolist(), spans)]
+
+
 def _scan_block(src: DataFrame, patterns, id_type: str, earlier: bool, keep_text: bool) -> DataFrame:
     """One scan: the spans of a block's patterns, after those found ``earlier``;
     ``keep_text`` carries the texts on to the next block's scan."""
@@ -120,21 +134,12 @@ def _scan_block(src: DataFrame, patterns, id_type: str, earlier: bool, keep_text
         own = held(f"scanner {name}", lambda: Scanner(patterns.value))
         for whole in batches:
             for batch in slices(whole, "_text"):
-                data, offsets = text_bytes(batch.column("_text"))
-                begins, ends = words_of(data, offsets, _BREAKS)
-                rows = words_before(offsets, begins)
-                first, last, pattern = own.scan(data, begins, ends, rows)
-                text_of = np.searchsorted(rows, first, "right") - 1
-                base = offsets[text_of]
                 spans: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
                 if earlier:
                     spans = [[(s["start"], s["end"], s["item_id"]) for s in x] for x in batch.column("spans").to_pylist()]
-                for t, a, b, p in zip(text_of.tolist(), (begins[first] - base).tolist(), (ends[last] - base).tolist(), pattern.tolist()):
-                    spans[t] += [(a, b, item) for item in own.values[p][1]]
-                n_words = np.diff(rows)
+                n_words, n_hit = _hits(own, batch.column("_text"), spans)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), *(batch.column(c) for c in kept), pa.array(n_words),
-                     pa.array([_covered(begins, o, s) if s else 0 for o, s in zip(offsets.tolist(), spans)], pa.int64()),
+                    [batch.column("_id"), *(batch.column(c) for c in kept), pa.array(n_words), pa.array(n_hit, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.string())])))],
                     names=["_id", *kept, "n_words", "n_hit", "spans"])
 
@@ -153,6 +158,24 @@ def _covered(begins: np.ndarray, base: int, spans: list[tuple]) -> int:
     return hit
 
 
+def _blocks(benchmark: DataFrame, work: Workspace | None, window: int, block_bytes: int) -> list:
+    """Broadcasts of the patterns, in blocks of bounded size; a function each,
+    so that one block at a time comes to the driver."""
+    windows = item_windows(benchmark, window)
+    size = windows.agg(F.sum(F.length("pattern") + F.length("item"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    if n > 1 and work is None:
+        raise ValueError("a benchmark of several blocks needs a workspace for what each scan found")
+    at = windows if n == 1 else work.table(windows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n))), "windows")
+
+    def block(k: int):
+        # at most block_bytes of patterns, give or take the hash's unevenness
+        own = at if n == 1 else at.filter(F.col("block") == k)
+        return benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in own.select("item", "pattern", "n_words").collect()])
+
+    return [lambda k=k: block(k) for k in range(n)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None, window: int = WINDOW,
                   id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, n_words, n_hit, item_ids, spans`` of every document.
@@ -162,23 +185,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace | None
     occurrences as byte ranges of the original text.  ``work`` is needed only
     for a benchmark of more than one block.
     """
-    spark = docs.sparkSession
-    windows = item_windows(benchmark, window)
-    size = windows.agg(F.sum(F.length("pattern") + F.length("item"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    return _contamination(docs, _blocks(benchmark, work, window, block_bytes), work, id_col, text_col)
+
+
+def _contamination(docs: DataFrame, blocks: list, work: Workspace | None, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     id_type = src.schema["_id"].dataType.simpleString()
-    if blocks > 1 and work is None:
-        raise ValueError("a benchmark of several blocks needs a workspace for what each scan found")
-    at = windows if blocks == 1 else work.table(windows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), "windows")
-    for block in range(blocks):
-        # a block holds at most block_bytes of patterns, give or take the hash's unevenness
-        own = (at if blocks == 1 else at.filter(F.col("block") == block)).select("item", "pattern", "n_words").collect()
-        patterns = spark.sparkContext.broadcast([tuple(r) for r in own])
-        more = block < blocks - 1
-        out = _scan_block(src, patterns, id_type, earlier=block > 0, keep_text=more)
+    for k, patterns in enumerate(blocks):
+        more = k < len(blocks) - 1
+        out = _scan_block(src, patterns(), id_type, earlier=k > 0, keep_text=more)
         if more:
-            src = work.table(out, f"scan-{block}").select("_id", "_text", "spans")
+            src = work.table(out, f"scan-{k}").select("_id", "_text", "spans")
     return out.select(F.col("_id").alias(id_col), "n_words", "n_hit",
                       F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_ids"), "spans")
 
@@ -186,9 +203,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: Workspace | None
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None, window: int = WINDOW,
                       text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that the contamination rule leaves, as they are."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    found = contamination(whole, benchmark, work, window, "_row", "_text", block_bytes)
-    return found.filter(~is_contaminated()).select("_row.*")
+    blocks = _blocks(benchmark, work, window, block_bytes)
+    if len(blocks) > 1:
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+        return _contamination(whole, blocks, work, "_row", "_text").filter(~is_contaminated()).select("_row.*")
+    patterns, place, name = blocks[0](), docs.columns.index(text_col), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held(f"scanner {name}", lambda: Scanner(patterns.value))
+        for whole in batches:
+            for batch in slices(whole, place):
+                n_words, n_hit = _hits(own, batch.column(place), [[] for _ in range(batch.num_rows)])
+                hit = np.array(n_hit, np.int64)
+                yield batch.filter(pa.array((hit == 0) | (20 * hit < n_words)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

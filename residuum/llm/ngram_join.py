@@ -312,6 +312,7 @@ def _meet(threshold: int):
         return [(int(nodes[i]), int(nodes[label[i]]), int(degree[i])) for i in np.flatnonzero(degree)]
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
         block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
         n, copies = table.column("n").to_numpy(), table.column("copies").to_numpy()

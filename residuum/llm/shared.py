@@ -17,6 +17,8 @@ import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from residuum.llm.bytewords import forget_powers
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -119,6 +121,7 @@ def forget() -> None:
     """Begin a task of an operator that remembers nothing: give back what an
     earlier one remembered and what freed Arrow buffers still hold."""
     _held.clear()
+    forget_powers()
     pa.default_memory_pool().release_unused()
 
 
@@ -132,7 +135,7 @@ def join_path(folder: str, name: str) -> str:
     return posixpath.join(folder, name)
 
 
-def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 2 << 20):
     """Slices of a batch that hold about ``max_bytes`` of a string or binary
     column each (a longer single value is a slice of its own)."""
     n = batch.num_rows

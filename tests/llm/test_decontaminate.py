@@ -77,10 +77,11 @@ def test_spans_lie_in_the_original(spark, work):
             assert s.item_id == "null" or found in want[s.item_id]
 
 
-def test_rows_that_stay(spark, work):
+@pytest.mark.parametrize("block", [4 << 20, 2500])
+def test_rows_that_stay(spark, work, block):
     _, _, docs, bench = frames(spark)
     docs = clashing(docs)
-    left = drop_contaminated(docs, bench, work)
+    left = drop_contaminated(docs, bench, work, block_bytes=block)
     assert left.columns == docs.columns
     keep = contamination(docs, bench, work).filter(~is_contaminated()).count()
     assert left.count() == keep < docs.count()
