@@ -7,6 +7,7 @@ local session without that setting gets a scratch folder of its own.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
@@ -106,6 +107,8 @@ class Workspace:
 
 
 _held: dict[str, object] = {}
+#: glibc's way to return free pages; other C libraries do so by themselves.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def held(name: str, make):
@@ -117,12 +120,20 @@ def held(name: str, make):
     return _held[name]
 
 
+def _give_back() -> None:
+    """Return what was freed to the system: Arrow's pool and the C heap keep it
+    otherwise, and an executor's workers and its JVM share one limit."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def forget() -> None:
     """Begin a task of an operator that remembers nothing: give back what an
     earlier one remembered and what freed Arrow buffers still hold."""
     _held.clear()
     forget_powers()
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def attempt_name(prefix: str, suffix: str) -> str:
@@ -135,12 +146,13 @@ def join_path(folder: str, name: str) -> str:
     return posixpath.join(folder, name)
 
 
-def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, max_bytes: int = 1 << 20):
     """Slices of a batch that hold about ``max_bytes`` of a string or binary
     column each (a longer single value is a slice of its own)."""
     n = batch.num_rows
     col = batch.column(column)
     start, size = 0, 0
+    _give_back()
     lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
     for i in range(n):
         if i > start and size + lengths[i] > max_bytes:

@@ -19,7 +19,7 @@ from residuum.llm.bytewords import BLANKS, LOWERED, byte_class, prefix_sums, str
 #: Pieces of letters whose lower-casing and splitting are the same everywhere.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Bound of one worker's memory of pieces; at the bound it is emptied.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 700_000
 #: Longer pieces are worked out each time.
 MAX_PIECE = 64
 
