@@ -29,12 +29,12 @@ def shared_root(spark: SparkSession) -> str:
     Raises ``ValueError`` when it is unset on anything but a local session: no
     other place is known to be reachable from every executor.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="residuum-llm-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="residuum-llm-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
