@@ -25,7 +25,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # the configured shared checkpoint folder is used; a scratch one only if unset
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", "file://" + os.path.join(scratch, "shared"))
+        s.sparkContext.setCheckpointDir("file://" + os.path.join(scratch, "shared"))
     yield s
     s.stop()
 

@@ -14,7 +14,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -32,7 +31,6 @@ def main() -> None:
     from residuum.sources.tables import CALIBRATION_FEATURES, calibration_orders
 
     spark = build_session(f"local[{os.environ.get('BENCH_CPUS', '8')}]", int(os.environ.get("BENCH_CPUS", "8")))
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="residuum-stock-"))
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     learners = {
         "decision_tree": lambda c: DecisionTreeRegressor(featuresCol=c, labelCol="delta_e", maxDepth=5, seed=42),
