@@ -7,6 +7,11 @@ raked mass over its own mass; a document is kept with a probability in
 proportion to that weight, decided by a hash of its id, so any rerun or retry
 keeps the same documents.  All of it is DataFrame operations.
 
+The sampling rate does not hang on a rare cell: the cells of the largest
+weights that together hold at most ``RARE_SHARE`` of the raked mass are kept
+whole, and the largest weight of the others is the one kept with probability 1.
+So at most that share of the mixture can be missing from its targets.
+
 Target shares are given per dimension, or derived from the corpus by tempering:
 a value's share is proportional to its token share to the power ``alpha``
 (below 1 raises small values and lowers the large ones).
@@ -30,6 +35,8 @@ ALPHA = 0.9
 SEED = "mix-1"
 #: Up to so many cells one task rakes them; beyond, each step is an exchange.
 ONE_TASK_CELLS = 200_000
+#: The share of the raked mass, in the cells of the largest weights, that does not set the sampling rate.
+RARE_SHARE = 1e-4
 DIMENSIONS = ("_source", "_lang", "_topic")
 
 
@@ -87,8 +94,9 @@ def calibrate(rows: DataFrame, work: Workspace, targets: dict[str, DataFrame] |
     """``_source, _lang, _topic, weight, probability`` of every cell of ``rows``
     (the dimensions and ``_tokens``).  ``targets`` may give a frame of ``value,
     share`` for ``source``, ``lang`` or ``topic``; a dimension without one is
-    tempered by ``alpha``.  The cell of the largest calibrated weight is kept
-    whole, so the expected token shares of the kept documents are the raked ones.
+    tempered by ``alpha``.  The cell of the largest calibrated weight that is
+    not rare (``RARE_SHARE``) is kept whole, and so are the rare ones above it;
+    the expected token shares of all others are in the proportions of the raked.
     """
     cells = work.table(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").alias("mass")), "cells")
     shares = cells
@@ -103,9 +111,13 @@ def calibrate(rows: DataFrame, work: Workspace, targets: dict[str, DataFrame] |
         norm = power.agg(F.sum("_power")).first()[0] or 1.0
         shares = shares.join(power.select(d, (F.col("_power") / F.lit(norm)).alias(f"{d}_share")), d)
     raked = rake(work.table(shares, "shares"), work, iterations)
-    weights = work.table(raked.select(*DIMENSIONS, F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0).alias("weight")), "weights")
-    largest = weights.agg(F.max("weight")).first()[0] or 1.0
-    return weights.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(largest)))
+    weight = F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0)
+    weights = work.table(raked.select(*DIMENSIONS, "raked", weight.alias("weight")), "weights")
+    # raked mass of the cells of at least this weight, over that of all
+    heavier = weights.withColumn("_upto", F.sum("raked").over(Window.orderBy(F.desc("weight"))))
+    total = weights.agg(F.sum("raked")).first()[0] or 0.0
+    largest = heavier.filter(F.col("_upto") > F.lit(RARE_SHARE * total)).agg(F.max("weight")).first()[0] or 1.0
+    return weights.drop("raked").withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(largest)))
 
 
 def mix(docs: DataFrame, work: Workspace, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,

@@ -61,6 +61,21 @@ def test_one_task_or_many_rake_alike(spark, work, monkeypatch):
     assert one == pytest.approx(many, rel=1e-12)
 
 
+def test_rare_documents_do_not_set_the_rate(spark, work):
+    common = spark.range(900).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 3000).alias("text"), F.when(F.col("id") % 3 > 0, "en").otherwise("de").alias("lang"),
+        F.when(F.col("id") % 5 > 0, "big").otherwise("small").alias("source"), F.lit(6000).cast("long").alias("n_chars"))
+    rare = spark.createDataFrame([(1000, "a b c d e f g h i j", "en", None, 19), (1001, "a", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda rows: sum(r.n_tokens * r.probability for r in rows) / sum(r.n_tokens for r in rows)
+    alone, both = mix(common, work).collect(), mix(common.union(rare), work).collect()
+    assert kept(both) == pytest.approx(kept(alone), abs=0.01) and kept(both) > 0.7
+    assert [r.probability for r in both if r.doc_id >= 1000] == [1.0, 1.0]
+    assert {r.doc_id for r in sample(common.union(rare), work).collect()} == {r.doc_id for r in both if r.selected} >= {1000, 1001}
+    # a rare value that a target asks for does set the rate: its target is met
+    out = mix(common.union(rare), work, {"source": spark.createDataFrame([("big", 0.5), ("small", 0.4), ("(none)", 0.1)], "value string, share double")}).collect()
+    assert sum(r.n_tokens * r.probability for r in out if r.source == "(none)") / sum(r.n_tokens * r.probability for r in out) == pytest.approx(0.1, abs=0.01)
+
+
 def test_cases_of_mixing(spark, work):
     docs = spark.createDataFrame([(1, None, None, None, 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b", "en", "s", 3), (4, "w " * 100_000, "en", "s", 0)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
