@@ -5,9 +5,10 @@ last token: ``t1..tn`` is the encoding of a word exactly when ``t1..t(n-1)`` is
 the encoding of the shorter prefix and the last two tokens stand together, that
 is, merging their joined symbols gives the same two tokens again.  So one table
 over the prefixes of a word, filled from left to right, holds the exact token
-count of each prefix, and the sums over the words of a text hold it for each
-prefix of the text that ends with a word.  Truncation and budget questions are
-lookups in these tables; nothing is encoded again.
+count of each prefix, and the sums over the words of a text together with the
+table of the word it ends in hold it for each prefix of the text, at every
+character.  Truncation and budget questions are lookups in these tables; nothing
+is encoded again.
 
 * ``token_counts``: per document the total and the longest prefix within a limit.
 * ``prefix_table``: per document the table itself, as two arrays.
@@ -21,7 +22,9 @@ count as the library counts them by default (one token).
 from __future__ import annotations
 
 import json
+import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from residuum.llm.words import MAX_PIECE, PLAIN, PieceMemory, Pieces
 
 #: Bound of one worker's memory of words; at the bound it is emptied.
 MAX_WORDS = 500_000
+#: Bound of one worker's memory of prefix tables, in numbers; beyond it is emptied.
+MAX_ENTRIES = 1 << 24
 
 
 class PrefixCounter:
@@ -136,6 +141,8 @@ class PrefixCounter:
 
     def word_table(self, word: str) -> list[int]:
         """Token counts of ``word[:1]``, ``word[:2]``, ... each as a whole word."""
+        if len(self.inner) > 2 * MAX_WORDS:
+            self.inner = {"": ("", 0)}
         table = self._inner(word)
         return [self._step(word, end, self.suffix, table)[1] for end in range(1, len(word) + 1)]
 
@@ -160,6 +167,94 @@ class PrefixCounter:
             return self.count_word(word if word.isascii() else _byte_letters(word))
         return self._count_odd(piece)
 
+    def _normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _apart(self, text: str, at: int) -> bool:
+        """Whether the normal form of ``text`` is that of its two sides of ``at``."""
+        c = text[at]
+        return c.isascii() or (not unicodedata.combining(c) and not 0x1160 <= ord(c) <= 0x11FF
+                               and self._normal(text[at - 1:at + 1]) == self._normal(text[at - 1]) + self._normal(c))
+
+    def _groups(self, part: str) -> list[tuple[int, int, str | None]]:
+        """Begin and end of the words that the library finds in a part, and the
+        word; stretches that cannot be told apart are one, without a word."""
+        from tokenizers import PreTokenizedString
+
+        t, found = self.tokenizer, PreTokenizedString(part)
+        if t.normalizer:
+            found.normalize(t.normalizer.normalize)
+        t.pre_tokenizer.pre_tokenize(found)
+        out: list[tuple[int, int, str | None]] = []
+        for word, (a, b), _ in found.get_splits("original", "char"):
+            whole = b
+            while b < len(part) and not self._apart(part, b):   # what the normal form joins to it
+                b += 1
+            # without a mark that joins a letter after it, an apostrophe may begin a word with it
+            joined = part[a - 1:a] == "'" and not all(self._apart(part, i) for i in range(a + 1, min(a + 4, len(part))))
+            if out and (a < out[-1][1] or joined or not self._apart(part, a)):
+                out[-1] = (out[-1][0], max(b, out[-1][1]), None)
+            else:
+                out.append((a, b, word if b == whole else None))
+        return out
+
+    def _group_table(self, text: str, word: str | None, most: int) -> list[int]:
+        """Token counts of the prefixes of one stretch of ``_groups``."""
+        if word is not None and (len(text) > 3 or text.isalpha()) and (text.isalpha() or not any(map(str.isalnum, text))):
+            # a run of letters or of signs: each prefix is one word as well
+            forms = [c.lower() if self.lowers and c.isascii() else self._normal(c) for c in text]
+            whole = "".join(forms)
+            if whole == self._normal(text) and _byte_letters(whole) == word:
+                table = [0, *self.word_table(word[:(most + 1) * self.longest])]
+                ends = np.cumsum([len(f.encode()) for f in forms]).tolist()
+                return [table[e] if e < len(table) else most + 1 for e in ends]
+        # the last words of the prefixes share the table of what they begin with alike
+        out: list[int] = []
+        rows, base = [("", 0)], ""
+        for k in range(1, len(text) + 1):
+            *before, word = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._normal(text[:k])) if w] or [""]
+            if sum(map(len, before)) + len(word) > (most + 1) * self.longest:
+                break
+            del rows[len(os.path.commonprefix([base, word])) + 1:]
+            for end in range(len(rows), len(word)):
+                rows.append(self._step(word, end, "", rows.__getitem__))
+            base = word
+            out.append(sum(map(self.count_word, before)) + (self._step(word, len(word), self.suffix, rows.__getitem__)[1] if word else 0))
+        return out + [most + 1] * (len(text) - len(out))
+
+    def piece_table(self, piece: str, most: int = 1 << 30) -> list[int]:
+        """Token counts of ``piece[:1]``, ``piece[:2]``, ... each as a text of
+        its own; counts above ``most`` may be given as ``most + 1``."""
+        if self.lowers and piece.isascii() and PLAIN.fullmatch(piece):
+            return self._group_table(piece, piece.lower(), most)
+        out: list[int] = []
+        total, at = 0, 0
+        specials = [m.span() for m in self.special_re.finditer(piece)] if self.special_re is not None else []
+        for begin, end in [*specials, (len(piece), len(piece))]:
+            part, last = piece[at:begin], (begin, total)
+            for a, b, word in self._groups(part) if part else []:
+                if total > most:
+                    break
+                out += [total] * (at + a - len(out))
+                last = (at + a, total)
+                out += [total + n for n in self._group_table(part[a:b], word, most)]
+                total = out[-1]
+            else:
+                out += [total] * (begin - len(out))
+                # a cut special string is text that goes on from the stretch before it
+                out += [last[1] + self._count_odd(piece[last[0]:k]) for k in range(begin + 1, end)]
+                total += end > begin
+                out += [total] * (end - len(out))
+                at = end
+            if total > most:
+                break
+        return out + [most + 1] * (len(piece) - len(out))
+
+    def tables(self, pieces: list[str]) -> list[bytes]:
+        """The byte ends and counts of all prefixes of pieces, in the form of
+        ``PieceMemory``."""
+        return [np.stack([_byte_ends(p), self.piece_table(p)], 1).astype("<i4").tobytes() for p in pieces]
+
     def counts(self, pieces: list[str]) -> list[bytes]:
         """The counts of pieces, in the form of ``PieceMemory``."""
         return [n.to_bytes(4, "little") for n in map(self.count_piece, pieces)]
@@ -180,11 +275,20 @@ def _byte_letters(word: str) -> str:
     return word.encode().decode("latin-1").translate(_LETTERS)
 
 
+def _byte_ends(text: str) -> np.ndarray:
+    """The byte length of each prefix of a text."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+
+
 class PrefixTables:
-    """Prefix counts of slices of texts: a running sum over their pieces."""
+    """Prefix counts of slices of texts: a running sum over their pieces, and
+    the tables of the pieces themselves."""
 
     def __init__(self, vocabulary: str):
-        self.memory = PieceMemory(PrefixCounter(vocabulary).counts, "<i4")
+        self.counter = PrefixCounter(vocabulary)
+        self.memory = PieceMemory(self.counter.counts, "<i4")
+        self.prefixes = PieceMemory(self.counter.tables, "<i4")
 
     def running(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Pieces, np.ndarray]:
         """The pieces, and the tokens before each of them and after the last."""
@@ -195,6 +299,29 @@ class PrefixTables:
             counts = self.memory.pool[at].astype(np.int64)
         return pieces, np.concatenate([[0], np.cumsum(counts)])
 
+    def within(self, piece: str, room: int) -> tuple[int, int]:
+        """Bytes and tokens of the longest prefix of a piece within ``room`` tokens."""
+        table = self.counter.piece_table(piece, room)
+        k = max((i for i, n in enumerate(table, 1) if n <= room), default=0)
+        return (len(piece[:k].encode()), table[k - 1]) if k else (0, 0)
+
+    def every(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte end and tokens of every prefix of the texts that ends with a
+        character of a piece, and the border of each text."""
+        pieces = Pieces(data, offsets)
+        if not len(pieces.begins):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        if len(self.prefixes.pool) > MAX_ENTRIES:
+            self.prefixes._clear()
+        at, length = self.prefixes.look_up(pieces)
+        sums = np.concatenate([[0], np.cumsum(self.prefixes.pool[at + length - 1].astype(np.int64))])
+        total = np.concatenate([[0], np.cumsum(length)])
+        found = self.prefixes.pool[np.repeat(at - total[:-1], length) + np.arange(total[-1])].reshape(-1, 2)
+        own = np.repeat(np.arange(len(at)), length // 2)
+        n = np.diff(pieces.rows)
+        before, start = sums[:-1] - np.repeat(sums[pieces.rows[:-1]], n), pieces.begins - np.repeat(offsets[:-1], n)
+        return start[own] + found[:, 0], before[own] + found[:, 1], total[pieces.rows] // 2
+
 
 def tables(vocabulary: str) -> PrefixTables:
     """The worker's tables of a vocabulary; tasks of one worker share them."""
@@ -210,9 +337,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                  text_col: str = "text") -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit, within_bytes, within_tokens``.
 
-    ``within_bytes`` is the byte length of the longest prefix that ends with a
-    piece between blanks and has at most ``limit`` tokens, ``within_tokens``
-    its token count: where to truncate, read off the prefix sums.
+    ``within_bytes`` is the byte length of the longest prefix of whole
+    characters that has at most ``limit`` tokens (without blanks that may
+    follow), ``within_tokens`` its token count: where to truncate, read off the
+    prefix sums and the table of the piece in which the limit falls.
     """
     src, id_type = _source(docs, id_col, text_col)
 
@@ -230,9 +358,16 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
                 some = over & (at > pieces.rows[:-1])
                 cut = np.where(over, 0, size)
                 cut[some] = pieces.ends[at[some] - 1] - offsets[:-1][some]
+                kept = np.where(over, sums[at] - first, total)
+                # as much of the piece that goes beyond it as has room
+                rows = np.flatnonzero(over)
+                for i, piece in zip(rows.tolist(), pieces.texts(at[rows])):
+                    more, tokens = own.within(piece, int(limit - kept[i]))
+                    if more:
+                        cut[i] = pieces.begins[at[i]] - offsets[i] + more
+                        kept[i] += tokens
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), pa.array(size), pa.array(total), pa.array(cut),
-                     pa.array(np.where(over, sums[at] - first, total))],
+                    [batch.column("_id"), pa.array(size), pa.array(total), pa.array(cut), pa.array(kept)],
                     names=["_id", "n_bytes", "n_tokens", "within_bytes", "within_tokens"])
 
     out = src.mapInArrow(run, f"_id {id_type}, n_bytes long, n_tokens long, within_bytes long, within_tokens long")
@@ -242,9 +377,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
 
 def prefix_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ends, tokens``: ``tokens[i]`` is the token count of the prefix of
-    ``ends[i]`` bytes, for every prefix that ends with a piece between blanks
-    (a closing full stop or comma counts as a piece).  A NULL or empty text has
-    empty arrays."""
+    ``ends[i]`` bytes, for every prefix that ends with a character other than a
+    blank (blanks at the end of a prefix have no tokens).  A NULL or empty text
+    has empty arrays."""
     src, id_type = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +387,8 @@ def prefix_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for whole in batches:
             for batch in slices(whole, "_text", 1 << 20):
                 data, offsets = text_bytes(batch.column("_text"))
-                pieces, sums = own.running(data, offsets)
-                n = np.diff(pieces.rows)
-                borders = pa.array(pieces.rows, pa.int32())
-                ends = pieces.ends - np.repeat(offsets[:-1], n)
-                tokens = sums[1:] - np.repeat(sums[pieces.rows[:-1]], n)
+                ends, tokens, borders = own.every(data, offsets)
+                borders = pa.array(borders, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.ListArray.from_arrays(borders, pa.array(ends, pa.int32())),
                      pa.ListArray.from_arrays(borders, pa.array(tokens, pa.int32()))],
@@ -274,5 +406,4 @@ def tokens_before(n_bytes: Column | int, ends: str = "ends", tokens: str = "toke
 
 def bytes_within(budget: Column | int, ends: str = "ends", tokens: str = "tokens") -> Column:
     """Bytes of the longest tabled prefix of at most ``budget`` tokens."""
-    k = F.size(F.filter(F.col(tokens), lambda t: t <= budget))
-    return F.when(k > 0, F.get(F.col(ends), k - 1)).otherwise(F.lit(0))
+    return F.coalesce(F.array_max(F.zip_with(ends, tokens, lambda e, t: F.when(t <= budget, e))), F.lit(0))

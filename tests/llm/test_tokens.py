@@ -99,6 +99,35 @@ def test_every_prefix_of_a_word(library):
         assert counter.word_table(word) == [len(library(word[:i])) for i in range(1, len(word) + 1)]
 
 
+UNBROKEN = ["日本語の文章は空白なしで書かれ、言葉の境は見えません。" * 4, "ภาษาไทยไม่มีช่องว่างระหว่างคำที่นี่น้ำ" * 3, "iVBORw0KGgoAAAANSUhEUgAAB9x+/TQ4w==" * 4,
+            "function(a,b){return a.x!=='it'&&b['y']>=3?a:b;}" * 3, "ÀÉÎÕÜ" * 20, "e\u0301a\u0308" * 20, "\u1112\u1161\u11ab\u1100\u1173\u11af" * 12, "don'tI'LLx're" * 6,
+            "foo!!<|endoftext|>bar!<|startoftext|>" * 5, "İstanbulΣΑΣ\u3000ﬁ\x85" * 8, "aab" * 60, "a" * 30 + "\u0338<|endoftext|>" * 3, "=" * 90, "👨‍👩‍👧é²12" * 10]
+
+
+def test_every_prefix_of_a_piece(library):
+    counter = PrefixCounter(vocabulary_path())
+    for piece in [*UNBROKEN, *(p for t in ODD if t for p in t.split())]:
+        want = [len(library(piece[:i])) for i in range(1, len(piece) + 1)]
+        assert counter.piece_table(piece) == want
+        for most in (0, 3, 17):
+            assert [min(n, most + 1) for n in counter.piece_table(piece, most)] == [min(n, most + 1) for n in want]
+
+
+def test_prefixes_inside_pieces(spark, library):
+    data = list(enumerate([*UNBROKEN, "some words, then " + UNBROKEN[0] + " and more", "internationalization " * 30]))
+    got = {r.doc_id: r for r in token_counts(documents(spark, data), vocabulary_path(), 23).collect()}
+    table = prefix_table(documents(spark, data), vocabulary_path())
+    tables = {r.doc_id: r for r in table.select("*", tokens_before(50).alias("a"), bytes_within(23).alias("b")).collect()}
+    for doc, text in data:
+        n = {len(text[:i].encode()): len(library(text[:i])) for i in range(len(text) + 1)}
+        best = max(e for e, k in n.items() if k <= 23)
+        if n[len(text.encode())] > 23:
+            assert (got[doc].within_bytes, got[doc].within_tokens) == (len(text.encode()[:best].rstrip(b" ")), n[best])
+        assert tables[doc].b == len(text.encode()[:best].rstrip(b" "))
+        assert tables[doc].a == n[max(e for e in n if e <= 50)]
+        assert dict(zip(tables[doc].ends, tables[doc].tokens)).items() <= n.items()
+
+
 def test_bounded_memories(spark, library, monkeypatch):
     import pyarrow as pa
 
