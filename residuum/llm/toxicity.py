@@ -316,9 +316,12 @@ class Strings:
         if single.any():
             single &= _LETTER[p.data[p.begins]]
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(p.rows))
-        step = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
-        long = (last - first >= 2) & (owner[first] == owner[last]) if len(first) else np.zeros(0, bool)
+        # a run ends with its document
+        border = np.concatenate([[True], owner[1:] != owner[:-1], [True]])
+        alone = np.concatenate([[False], single, [False]])
+        first = np.flatnonzero(single & (border[:-1] | ~alone[:-2]))
+        last = np.flatnonzero(single & (border[1:] | ~alone[2:]))
+        long = last - first >= 2
         first, last = first[long], last[long]
         self.owner = np.concatenate([owner, owner[first]])
         if len(first):

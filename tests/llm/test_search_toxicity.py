@@ -116,6 +116,19 @@ def test_disguised_insults(spark, model):
     assert all(s[i] > 0.5 for i in (1, 2, 3, 4)) and s[0] < 0.2
 
 
+def test_neighbours_do_not_matter(spark, model):
+    import pyarrow as pa
+
+    texts = ["so mel A", "b l a r g f a c e ther ing s n o t g o b b l e r", "I agree, so mel x", "z o r k w i t", "", "k w", "a ther", "an b l a r g f a c e", None, "I x"]
+    memory = toxicity._memory("neighbours", model)
+    alone = [[x[0] for x in toxicity._worst(model, memory, pa.array([t], pa.string()))] for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        order = list(order)
+        among = toxicity._worst(model, memory, pa.array([texts[i] for i in order], pa.string()))
+        assert [list(x) for x in zip(*among)] == [alone[i] for i in order]
+    assert all(alone[i][0] > 0.5 for i in (1, 3, 7))
+
+
 def test_cases_of_scores(spark, model):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "zorkwit"), (4, "zorkwit " + "an " * 60_000), (4, "zorkwit " + "an " * 60_000), (5, "an " * 60_000 + "zorkwit"), (6, "x" * 200_000), (7, "...!!! 123")]
     out = score(documents(spark, rows), model).collect()
