@@ -9,8 +9,8 @@ The kernel is approximated by its values against a few landmark strings
 (Nyström: the inverse square root of the landmarks' own kernel matrix), and a
 linear support vector machine is trained on that map.  Labels belong to
 documents, so training is by multiple instances: a toxic document answers for
-its worst sentence, a sentence for its worst string (a word, or a run of spaced
-letters), a clean document for all of its strings.  Landmarks, map and machine
+its worst string (a word, or a run of spaced letters), a clean document for all
+of its strings; no string spans several words.  Landmarks, map and machine
 fold into one weight per subsequence; scoring is a sum of table entries, done
 once for every distinct string of a worker.
 
