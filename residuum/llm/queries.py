@@ -16,6 +16,9 @@ from residuum.llm.shared import text_batches
 #: the public tokenizers' word vocabulary.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
+#: Packing uses the byte-level vocabulary; its documents end with id 0.
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+BYTE_END_ID = 0
 TOKEN_LIMIT = 2048
 
 
@@ -118,6 +121,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.packing import pack
+    from residuum.llm.shared import Workspace
+
+    return pack(read(spark, sf_dir, "documents"), Workspace(spark, "packing"), vocabulary_path(BYTE_VOCABULARY), TOKEN_LIMIT, BYTE_END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -129,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
