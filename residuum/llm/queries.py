@@ -121,6 +121,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.shared import Workspace
+    from residuum.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"), Workspace(spark, "whitening"), n_components=8)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residuum.llm.packing import pack
     from residuum.llm.shared import Workspace
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
