@@ -121,6 +121,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from residuum.llm.conversations import damage, repair_report
+    from residuum.llm.shared import Workspace
+
+    rows = read(spark, sf_dir, "conversations")
+    return repair_report(rows, damage(rows), Workspace(spark, "conversations"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residuum.llm.shared import Workspace
     from residuum.llm.whitening import whiten
@@ -146,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
