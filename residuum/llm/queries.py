@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residuum.llm import line_dedup, mixing
+from residuum.llm import conversations_sql, line_dedup, mixing
 from residuum.llm.shared import text_batches
 
 #: The vocabulary file's path is a parameter of the operators; the queries use
@@ -206,4 +206,5 @@ SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op4_mixing": mixing.oracle_sql(),
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_conversation_repair": conversations_sql.ORACLE_SQL,
 }

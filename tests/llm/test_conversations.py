@@ -164,6 +164,21 @@ def test_cut_conversations(spark, work, monkeypatch, size):
     assert report(frame(spark, rows), work) == expected(rows)
 
 
+def test_sql(tmp_path):
+    import duckdb
+    import pyarrow as pa
+
+    from residuum.llm.conversations_sql import ORACLE_SQL
+
+    rows = conversations(random.Random(6), 80, 20) + [(None, t, "user", "Hi.") for t in range(6)]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", table)
+    got = con.sql(ORACLE_SQL)
+    assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert {r[0]: r[1:] for r in got.fetchall()} == expected(rows)
+
+
 def test_whole_table(spark, work):
     t = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     assert report(t, work) == expected([tuple(r) for r in t.select("conv_id", "turn", "role", "text").collect()])
