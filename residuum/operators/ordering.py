@@ -4,10 +4,12 @@ label lookup.
 ``dense_index`` numbers the rows of each series 0, 1, 2 ... in key order
 without ever placing a whole series in one task and with one shuffle of the
 data.  Rows are range-partitioned on ``(series..., order...)`` and sorted, so a
-huge series spans many partitions.  Only the first series of a partition can go
-on from an earlier partition: each partition's first and last series with
-their row counts give the number that its first series starts from, one number
-a partition.  The rest is counted inside the partition.
+huge series spans many partitions.  They are counted inside the partition by a
+function that sees one number per row, the hash of its series; no other column
+leaves the JVM.  Only the first series of a partition can go on from an earlier
+partition: each partition's first and last series with their row counts give the
+number that its first series starts from, a frame of one row per partition that
+is joined on the partition's number.
 
 The range-partitioned frame is pinned before it is read twice: range bounds
 come from a sample and row order after a shuffle is not fixed, so two
@@ -22,10 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .materialize import materialize, owns
 
@@ -53,56 +54,56 @@ def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
     own = [F.col(f"`{c}`") for c in partition_by]
     series = F.xxhash64(*own, *[c.isNull() for c in own]) if own else F.lit(0).cast("long")
     placed = (ranged.sortWithinPartitions(*order).withColumn("_series", series).withColumn("_part", F.spark_partition_id())
-              .withColumn("_at", F.monotonically_increasing_id()))
-    names = df.columns
-    own_columns = [F.col(f"`{c}`") for c in names]
-    schema = T.StructType([*placed.schema.fields, T.StructField("_first", T.BooleanType()), T.StructField("_local", T.LongType())])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Count inside the partition; mark the rows of its first series."""
-        last, count, leading = None, 0, True
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key = batch.column(len(names)).to_numpy()
-            new = np.ones(n, bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = last is not None and key[0] != last
-            run = np.cumsum(new)                      # 0: the series goes on from the batch before
-            starts = np.concatenate([[-count], np.flatnonzero(new)])
-            local = np.arange(n) - starts[run]
-            first = (run == 0) & leading
-            leading = leading and not new.any()
-            last, count = key[-1], int(local[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(local)], names=[f.name for f in schema])
-
-    numbered = materialize(placed.mapInArrow(number, schema), pin)
-    begins = _continued(numbered)
-    base = F.lit(0).cast("long")
-    if begins:      # at most one entry a partition
-        table = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])
-        base = F.when(F.col("_first"), F.coalesce(F.try_element_at(table, F.col("_part")), F.lit(0))).otherwise(F.lit(0))
-    return owns(numbered.select(*own_columns, (F.col("_local") + base).alias(out)), numbered)
-
-
-def _continued(numbered: DataFrame) -> dict[int, int]:
-    """For partitions whose first series goes on from earlier ones, the number
-    it starts from.  A few numbers per partition come to the driver."""
-    per_part = numbered.groupBy("_part").agg(
-        F.max_by("_series", F.when(F.col("_first"), 1)).alias("first"), F.max(F.when(F.col("_first"), F.col("_local"))).alias("_hi"),
-        F.count(F.when(~F.col("_first"), 1)).alias("n_later"), F.max_by(F.struct("_series", "_local"), "_at").alias("end"))
-    out: dict[int, int] = {}
-    running, current = 0, None
-    for r in sorted(per_part.collect(), key=lambda r: r["_part"]):
-        goes_on = current is not None and r["first"] == current
-        if goes_on:
-            out[r["_part"]] = running
-        if r["n_later"]:
-            running, current = r["end"]["_local"] + 1, r["end"]["_series"]
-        else:
-            running, current = (running if goes_on else 0) + r["_hi"] + 1, r["first"]
-    return out
+              .withColumn("_at", F.monotonically_increasing_id()).withColumn("_number", _number(F.col("_series"))))
+    own_columns = [F.col(f"`{c}`") for c in df.columns]
+    numbered = materialize(placed, pin)
+    local, first = F.col("_number.local"), F.col("_number.first")
+    joined = numbered.join(begins(_ends(numbered)), "_part", "left")
+    out_column = (local + F.when(first, F.coalesce("_begin", F.lit(0))).otherwise(F.lit(0))).alias(out)
+    return owns(joined.select(*own_columns, out_column), numbered)
+
+
+def _count_series(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Rows of each series so far, in the order of a partition's rows, and
+    whether a row belongs to the partition's first series."""
+    last, count, leading = None, 0, True
+    for series in batches:
+        key, n = series.to_numpy(), len(series)
+        if not n:
+            yield pd.DataFrame({"first": np.zeros(0, bool), "local": np.zeros(0, np.int64)})
+            continue
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last is not None and key[0] != last
+        run = np.cumsum(new)                      # 0: the series goes on from the batch before
+        starts = np.concatenate([[-count], np.flatnonzero(new)])
+        local = np.arange(n) - starts[run]
+        first = (run == 0) & leading
+        leading = leading and not new.any()
+        last, count = key[-1], int(local[-1]) + 1
+        yield pd.DataFrame({"first": first, "local": local})
+
+
+def _number(series: Column) -> Column:
+    """``first, local`` of every row of a sorted partition."""
+    return F.pandas_udf(_count_series, "first boolean, local long").asNondeterministic()(series)
+
+
+def _ends(numbered: DataFrame) -> DataFrame:
+    """Per partition the first and the last series and the rows of the last:
+    ``_part, first, last, n``."""
+    return numbered.groupBy("_part").agg(
+        F.min_by("_series", "_at").alias("first"), F.max_by("_series", "_at").alias("last"), (F.max_by("_number.local", "_at") + 1).alias("n"))
+
+
+def begins(ends: DataFrame) -> DataFrame:
+    """``_part, _begin``: the number from which each partition's first series
+    goes on, that is, its rows in the earlier partitions that end with it."""
+    rows = ends.select("_part", F.inline(F.array(
+        F.struct(F.col("first").alias("s"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("n")),
+        F.struct(F.col("last").alias("s"), F.lit(1).alias("_kind"), F.col("n").alias("n")))))
+    before = Window.partitionBy("s").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_begin", F.sum("n").over(before)).filter("_kind = 0 and _begin > 0").select("_part", "_begin")
 
 
 def preview(df: DataFrame, order_by: list[str] | tuple[str, ...], n: int = 20) -> DataFrame:

@@ -107,3 +107,38 @@ def test_attach_by_position(spark):
     short = read_prediction_list(spark.createDataFrame([("0.5,1.5",)], "line string"), "line")
     with pytest.raises(ValueError):
         attach_by_position(rows, ["k"], short)
+
+
+def test_index_sends_one_number_a_row_to_python(spark):
+    wide = spark.range(2000).select("id", (F.col("id") % 5).alias("s"), *[F.lit("x" * 20).alias(f"c{i}") for i in range(30)])
+    import residuum.operators.ordering as ordering
+    plans = []
+    keep = ordering.materialize
+    ordering.materialize = lambda df, how: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, how)
+    try:
+        got = dense_index(wide, ["id"], ["s"], num_partitions=4)
+    finally:
+        ordering.materialize = keep
+    assert got.where(F.col("idx") != F.floor(F.col("id") / 5)).count() == 0
+    python = [line for line in plans[0].splitlines() if "Python" in line or "Arrow" in line]
+    assert len(python) == 1 and "_count_series(_series" in python[0].replace("#", "_series#", 0) and "mapInArrow" not in plans[0]
+    # the plan does not grow with the number of partitions
+    text = [dense_index(wide, ["id"], ["s"], num_partitions=n)._jdf.queryExecution().optimizedPlan().toString() for n in (2, 60)]
+    assert abs(len(text[0]) - len(text[1])) < 200
+
+
+def test_offsets_of_many_partitions(spark):
+    from residuum.operators.ordering import begins
+    # 20,000 partitions of 7 rows; series 0 fills the first 9,999 and part of the next one, the others are spread over 3 each
+    n = 20_000
+    first = lambda p: 0 if p < 10_000 else (p - 10_000) // 3 + 1
+    last = lambda p: 0 if p < 9_999 else (p + 1 - 10_000) // 3 + 1
+    rows = [(p, first(p), last(p), 7 if first(p) == last(p) else 3) for p in range(n)]
+    got = {r._part: r._begin for r in begins(spark.createDataFrame(rows, "_part int, first long, last long, n long")).collect()}
+    want, running, current = {}, 0, None
+    for p, f, e, k in rows:
+        if f == current and running:
+            want[p] = running
+        running = (running if f == e == current else 0) + k
+        current = e
+    assert got == want
