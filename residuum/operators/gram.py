@@ -28,6 +28,33 @@ INTERCEPT = "__intercept__"
 NARROW = 12
 
 
+def central_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means and population covariances of some columns, over the
+    rows where none is NULL, in one pass: up to ``NARROW`` columns one aggregate
+    of mergeable central moments, beyond blocks of one vector column."""
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).na.drop()
+    d = len(cols)
+    if d <= NARROW:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = src.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(d)],
+                      *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs]).first()
+        cov = np.zeros((d, d))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = row[f"v{i}_{j}"] or 0.0
+        return int(row["n"]), np.array([row[f"m{i}"] or 0.0 for i in range(d)]), cov
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    vec = VectorAssembler(inputCols=src.columns, outputCol="_v").transform(src).select("_v")
+    s = vec.select(Summarizer.metrics("count", "mean", "std").summary(F.col("_v")).alias("s")).first()["s"]
+    n, mean, std = int(s["count"]), s["mean"].toArray(), s["std"].toArray()
+    if n < 2:
+        return n, mean, np.zeros((d, d))
+    corr = np.nan_to_num(Correlation.corr(vec, "_v").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    return n, mean, corr * np.outer(std, std) * (n - 1) / n
+
+
 @dataclass
 class GramLeastSquaresModel:
     features: tuple[str, ...]

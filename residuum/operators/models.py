@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any, Callable
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorIndexerModel
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .gram import GramLeastSquares, GramLeastSquaresModel
+from ..functions.student import two_sided
+from .gram import GramLeastSquares, GramLeastSquaresModel, central_moments
 
 PREDICTION = "prediction"
 
@@ -193,6 +195,49 @@ def gaussian_statistics(scored: DataFrame, label: str, n_features: int,
         (n * (F.log(F.try_divide(F.col("deviance"), n) * F.lit(2.0) * F.pi()) + 1.0) + 2.0 + F.lit(2.0 * (n_features + 1))).alias("aic"))
 
 
+INFERENCE = "feature string, coefficient double, standard_error double, t_value double, p_value double"
+
+
+def gaussian_inference(df: DataFrame, label: str, features: tuple[str, ...] | list[str], reg_param: float = 0.0) -> DataFrame:
+    """Coefficients of the gaussian/identity fit with an intercept, their standard
+    errors, t and two-sided p values: one row per feature, then ``(intercept)``.
+
+    All of it follows from the means and covariances, which one aggregate gives;
+    the rest is algebra on a matrix of the features' number.  ``reg_param`` is the
+    L2 penalty on standardised data, as ``glr`` takes it; the errors are then those
+    of the penalised system, as Spark ML's summary has them.  A feature without
+    variance has no coefficient of its own (0) and no error; without degrees of
+    freedom all errors are NULL.
+    """
+    names = list(features)
+    n, mean, cov = central_moments(df.where(F.col(f"`{label}`").isNotNull()), [*names, label])
+    spark, d = df.sparkSession, len(names)
+    if n == 0:
+        raise ValueError("no labelled rows to fit")
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    live = np.flatnonzero(sd[:d] > 0)
+    if not sd[d]:      # a constant label: the intercept alone
+        live = live[:0]
+    scale = sd[live]
+    system = cov[np.ix_(live, live)] / np.outer(scale, scale) + (reg_param / sd[d] if sd[d] else 0.0) * np.eye(len(live))
+    inverse = np.linalg.pinv(system)
+    slope = np.zeros(d)
+    slope[live] = inverse @ (cov[live, d] / scale) / scale
+    intercept = mean[d] - slope @ mean[:d]
+    deviance = max(n * (cov[d, d] - 2 * slope @ cov[:d, d] + slope @ cov[:d, :d] @ slope), 0.0)
+    dof = n - d - 1
+    centre = mean[live] / scale
+    variance = np.full(d + 1, np.nan)
+    variance[live] = np.diag(inverse) / (n * scale**2)
+    variance[d] = (1 + centre @ inverse @ centre) / n
+    rows = []
+    for name, b, v in zip([*names, "(intercept)"], [*slope, intercept], variance):
+        error = float(np.sqrt(deviance / dof * v)) if dof > 0 and np.isfinite(v) else None
+        t = float(b) / error if error else None
+        rows.append((name, float(b), error, t, two_sided(t, dof) if t is not None else None))
+    return spark.createDataFrame(rows, INFERENCE)
+
+
 def tree_summary(spark: SparkSession, fitted: FittedModel) -> DataFrame:
     """``technique, num_trees, depth, num_nodes, feature, importance``: one row
     per feature (depth and node count summed over the trees of an ensemble)."""

@@ -18,13 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import METRICS, metric_columns, rmse, series_report
+from ..functions.metrics import METRICS, metric_columns, series_report
 from ..operators import models as M
 from ..operators.encode import assemble
 from ..operators.indexing import fit_indexer
 from ..operators.materialize import materialize, owns, release
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean, correct_prediction, safe_names
-from ..operators.split import PLACE, holdout_split, train_flag, with_place
+from ..operators.split import PLACE, holdout_split, train_flag, with_place, with_random_place
 from ..spec import CalibrationSpec
 
 FEATURES_COL = "features"
@@ -112,7 +112,10 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
     if not prepared:
         df, spec, keep = safe_names(df, spec, keep)
     frame = df if prepared else prepare_frame(df, spec, keep)
-    stored = frame if materialise == "none" else _pin(frame, spec, materialise)
+    if split == "random" and tech.eval_scope == "holdout":
+        stored = with_random_place(frame.sortWithinPartitions(spec.key), seed, materialise)
+    else:
+        stored = frame if materialise == "none" else _pin(frame, spec, materialise)
     pinned = assemble(stored, spec.features, out=FEATURES_COL)
     labelled = pinned.where(F.col(DELTA).isNotNull())
 
@@ -126,15 +129,8 @@ def correct(df: DataFrame, spec: CalibrationSpec, technique: str,
         spec.key, *carried, spec.observed, spec.predicted, *spec.features, DELTA, E_HAT, IMPROVED, *internal)
     series = scored.drop(*internal)
     extra = {"technique": F.lit(technique), "eval_scope": F.lit(tech.eval_scope)}
-    if uses_holdout and split == "random" and scope == "all":
-        # membership of a random split is not a column: one more pass
-        h = fitted.transform(evaluation).agg(F.count(F.lit(1)).alias("n"),
-                                             rmse(M.PREDICTION, DELTA).alias("r")).first()
-        extra["n_eval"] = F.lit(int(h["n"]))
-        extra["holdout_rmse"] = F.lit(h["r"]).cast("double")
-    else:
-        held = (_held_out(stored, spec, train_fraction) if uses_holdout and scope == "all" else F.lit(True))
-        extra["n_eval"], extra["holdout_rmse"] = _evaluation(held, E_HAT)
+    held = (_held_out(stored, spec, train_fraction) if uses_holdout and scope == "all" else F.lit(True))
+    extra["n_eval"], extra["holdout_rmse"] = _evaluation(held, E_HAT)
     report = three_way_report(scored, spec, extra=extra)
     return CorrectionResult(technique, spec, fitted, series, report, stored)
 

@@ -498,3 +498,179 @@ FROM (SELECT series, CASE series WHEN 'original' THEN 0 WHEN 'improved' THEN 1 E
 SQL["row_by_label"] = _with(CAL, STUMP) + f"""
 SELECT cast(json_object('row_id', row_id, 'prediction', {rnd_sql('e_hat', 2)}) AS varchar) AS json
 FROM sc WHERE delta_e BETWEEN -1000 AND 1000 ORDER BY row_id LIMIT 1"""
+
+
+# ------------------------------------------------------------ files, lists and splits of round 3
+
+SQL["calibration_csv_two_orders"] = SQL["calibration_csv"]
+
+SQL["prediction_file"] = _with(_EV) + """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, cast(cents AS double) AS value FROM ev"""
+
+SQL["report_series"] = _with(CAL, GLR) + """,
+n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS i, cast(round(predicted) AS bigint) AS p, cast(round(improved) AS bigint) AS m,
+             cast(round(observed) AS bigint) AS o FROM sc2)
+SELECT i // 1000 AS chunk,
+       '{"start":' || (i // 1000 * 1000) || ',"original_p_list":[' || string_agg(p, ',' ORDER BY i) || '],"improved_p_list":['
+       || string_agg(m, ',' ORDER BY i) || '],"o_list":[' || string_agg(o, ',' ORDER BY i) || ']}' AS line
+FROM n GROUP BY i // 1000"""
+
+SQL["series_rows_sliced"] = SQL["series_rows"]
+
+SQL["random_split_sides"] = _with(CAL) + "\nSELECT row_id, cast(1 AS bigint) AS n_sides FROM cal"
+
+
+# ------------------------------------------------------------ trees of depth 5 on features of at most 32 values
+
+COARSE = ("yr", "mon", "dom", "n_lines")
+
+
+def _tree(name: str, rows: str, depth: int = 5, least: int = 1) -> str:
+    """A regression tree over ``rows`` (row_id, t: in training, y, x: list of
+    features), level by level: of all midpoints between neighbouring values that
+    leave ``least`` rows on either side the one that lowers the squared error most;
+    a node is split while that gains.
+    The last CTE, ``name``, has row_id and e: the mean of the training rows."""
+    out, prev = [], f"(SELECT row_id, t, y, x, 1 AS node FROM {rows})"
+    for k in range(depth):
+        out.append(f"""{name}_h{k} AS (
+  SELECT node, f, v, count(*) AS n, sum(y) AS s, sum(y * y) AS q
+  FROM (SELECT node, y, unnest(range({len(COARSE)})) AS f, unnest(x) AS v FROM {prev} WHERE t) GROUP BY ALL),
+{name}_c{k} AS (
+  SELECT node, f, (v + lead(v) OVER w) / 2.0 AS threshold, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,
+         sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q
+  FROM {name}_h{k} WINDOW w AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
+{name}_b{k} AS (
+  SELECT node, f, threshold, gain
+  FROM (SELECT *, (q - s * s / n) - (ql - sl * sl / nl) - (q - ql - (s - sl) * (s - sl) / (n - nl)) AS gain FROM {name}_c{k} WHERE threshold IS NOT NULL AND nl >= {least} AND n - nl >= {least})
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, threshold) = 1),
+{name}_r{k} AS (
+  SELECT row_id, t, y, x, CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN x[b.f + 1] <= threshold THEN 0 ELSE 1 END END AS node
+  FROM {prev} r LEFT JOIN {name}_b{k} b ON r.node = b.node)""")
+        prev = f"{name}_r{k}"
+    out.append(f"""{name} AS (
+  SELECT row_id, e FROM {prev} r JOIN (SELECT node, avg(y) FILTER (t) AS e FROM {prev} GROUP BY node) m ON r.node = m.node)""")
+    return ",\n".join(out)
+
+
+_COARSE_ROWS = f"""rows0 AS (SELECT row_id, {BUCKET} < 70 AS t, delta_e AS y, [{', '.join(f'cast({c} AS double)' for c in COARSE)}] AS x FROM d)"""
+
+
+def _holdout_report(technique: str) -> str:
+    """The full report over sc2 for a technique that is evaluated on its holdout."""
+    return f"""agg AS (
+  SELECT {metric_aggs('predicted', 'observed', 'o_')},
+       {metric_aggs('improved', 'observed', 'i_')},
+       {metric_aggs('e_hat', 'delta_e', 'd_')},
+       count(CASE WHEN {BUCKET} >= 70 THEN 1 END) AS n_eval,
+       sqrt(avg(CASE WHEN {BUCKET} >= 70 THEN (e_hat - delta_e) * (e_hat - delta_e) END)) AS h
+  FROM sc2)""" + "\n" + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS series, {metric_final(p)}, '{technique}' AS technique, 'holdout' AS eval_scope, n_eval, "
+        f"{rnd_sql('h', DIGITS['rmse'])} AS holdout_rmse FROM agg"
+        for name, p in [("original", "o_"), ("improved", "i_"), ("delta_error", "d_")])
+
+
+_SCORED = "sc2 AS (SELECT d.*, e AS e_hat, predicted + e AS improved FROM d JOIN {} USING (row_id))"
+SQL["tree_depth5_report"] = _with(CAL, _COARSE_ROWS, _tree("tree", "rows0"), _SCORED.format("tree"), _holdout_report("decision_tree"))
+
+SQL["tree_depth5_summary"] = _with(CAL, _COARSE_ROWS, _tree("tree", "rows0")) + f""",
+splits AS ({' UNION ALL '.join(f'SELECT {k} AS level, f, gain FROM tree_b{k}' for k in range(5))})
+SELECT 'decision_tree' AS technique, cast(1 AS int) AS num_trees, cast((SELECT max(level) + 1 FROM splits) AS int) AS depth,
+       cast((SELECT 2 * count(*) + 1 FROM splits) AS int) AS num_nodes, feature,
+       {rnd_sql('coalesce((SELECT sum(gain) FROM splits WHERE f = i), 0.0) / (SELECT sum(gain) FROM splits)', 8)} AS importance
+FROM (SELECT unnest({list(COARSE)}) AS feature, unnest(range({len(COARSE)})) AS i)"""
+
+
+def _boosted(rounds: int = 10, step: float = 0.1, least: int = 20) -> str:
+    """Squared loss: each further tree learns twice the residual and is added
+    with the step size; the first one counts whole."""
+    ctes = [_COARSE_ROWS, _tree("tree0", "rows0", least=least), "sum0 AS (SELECT row_id, e FROM tree0)"]
+    for m in range(1, rounds):
+        ctes += [f"rows{m} AS (SELECT r.row_id, t, 2 * (y - e) AS y, x FROM rows0 r JOIN sum{m - 1} USING (row_id))", _tree(f"tree{m}", f"rows{m}", least=least),
+                 f"sum{m} AS (SELECT row_id, s.e + {step} * b.e AS e FROM sum{m - 1} s JOIN tree{m} b USING (row_id))"]
+    return _with(CAL, *ctes, _SCORED.format(f"sum{rounds - 1}"), _holdout_report("gb_tree"))
+
+
+SQL["gbt_depth5_report"] = _boosted()
+SQL["rf_depth5_report"] = _with(CAL, _COARSE_ROWS, _tree("tree", "rows0"), _SCORED.format("tree"), _holdout_report("rf"))
+
+
+# ------------------------------------------------------------ linear learners of round 3
+
+_FIVE = ["yr", "mon", "dom", "n_lines", "qty"]
+
+
+def _elastic_net(sweeps: int = 400, reg: float = 0.3, share: float = 0.8) -> str:
+    """Elastic net on standardised data (training rows, population deviations) by
+    cyclic coordinate descent: each coefficient is the soft threshold of what the
+    others leave, shrunk by the squared penalty."""
+    n = len(_FIVE)
+    x = [f"cast({c} AS double)" for c in _FIVE]
+    stats = ", ".join(["avg(delta_e) AS my", "stddev_pop(delta_e) AS sy"]
+                      + [f"avg({x[i]}) AS m{i}, stddev_pop({x[i]}) AS s{i}, corr(delta_e, {x[i]}) AS r{i}" for i in range(n)]
+                      + [f"corr({x[i]}, {x[j]}) AS c{i}{j}" for i in range(n) for j in range(i + 1, n)])
+    inner = f"(SELECT it.*, st.* FROM it, st WHERE sweep < {sweeps})"
+    for i in range(n):
+        left = f"(r{i}" + "".join(f" - c{min(i, j)}{max(i, j)} * {'n' if j < i else 'w'}{j}" for j in range(n) if j != i) + ")"
+        inner = f"(SELECT *, sign({left}) * greatest(abs({left}) - {reg * share} / sy, 0) / (1 + {reg * (1 - share):.17g} / sy) AS n{i} FROM {inner})"
+    return _with(CAL, f"st AS (SELECT {stats} FROM d WHERE {BUCKET} < 70)", f"""fit AS (
+  WITH RECURSIVE it(sweep, {', '.join(f'w{i}' for i in range(n))}) AS (
+    SELECT 0, {', '.join(['CAST(0.0 AS double)'] * n)}
+    UNION ALL SELECT sweep + 1, {', '.join(f'n{i}' for i in range(n))} FROM {inner})
+  SELECT {', '.join(f'w{i} * sy / s{i} AS b{i}' for i in range(n))}, my, {', '.join(f'm{i}' for i in range(n))} FROM it, st WHERE sweep = {sweeps})""") + "\n" + "\nUNION ALL ".join(
+        [f"SELECT '{_FIVE[i]}' AS feature, {rnd_sql(f'b{i}', 1)} AS coefficient FROM fit" for i in range(n)]
+        + [f"SELECT '(intercept)', {rnd_sql('my' + ''.join(f' - b{i} * m{i}' for i in range(n)), -2)} FROM fit"])
+
+
+SQL["linear_five_features"] = _elastic_net()
+
+
+def _inference() -> str:
+    """Two features: the inverse of the (penalised) correlation matrix in closed
+    form; p by Simpson's rule over the t density."""
+    steps = 4000
+    parts = []
+    for reg in (0.0, 0.3):
+        ctes = f"""k{int(reg * 10)} AS (SELECT *, {reg} / sy AS k FROM im),
+i{int(reg * 10)} AS (SELECT *, (1 + k) / ((1 + k) * (1 + k) - rho * rho) AS dd, -rho / ((1 + k) * (1 + k) - rho * rho) AS oo FROM k{int(reg * 10)}),
+f{int(reg * 10)} AS (SELECT *, (dd * r1 + oo * r2) * sy / s1 AS b1, (oo * r1 + dd * r2) * sy / s2 AS b2 FROM i{int(reg * 10)}),
+e{int(reg * 10)} AS (SELECT f.*, my - b1 * m1 - b2 * m2 AS b0,
+       (SELECT sum((delta_e - my - b1 * (qty - m1) - b2 * (n_lines - m2)) * (delta_e - my - b1 * (qty - m1) - b2 * (n_lines - m2))) FROM d) / (n - 3) AS disp FROM f{int(reg * 10)} f)"""
+        rows = " UNION ALL ".join([
+            f"SELECT {reg} AS reg_param, 'qty' AS feature, b1 AS b, sqrt(disp * dd / (n * s1 * s1)) AS se, n FROM e{int(reg * 10)}",
+            f"SELECT {reg}, 'n_lines', b2, sqrt(disp * dd / (n * s2 * s2)), n FROM e{int(reg * 10)}",
+            f"SELECT {reg}, '(intercept)', b0, sqrt(disp * (1 + dd * (m1 / s1) * (m1 / s1) + dd * (m2 / s2) * (m2 / s2) + 2 * oo * (m1 / s1) * (m2 / s2)) / n), n FROM e{int(reg * 10)}"])
+        parts.append((ctes, rows))
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + z * z / v))"
+    return _with(CAL, """im AS (SELECT count(*) AS n, avg(delta_e) my, avg(qty) m1, avg(n_lines) m2, stddev_pop(delta_e) sy, stddev_pop(qty) s1,
+       stddev_pop(n_lines) s2, corr(delta_e, qty) r1, corr(delta_e, n_lines) r2, corr(qty, n_lines) rho FROM d)""",
+                 *[c for c, _ in parts], f"al AS ({' UNION ALL '.join(r for _, r in parts)})",
+                 "tv AS (SELECT *, b / se AS t, cast(n - 3 AS double) AS v, least(abs(b / se), 40.0) AS upto FROM al)",
+                 f"""pv AS (
+  SELECT reg_param, feature, 1 - 2 * sum({density} * CASE WHEN j IN (0, {steps}) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * any_value(upto) / {steps} / 3 AS p
+  FROM (SELECT reg_param, feature, v, upto, j, upto * j / {steps} AS z FROM tv, range({steps + 1}) g(j)) GROUP BY reg_param, feature)""") + f"""
+SELECT cast(reg_param AS double) AS reg_param, feature, {rnd_sql('b', 6)} AS coefficient, {rnd_sql('se', 6)} AS standard_error, {rnd_sql('t', 6)} AS t_value,
+       {rnd_sql('greatest(p, 0.0)', 5)} AS p_value
+FROM tv JOIN pv USING (reg_param, feature)"""
+
+
+SQL["glr_inference"] = _inference()
+
+
+def _wide_descent(n: int = 16, iterations: int = 60) -> str:
+    """Full-batch gradient descent (step 1 / sqrt(t), no intercept) on the first
+    columns of the embeddings, from their mean products."""
+    x = [f"cast(embedding[{i + 1}] AS double)" for i in range(n)]
+    gram = ", ".join([f"avg({x[i]} * {x[j]}) AS g{i}_{j}" for i in range(n) for j in range(i, n)] + [f"avg({x[i]} * label) AS b{i}" for i in range(n)])
+    step = ", ".join(f"w{i} - (1.0 / sqrt(t + 1)) * (" + " + ".join(f"g{min(i, j)}_{max(i, j)} * w{j}" for j in range(n)) + f" - b{i})" for i in range(n))
+    ws = ", ".join(f"w{i}" for i in range(n))
+    return f"""WITH g AS (SELECT {gram} FROM embeddings),
+r AS (
+  WITH RECURSIVE it(t, {ws}) AS (
+    SELECT 0, {', '.join(['CAST(0.0 AS double)'] * n)}
+    UNION ALL SELECT t + 1, {step} FROM it, g WHERE t < {iterations})
+  SELECT * FROM it WHERE t = {iterations})
+""" + "\nUNION ALL ".join(f"SELECT 'x{i}' AS feature, {rnd_sql(f'w{i}', 8)} AS weight FROM r" for i in range(n))
+
+
+SQL["sgd_wide"] = _wide_descent()

@@ -22,13 +22,13 @@ from ..operators.indexing import categorical_decision, fit_indexer
 from ..operators.materialize import materialize, new_store, owns
 from ..operators.ordering import dense_index, lookup, preview
 from ..operators.prepare import DELTA, E_HAT, IMPROVED, add_delta, clean, delta_table, pairs
-from ..operators.split import hash_bucket, train_flag
+from ..operators.split import hash_bucket, holdout_split, train_flag
 from ..sources.readers import (explode_series, read_calibration, read_labelled_csv, read_libsvm,
-                               read_prediction_list)
+                               read_prediction_file, read_prediction_list)
 from ..sources.tables import (CALIBRATION_SPEC, calibration_from, calibration_orders,
                               event_features, line_totals, read_table, stream_table)
-from ..sinks import (accuracy_line, report_json, write_delta_table, write_libsvm, write_predictions,
-                     write_series_csv)
+from ..sinks import (accuracy_line, report_json, report_series, report_series_json, write_delta_table, write_libsvm,
+                     write_prediction_list, write_predictions, write_series_csv)
 from .correct import compare_techniques, correct, three_way_report
 from .rounding import DIGITS, rnd
 
@@ -261,12 +261,12 @@ def q_libsvm_lines(spark, sf):
                      libsvm_line(F.lit(1), feats).alias("line_unlabelled"))
 
 
-def _embedding_series(spark, sf):
+def _embedding_series(spark, sf, slice_length=None):
     emb = read_table(spark, sf, "embeddings")
     observed = F.transform("embedding", lambda x: x.cast("double"))
     predicted = F.transform("embedding", lambda x: x.cast("double") * F.lit(0.9))
     return explode_series(emb, {"predicted": predicted, "observed": observed},
-                          keep=["vec_id"], pos="time")
+                          keep=["vec_id"], pos="time", slice_length=slice_length)
 
 
 def q_series_rows(spark, sf):
@@ -383,6 +383,50 @@ def q_labelled_fit(spark, sf):
     return owns(out, path, res._pinned)
 
 
+def q_calibration_csv_two_orders(spark, sf):
+    """A folder whose files order their columns differently, half of the
+    rows each; every file's header says which column is which."""
+    path = _folder(spark)
+    cal = calibration_orders(spark, sf)
+    half = F.col("row_id") % 2 == 0
+    cal.filter(half).select("observed", "predicted", *SPEC.features, "row_id").write.option("header", True).csv(path)
+    cal.filter(~half).select("row_id", "predicted", *reversed(SPEC.features), "observed").write.mode("append").option("header", True).csv(path)
+    df, spec = read_calibration(spark, path, observed="observed", predicted="predicted")
+    return owns(clean(df, spec).select(spec.key, spec.observed, spec.predicted, *SPEC.features), path)
+
+
+def q_prediction_file(spark, sf):
+    """The hundredths of all events written as one comma-joined list in
+    key order, read back by position; no line of it needs to fit a task."""
+    path = _folder(spark)
+    write_prediction_list(event_features(spark, sf), path, ["event_id"], "cents")
+    return owns(read_prediction_file(spark, path, header_lines=0), path)
+
+
+def q_report_series(spark, sf):
+    """K5: the report's three aligned lists in chunks of 1,000 positions, as JSON
+    lines with whole numbers."""
+    scored = _glr_two_features(spark, sf).series
+    whole = scored.select(SPEC.key, *[F.round(c).cast("long").alias(c) for c in (SPEC.predicted, IMPROVED, SPEC.observed)])
+    return report_series_json(report_series(whole, [SPEC.key], SPEC.predicted, IMPROVED, SPEC.observed, 1000))
+
+
+def q_series_rows_sliced(spark, sf):
+    """Parallel arrays cut into slices of 10 positions, dealt out, then to rows."""
+    return _embedding_series(spark, sf, 10)
+
+
+# ------------------------------------------------------------ splits that are stored
+
+def q_random_split_sides(spark, sf):
+    """The sides of a random split: every row on exactly one, whatever is
+    computed again."""
+    cal = calibration_orders(spark, sf).select(SPEC.key)
+    train, holdout = holdout_split(cal, SPEC.key, method="random", seed=11)
+    both = train.withColumn("t", F.lit(1)).withColumn("h", F.lit(0)).unionByName(holdout.withColumn("t", F.lit(0)).withColumn("h", F.lit(1)))
+    return owns(both.groupBy(SPEC.key).agg(F.sum("t").alias("t"), F.sum("h").alias("h")).select(SPEC.key, (F.col("t") + F.col("h")).alias("n_sides")), train)
+
+
 # ------------------------------------------------------------ learners whose result SQL can state
 
 def q_rf_stump_report(spark, sf):
@@ -432,6 +476,55 @@ def q_row_by_label(spark, sf):
     return lookup(scored, F.col(DELTA).between(-1000.0, 1000.0), [SPEC.key, "prediction"], [SPEC.key], as_json="json")
 
 
+#: Features of at most 32 values: every midpoint of two neighbours is a candidate.
+COARSE_FEATURES = ("yr", "mon", "dom", "n_lines")
+
+
+def _coarse_correction(name: str, **params):
+    def run(spark, sf):
+        rep = correct(calibration_orders(spark, sf), SPEC.with_features(*COARSE_FEATURES), name, **params).report
+        return rep.select("series", *[rnd(m, DIGITS[m]).alias(m) for m in METRICS], "technique", "eval_scope", "n_eval",
+                          rnd("holdout_rmse", DIGITS["rmse"]).alias("holdout_rmse"))
+    run.__doc__ = f"Correction with {name} on the features of at most 32 values; other than its own parameters: {params or 'none'}."
+    return run
+
+
+def q_tree_depth5_summary(spark, sf):
+    """Nodes and importances of the depth-5 tree on features of at most 32 values."""
+    summary = M.tree_summary(spark, correct(calibration_orders(spark, sf), SPEC.with_features(*COARSE_FEATURES), "decision_tree").model)
+    return summary.withColumn("importance", rnd("importance", 8))
+
+
+def q_linear_five_features(spark, sf):
+    """M5: elastic net on five features, run until it stands still."""
+    res = correct(calibration_orders(spark, sf), SPEC, "linear", maxIter=500, tol=1e-12)
+    return M.coefficients(spark, res.model).select(
+        "feature", F.when(F.col("feature") == "(intercept)", rnd("coefficient", -2)).otherwise(rnd("coefficient", 1)).alias("coefficient"))
+
+
+def q_glr_inference(spark, sf):
+    """Coefficients, standard errors, t and p values of the two-feature GLR,
+    with its penalty and without."""
+    cal = materialize(add_delta(calibration_orders(spark, sf), SPEC).select(*GLR_FEATURES, DELTA))
+    parts = [M.gaussian_inference(cal, DELTA, GLR_FEATURES, reg).withColumn("reg_param", F.lit(reg)) for reg in (0.0, 0.3)]
+    both = parts[0].unionByName(parts[1])
+    return both.select("reg_param", "feature", *[rnd(c, 6).alias(c) for c in ("coefficient", "standard_error", "t_value")], rnd("p_value", 5).alias("p_value"))
+
+
+WIDE_FEATURES = 16
+
+
+def q_sgd_wide(spark, sf):
+    """M6: gradient descent on 16 columns, by moments in blocks (the label: the
+    embedding's group; 60 iterations, step 1)."""
+    names = [f"x{i}" for i in range(WIDE_FEATURES)]
+    emb = read_table(spark, sf, "embeddings")
+    wide = emb.select(F.col("label").cast("double").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    fitted = M.fit("sgd", wide, "y", tuple(names), iterations=60, step=1.0, tol=0.0).learner
+    rows = [(n, float(w)) for n, w in zip(names, fitted.weights)]
+    return spark.createDataFrame(rows, "feature string, weight double").select("feature", rnd("weight", 8).alias("weight"))
+
+
 # ------------------------------------------------------------ rows-only (no SQL oracle)
 
 def _full_correction(name: str) -> Query:
@@ -514,6 +607,20 @@ QUERIES: dict[str, Query] = {
     "comparison_one_feature": q_comparison_one_feature,
     "report_json_rounded": q_report_json_rounded,
     "row_by_label": q_row_by_label,
+    "calibration_csv_two_orders": q_calibration_csv_two_orders,
+    "prediction_file": q_prediction_file,
+    "report_series": q_report_series,
+    "series_rows_sliced": q_series_rows_sliced,
+    "random_split_sides": q_random_split_sides,
+    "tree_depth5_report": _coarse_correction("decision_tree"),
+    "tree_depth5_summary": q_tree_depth5_summary,
+    # in a node of a few rows several features part them alike, and rounding would choose
+    "gbt_depth5_report": _coarse_correction("gb_tree", minInstancesPerNode=20),
+    # without bootstrap all 20 trees are the same
+    "rf_depth5_report": _coarse_correction("rf", bootstrap=False, featureSubsetStrategy="all"),
+    "linear_five_features": q_linear_five_features,
+    "glr_inference": q_glr_inference,
+    "sgd_wide": q_sgd_wide,
     "tree_summary": q_tree_summary,
     "glr_summary": q_glr_summary,
     "report_json": q_report_json,

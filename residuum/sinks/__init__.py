@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS
 from ..operators.encode import to_libsvm
+from ..operators.materialize import owns
+from ..operators.ordering import dense_index
 from ..operators.prepare import DELTA, delta_table
 from ..spec import CalibrationSpec
 
@@ -40,6 +42,17 @@ def write_predictions(series: DataFrame, path: str, key: str,
     series.select(key, prediction).write.mode(mode).parquet(path)
 
 
+def write_prediction_list(df: DataFrame, path: str, order_by: list[str] | tuple[str, ...], value: str,
+                          mode: str = "errorifexists") -> None:
+    """K4: the values as a comma-joined list in key order.  Every task writes its
+    range of the list as one line of a file of its own; the files follow one
+    another.  ``sources.readers.read_prediction_file`` (without header lines)
+    reads them back."""
+    order = [F.col(f"`{c}`") for c in order_by]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(F.col(f"`{value}`").cast("string").alias("value")).write.mode(mode).option("lineSep", ",").text(path)
+
+
 def accuracy_text(rmse: float | None) -> str:
     """K4: the holdout accuracy line, C ``%g`` formatting of one number."""
     # fixed value: the line's text
@@ -72,8 +85,8 @@ def report_json(report: DataFrame) -> DataFrame:
     """K5: the three-series report (``series, rmse, pbias, cd, nse[,
     holdout_rmse]``) as one JSON object ``{original_rmse, ..., delta_error_nse
     [, accuracy_info, holdout_rmse]}`` (one aggregate over the 3 report rows).
-    A metric that is not defined is a ``null`` member.  Series values stay in
-    tables; only the metrics travel as JSON."""
+    A metric that is not defined is a ``null`` member.  The three lists of values
+    are ``report_series``."""
     names = ["original", "improved", "delta_error"]
     cols = [F.first(F.when(F.col("series") == s, F.col(m)), ignorenulls=True).alias(f"{s}_{m}")
             for s in names for m in METRICS]
@@ -85,6 +98,36 @@ def report_json(report: DataFrame) -> DataFrame:
     return wide.select(F.to_json(F.struct(*members), {"ignoreNullFields": "false"}).alias("report"))
 
 
+#: Positions of the report's lists that one line holds.
+CHUNK = 10_000
+
+
+def report_series(series: DataFrame, order_by: list[str] | tuple[str, ...], predicted: str, improved: str, observed: str,
+                  chunk: int = CHUNK) -> DataFrame:
+    """K5: the report's three aligned lists in key order, in chunks of so many
+    positions: ``chunk, start, original_p_list, improved_p_list, o_list``.  The
+    rows are numbered by ``dense_index``; the number decides the chunk, so a
+    group never holds more than ``chunk`` rows, and NULLs keep their places."""
+    if chunk < 1:
+        raise ValueError("chunk must be positive")
+    at = dense_index(series.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*order_by, predicted, improved, observed))]), order_by, out="_idx")
+    point = F.struct("_idx", F.col(f"`{predicted}`").alias("p"), F.col(f"`{improved}`").alias("i"), F.col(f"`{observed}`").alias("o"))
+    chunks = at.groupBy(F.floor(F.col("_idx") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(point)).alias("_rows"))
+    return owns(chunks.select("chunk", (F.col("chunk") * chunk).alias("start"), F.col("_rows.p").alias("original_p_list"),
+                              F.col("_rows.i").alias("improved_p_list"), F.col("_rows.o").alias("o_list")), at)
+
+
+def report_series_json(chunks: DataFrame) -> DataFrame:
+    """K5: one JSON object per chunk; NULLs stay members."""
+    return owns(chunks.select("chunk", F.to_json(F.struct("start", "original_p_list", "improved_p_list", "o_list"), {"ignoreNullFields": "false"}).alias("line")), chunks)
+
+
+def write_report_series(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K5: the chunks as JSON lines, in order over the files."""
+    lines = report_series_json(chunks)
+    lines.repartitionByRange("chunk").sortWithinPartitions("chunk").select("line").write.mode(mode).text(path)
+
+
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     report_json(report).coalesce(1).write.mode(mode).text(path)
 
