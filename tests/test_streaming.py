@@ -3,11 +3,14 @@
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from residuum import correct
+from residuum.operators.materialize import release
 from residuum.sources.tables import CALIBRATION_SPEC, calibration_orders, read_table
-from residuum.streaming import correct_stream, running_report, windowed_report
+from residuum.spec import CalibrationSpec
+from residuum.streaming import correct_stream, run_to_store, running_report, windowed_report
 
 from conftest import SF001
 
@@ -87,3 +90,48 @@ def test_windowed_report_drops_rows_behind_watermark(spark, tmp_out):
     assert len(jan1) == 3
     orig = [r for r in jan1 if r["series"] == "original"][0]
     assert math.isclose(orig["rmse"], math.sqrt(((0.5 - 1.0) ** 2 + (1.0 - 2.0) ** 2) / 2))
+
+
+def test_stream_takes_any_names(spark, tmp_out):
+    rows = [(i, float(i % 7) + 1.5, float(i % 7), float(i % 5), float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, ["row_id", "o.cfs", "p", "prediction", "delta_e"])
+    spec = CalibrationSpec("o.cfs", "p", ("prediction", "delta_e"))
+    res = correct(df, spec, "glr", keep=["p"])
+    src = os.path.join(tmp_out, "odd")
+    df.write.parquet(src)
+    scored = correct_stream(spark.readStream.schema(df.schema).parquet(src), spec, res.model, keep=["p", "p"])
+    assert scored.columns == ["row_id", "o_cfs", "p", "delta_e", "e_hat", "improved"]
+    got = {r.row_id: r.improved for r in run_to_store(scored, "append").collect()}
+    assert got == {r.row_id: r.improved for r in res.series.collect()} and len(got) == 60
+
+
+def test_named_store_goes_on(spark, tmp_out):
+    src = os.path.join(tmp_out, "files")
+    os.makedirs(src)
+    schema = "k long, v double"
+
+    def put(name, first):
+        spark.range(first, first + 10).selectExpr("id AS k", "id * 0.5D AS v").coalesce(1).write.parquet(os.path.join(tmp_out, name))
+        part = next(f for f in os.listdir(os.path.join(tmp_out, name)) if f.endswith(".parquet"))
+        return os.path.join(tmp_out, name, part)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    store = "named-" + os.path.basename(tmp_out)
+    os.link(put("a", 0), os.path.join(src, "1.parquet"))
+    assert run_to_store(stream(), "append", store).count() == 10
+    with open(os.path.join(src, "2.parquet"), "w") as fh:
+        fh.write("no parquet")                      # the run breaks off in this batch
+    with pytest.raises(Exception):
+        run_to_store(stream(), "append", store)
+    os.remove(os.path.join(src, "2.parquet"))
+    os.link(put("b", 10), os.path.join(src, "2.parquet"))
+    os.link(put("c", 20), os.path.join(src, "3.parquet"))
+    got = run_to_store(stream(), "append", store)
+    assert sorted(r.k for r in got.collect()) == list(range(30))
+    assert run_to_store(stream(), "append", store).count() == 30      # nothing new
+    total = run_to_store(stream().groupBy().agg(F.sum("k").alias("s")), "complete", store + "-sum")
+    assert total.first().s == sum(range(30))
+    release(got)
+    release(total)
