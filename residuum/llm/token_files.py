@@ -14,8 +14,8 @@ own files.  ``start`` (the ids of all documents before) is a running sum over
 the manifest plus one inside each file.
 
 Defined cases: a NULL or empty text has the end id alone; NULL ids come first;
-rows with equal ids follow one another in a fixed order (by text); an empty
-table gives an empty manifest.
+rows with equal ids follow one another in a fixed order (by a hash of the text,
+then the text); an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -61,8 +61,9 @@ def write_token_files(docs: DataFrame, work: Workspace, vocabulary: str, end_id:
     all files before)."""
     folder = work.folder("tokens")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    placed = src.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("_id").asc_nulls_first(), "_text")
+    # the text's hash lets rows that share an id, or have none, fall into several ranges
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
+    placed = src.repartitionByRange(*order).sortWithinPartitions(*order, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,7 +129,8 @@ def read_token_files(manifest: DataFrame, columns: tuple[str, ...] = ("ids",)) -
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, start long, n_tokens long" + ", ids_crc32 long" * with_ids
-    return manifest.repartition(F.col("file")).mapInArrow(run, schema)
+    # a number of its own: adaptive execution would put the short rows of all files into one task
+    return manifest.repartition(max(1, manifest.count()), F.col("file")).mapInArrow(run, schema)
 
 
 def token_lists(manifest: DataFrame) -> DataFrame:

@@ -48,6 +48,27 @@ def test_files_equal_the_library(spark, work, library):
     assert {r.doc_id: (r.start, r.n_tokens) for r in counts} == {k: v[:2] for k, v in got.items()}
 
 
+def test_files_are_read_by_many_tasks(spark, work, library):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # one id for half of the rows, none for a quarter
+        data = [(7 if i % 2 else None if i % 4 else i, f"text number {i % 500}") for i in range(2000)]
+        manifest = write_token_files(documents(spark, data), work, vocabulary_path(), 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len(files) >= 30 and max(f.n_docs for f in files) <= 300
+    back = read_token_files(manifest)
+    assert back.rdd.getNumPartitions() == len(files)
+    assert back.withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 15
+    assert back.agg(F.sum("n_tokens")).first()[0] == sum(len(library(t)) + 1 for _, t in data) and back.count() == 2000
+    starts = sorted((r.start, r.n_tokens) for r in back.collect())
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_file_format(spark, work):
     manifest = write_token_files(documents(spark, rows()), work, vocabulary_path(), 2, group_tokens=300)
     row = max(manifest.collect(), key=lambda r: r.n_tokens)
