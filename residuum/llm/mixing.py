@@ -80,6 +80,26 @@ def rake(cells: DataFrame, work: Workspace, iterations: int = ITERATIONS) -> Dat
     return frame
 
 
+def _rate_weight(weights: DataFrame, work: Workspace) -> float:
+    """The largest weight that is not rare: the first, from the largest down, at
+    which the raked mass of the cells so far exceeds ``RARE_SHARE`` of all.  Up to
+    ``ONE_TASK_CELLS`` cells one task sums them up; beyond, they are ranged by
+    weight and only the range in which the mass is exceeded is summed cell by cell.
+    """
+    n, total = weights.agg(F.count("*"), F.sum("raked")).first()
+    limit, before, cells = RARE_SHARE * (total or 0.0), 0.0, weights
+    if n > ONE_TASK_CELLS:
+        ranged = work.table(weights.repartitionByRange(F.desc("weight")).withColumn("_range", F.spark_partition_id()), "ranges")
+        upto = F.sum("_mass").over(Window.orderBy("_range"))      # one row a range
+        sums = ranged.groupBy("_range").agg(F.sum("raked").alias("_mass")).withColumn("_upto", upto)
+        met = sums.filter(F.col("_upto") > limit).orderBy("_range").first()
+        if met is None:
+            return 1.0
+        before, cells = met["_upto"] - met["_mass"], ranged.filter(F.col("_range") == met["_range"])
+    heavier = cells.withColumn("_upto", F.sum("raked").over(Window.orderBy(F.desc("weight"))) + F.lit(before))
+    return heavier.filter(F.col("_upto") > limit).agg(F.max("weight")).first()[0] or 1.0
+
+
 def _name(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("(none)"))
 
@@ -113,10 +133,7 @@ def calibrate(rows: DataFrame, work: Workspace, targets: dict[str, DataFrame] |
     raked = rake(work.table(shares, "shares"), work, iterations)
     weight = F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0)
     weights = work.table(raked.select(*DIMENSIONS, "raked", weight.alias("weight")), "weights")
-    # raked mass of the cells of at least this weight, over that of all
-    heavier = weights.withColumn("_upto", F.sum("raked").over(Window.orderBy(F.desc("weight"))))
-    total = weights.agg(F.sum("raked")).first()[0] or 0.0
-    largest = heavier.filter(F.col("_upto") > F.lit(RARE_SHARE * total)).agg(F.max("weight")).first()[0] or 1.0
+    largest = _rate_weight(weights, work)
     return weights.drop("raked").withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.lit(largest)))
 
 
@@ -164,8 +181,10 @@ def oracle_sql(iterations: int = ITERATIONS, alpha: float = ALPHA, seed: str = S
             k += 1
             ctes.append(f"""r{k} AS MATERIALIZED (SELECT * EXCLUDE (own) REPLACE (CASE WHEN own > 0 THEN raked * ({d}_share * total / own) ELSE 0 END AS raked)
   FROM (SELECT *, sum(raked) OVER (PARTITION BY {d}) AS own FROM r{k - 1}))""")
-    ctes.append(f"w AS (SELECT _source, _lang, _topic, CASE WHEN mass > 0 THEN raked / mass ELSE 1 END AS weight FROM r{k})")
-    ctes.append("m AS (SELECT *, least(1.0, weight / max(weight) OVER ()) AS probability FROM w)")
+    ctes.append(f"w AS (SELECT _source, _lang, _topic, raked, CASE WHEN mass > 0 THEN raked / mass ELSE 1 END AS weight FROM r{k})")
+    ctes.append("h AS (SELECT weight, sum(raked) OVER (ORDER BY weight DESC) AS upto, sum(raked) OVER () AS total FROM w)")
+    ctes.append(f"g AS (SELECT coalesce(nullif(max(weight) FILTER (upto > {RARE_SHARE} * total), 0), 1) AS largest FROM h)")
+    ctes.append("m AS (SELECT *, least(1.0, weight / (SELECT largest FROM g)) AS probability FROM w)")
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, _source AS source, _lang AS lang, _topic AS topic, _tokens AS n_tokens,
        round(weight, 9) AS weight, round(probability, 9) AS probability,

@@ -76,6 +76,24 @@ def test_rare_documents_do_not_set_the_rate(spark, work):
     assert sum(r.n_tokens * r.probability for r in out if r.source == "(none)") / sum(r.n_tokens * r.probability for r in out) == pytest.approx(0.1, abs=0.01)
 
 
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_rare_cells_equal_sql(spark, work, monkeypatch, one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", one_task)
+    rows = [(i, "w " * (500 + i % 7) + ("why?" if i % 3 else "x@y"), "en" if i % 2 else "de", "big" if i % 5 else "small", 1) for i in range(400)]
+    rows += [(1000, "a b c", "en", None, 1), (1001, "a", None, None, 1), (1002, "", "xx", "yy", 1), (1003, "b c://d", "de", "rare", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in mix(docs, work).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(SQL["op4_mixing"])
+    names = [d[0] for d in want.description]
+    for row in want.fetchall():
+        w, r = dict(zip(names, row)), got[row[names.index("doc_id")]]
+        assert (r.source, r.lang, r.topic, r.n_tokens, r.selected) == tuple(w[c] for c in ("source", "lang", "topic", "n_tokens", "selected"))
+        assert (r.weight, r.probability) == pytest.approx((w["weight"], w["probability"]), rel=1e-6)
+    assert sum(r.probability == 1.0 for r in got.values()) > 3 and len(got) == len(rows)
+
+
 def test_cases_of_mixing(spark, work):
     docs = spark.createDataFrame([(1, None, None, None, 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b", "en", "s", 3), (4, "w " * 100_000, "en", "s", 0)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
@@ -100,6 +118,7 @@ def test_lines_of_a_site(spark, work):
     assert len(out[0]) == 2 and out[5][0].host == "site.example"
     assert out[5][0].text == "own 5" and (out[5][0].n_lines, out[5][0].n_dropped) == (4, 3)
     assert out[0][0].text == "own 0"                       # 2 of 11 pages: below the ratio
-    assert out[20][0].text == "same" and out[30][0].text == "" and out[32][0].text == "a\nb"
+    assert out[20][0].text == "" and out[20][0].n_dropped == 1  # 3 of 3 pages, however small the host
+    assert out[30][0].text == "" and out[32][0].text == "a\nb"
     assert out[40][0].n_lines == 50_000 and out[40][0].n_dropped == 0
     assert drop_boilerplate(spark.createDataFrame([], PAGES), work).count() == 0
