@@ -3,7 +3,8 @@
 Each stage is a function of (spark, docs, sf_dir) that applies one of the
 operators to all that the stage before kept; ``run`` writes each result as
 Parquet in the shared folder and reads it again as the next one's documents.
-All but the last return the columns of the documents.
+All but the last return the columns of the documents.  An empty table, or one
+whose documents all go, gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from residuum.llm.shared import Workspace, text_batches
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold; all of them if there
+    are no labels of both kinds to learn from."""
     held_out = F.crc32(F.col("_id").cast("string")) % 3 == 1
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable=~held_out)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable=~held_out, otherwise=toxicity.UNDECIDED)
     return toxicity.keep_clean(docs, model)
 
 

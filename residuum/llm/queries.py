@@ -106,11 +106,11 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from residuum.llm.toxicity import THRESHOLD, fit, score
+    from residuum.llm.toxicity import THRESHOLD, UNDECIDED, fit, score
 
     docs = read(spark, sf_dir, "documents")
     held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("null"))) % 3 == 1
-    model = fit(docs, read(spark, sf_dir, "labels"), usable=~held_out("_id"))
+    model = fit(docs, read(spark, sf_dir, "labels"), usable=~held_out("_id"), otherwise=UNDECIDED)
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score",
                                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

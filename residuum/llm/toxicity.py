@@ -21,7 +21,8 @@ all documents.  Labels, language, source and id are never part of a score.
 Defined cases: a NULL or empty text scores as one without any string; a NULL id
 is carried through and never trained on; labels of NULL are not used, a
 document with several labels is toxic if any says so; repeated rows score alike;
-without labels of both kinds ``fit`` raises ``ValueError``.
+without two labelled documents of both kinds ``fit`` raises ``ValueError``, or
+returns ``otherwise`` if that is given (``UNDECIDED``: every score is 0.5).
 """
 
 from __future__ import annotations
@@ -162,6 +163,10 @@ class Model:
         return weigh([normal_string(p) for p in pieces], self.table) + np.float32(self.bias)
 
 
+#: Says nothing: the score of every text is 0.5.
+UNDECIDED = Model(np.zeros(_SIZE ** 3, np.float32), 0.0, 0.0, 0.0)
+
+
 def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """L2-regularised squared-hinge machine by Newton steps; the last weight is
     the intercept."""
@@ -363,10 +368,21 @@ def sample_strings(docs: DataFrame, labels: DataFrame, usable: Column | None, n_
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, n_toxic: int = SAMPLE_TOXIC,
-        n_clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+        n_clean: int = SAMPLE_CLEAN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        otherwise: Model | None = None) -> Model:
     """Fit on a bounded sample of labelled documents; ``usable`` is a condition
-    on ``_id`` that limits which labels may be learnt from."""
-    return fit_documents(sample_strings(docs, labels, usable, n_toxic, n_clean, id_col, text_col, label_col))
+    on ``_id`` that limits which labels may be learnt from.  ``otherwise`` is the
+    model for labels that do not hold both kinds."""
+    sample = sample_strings(docs, labels, usable, n_toxic, n_clean, id_col, text_col, label_col)
+    if otherwise is not None and not all(enough(sample)):
+        return otherwise
+    return fit_documents(sample)
+
+
+def enough(documents: list[tuple[bool, tuple[str, ...]]]) -> tuple[bool, bool]:
+    """Whether there are two different toxic documents, and two clean ones."""
+    kinds = [_distinct([sorted(s) for t, s in documents if t == kind and s]) for kind in (True, False)]
+    return len(kinds[0]) >= 2, len(kinds[1]) >= 2
 
 
 def _worst(model: Model, memory: PieceMemory, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

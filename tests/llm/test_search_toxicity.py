@@ -147,6 +147,88 @@ def test_fit_needs_both_kinds(spark):
         fit(documents(spark, rows), labels.filter("toxic = 0"))
 
 
+def test_without_labels_every_score_is_one_half(spark):
+    rows, _, labels = labelled(spark, 30)
+    for few in (labels.filter("toxic = 0"), labels.limit(0), labels.filter("doc_id = 0 or toxic = 0")):
+        model = fit(documents(spark, rows), few, otherwise=toxicity.UNDECIDED)
+        assert {r.score for r in score(documents(spark, [*rows, (90, None), (91, "")]), model).collect()} == {0.5}
+        assert keep_clean(documents(spark, rows), model).count() == 30
+
+
+def test_weights_are_those_of_a_plain_string_kernel():
+    """``weigh`` against the kernel written out, and its folded weights against
+    the product with each landmark."""
+    rng = random.Random(5)
+    strings = ["".join(rng.choice("abcé.-é日") for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["", "a", "idiot", "i.d.i.o.t", "idxiot"]
+
+    def plain(x):
+        codes = [toxicity._BEGIN, *(int(c) for c in toxicity._codes([x])[0][1:1 + len(x)]), toxicity._END]
+        out = {}
+        for i in range(len(codes)):
+            for j in range(i + 1, len(codes)):
+                for k in range(j + 1, min(i + toxicity.REACH, len(codes))):
+                    if codes[i] and codes[j] and codes[k]:
+                        out.setdefault((codes[i], codes[j], codes[k]), []).append(toxicity.DECAY ** (k - i - 2))
+        norm = sum(w * w for ws in out.values() for w in ws) ** 0.5
+        return {t: sum(ws) / max(norm, 1e-4) for t, ws in out.items()}
+
+    place = lambda t: (t[0] * toxicity._SIZE + t[1]) * toxicity._SIZE + t[2]
+    features = [plain(x) for x in strings]
+    landmarks = features[:5]
+    share = np.random.default_rng(1).normal(size=5)
+    folded = np.zeros(toxicity._SIZE ** 3, np.float32)
+    for mark, w in zip(landmarks, share):
+        for t, v in mark.items():
+            folded[place(t)] += w * v
+    want = [sum(w * sum(v * mark.get(t, 0.0) for t, v in f.items()) for mark, w in zip(landmarks, share)) for f in features]
+    assert toxicity.weigh(strings, folded) == pytest.approx(np.array(want), abs=2e-5)
+    dense, found = toxicity._features(strings)
+    assert [{int(found[c]): float(v) for c, v in enumerate(row) if v} for row in dense] == [pytest.approx({place(t): v for t, v in f.items()}, abs=1e-5) for f in features]
+
+
+PIPELINE = ["documents", "labels", "benchmark"]
+
+
+def tables(spark, folder, **frames):
+    """A folder of the pipeline's tables; those not given are as in the test data."""
+    for name in PIPELINE:
+        df = frames.get(name)
+        if df is None:
+            df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    whole = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in PIPELINE}
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    nothing = corpus_pipeline.run(spark, tables(spark, tmp_path / "a", **{n: t.limit(0) for n, t in whole.items()}))
+    assert nothing.columns == columns and nothing.count() == 0
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "b", documents=whole["documents"].limit(0))).count() == 0
+    # without labels and benchmark nothing goes for them
+    free = corpus_pipeline.run(spark, tables(spark, tmp_path / "c", labels=whole["labels"].limit(0), benchmark=whole["benchmark"].limit(0)))
+    assert 0 < free.count() <= whole["documents"].count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a document without an id, but with words of its own", "en", None, 50), (7001, "", "xx", "s", 0), (7002, None, None, "s", 0),
+                                 (7003, "row that stands twice in this table of documents", "en", "s", 40), (7003, "row that stands twice in this table of documents", "en", "s", 40),
+                                 (7004, "word " * 200_000, "en", "s", 10**6)], base.schema)
+    docs = clashing(base.unionByName(odd))
+    folder = tables(spark, tmp_path / "odd", documents=docs)
+    rows = corpus_pipeline.run(spark, folder).collect()
+    seen = [r.doc_id for r in rows]
+    assert seen.count(7003) <= 1 and set(seen) <= {r.doc_id for r in docs.select("doc_id").collect()}
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    assert all(r.n_tokens == 200_001 for r in rows if r.doc_id == 7004)
+
+
 def test_normal_strings():
     assert normal_string("«IDIOT!!»") == "idiot" and normal_string("1d10t") == "idiot" and normal_string("soooo") == "soo" and normal_string("2024") == "" and normal_string("i d i") == "idi"
 
