@@ -26,9 +26,10 @@ forests give the result.  No pair is left out: every step keeps all pairs that
 can reach the threshold, whatever the order or the layout.
 
 Defined cases: a NULL or empty text (or one without words) has the empty set,
-links with nothing and is its own component; a document with a NULL id has the
-component of its equals, or NULL; repeated ids are documents of their own that
-share their id; repeated rows link with each other.
+links with nothing and is its own component; a document with a NULL id links like
+any other, and its component is the smallest id that links reach, or NULL;
+repeated ids are documents of their own that share their id; repeated rows link
+with each other.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ from residuum.llm.shared import Workspace, forget, slices
 from residuum.llm.shingles import SIZE, shingle_sets, signatures
 
 THRESHOLD = 80
-#: Hash ranges that the first fragment is dealt out by; about one for every
-#: 10 MB of text keeps a range within a few MB.
+#: Hash ranges that the first fragment is dealt out by: one for so many bytes of
+#: text, which keeps a range within a few MB, and so many at least.
+BUCKET_BYTES = 10 << 20
 BUCKETS = 1024
 #: Shingles of a block, and what a document counts for at least.
 BLOCK_SHINGLES = 600_000
@@ -86,11 +88,17 @@ def _reach(n: np.ndarray, threshold: int) -> np.ndarray:
     return np.where(n > 0, np.minimum(n, n - _need(n, threshold) + _extra(n)), 0)
 
 
-FIRST = "kind int, bucket int, chunk long, idx int, id long, n long, s1 long, s2 long, data binary"
+FIRST = "kind int, bucket int, chunk long, idx int, id long, t long, n long, s1 long, s2 long, data binary"
+
+
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for the texts of ``_text``, by their bytes."""
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return max(BUCKETS, -(-total // BUCKET_BYTES))
 
 
 def _row(kind, bucket, chunk, data) -> tuple:
-    return kind, bucket, chunk, None, None, None, None, None, data
+    return kind, bucket, chunk, None, None, None, None, None, None, data
 
 
 def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) -> DataFrame:
@@ -111,7 +119,7 @@ def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) ->
                 s1, s2 = signatures(hashes, borders)
                 rows = len(n)
                 yield _first_batch([pa.array(np.ones(rows), pa.int32()), pa.nulls(rows, pa.int32()), pa.array(np.full(rows, chunk)), pa.array(np.arange(rows), pa.int32()),
-                                    batch.column("_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(rows, pa.binary())])
+                                    batch.column("_id"), batch.column("_t"), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(rows, pa.binary())])
                 owner = np.repeat(np.arange(rows, dtype=np.uint32), n)
                 early = np.arange(len(hashes)) - np.repeat(borders[:-1], n) < np.repeat(_reach(n, threshold), n)
                 own = owner[early]
@@ -140,7 +148,7 @@ def _first_fragment(docs: DataFrame, size: int, threshold: int, buckets: int) ->
     return docs.mapInArrow(run, FIRST)
 
 
-_FIRST_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_FIRST_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _first_batch(columns: list) -> pa.RecordBatch:
@@ -336,27 +344,40 @@ def _meet(threshold: int):
 
 
 def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD, size: int = SIZE,
-                       id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+                       id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``id, n_shingles, component_id, n_links`` per document: its set's size,
     the smallest id that links reach, and how many other documents it links
     with (equal sets included)."""
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    out = _members(docs, work, threshold, size, id_col, text_col, buckets)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _text`` and the text's hash ``_t``: id and hash name a row."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).withColumn("_t", F.xxhash64("_text"))
+
+
+def _members(docs: DataFrame, work: Workspace, threshold: int, size: int, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
+    """``id, t, n, member, component_id, n_links`` of every document; ``member``
+    is a number of its component (NULL for an empty set)."""
+    src = _identified(docs, id_col, text_col)
+    buckets = buckets or bucket_count(src)
     first = work.table(_first_fragment(src, size, threshold, buckets), "first")
-    each = first.filter("kind = 1").select("chunk", "idx", "id", "n", "s1", "s2")
+    each = first.filter("kind = 1").select("chunk", "idx", "id", "t", "n", "s1", "s2")
     same = ["s1", "s2", "n"]
     classes = each.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    # a repeated id names its first class only; the others get a name of their own
-    again = F.row_number().over(Window.partitionBy("rep").orderBy(*same))
-    classes = work.table(classes.withColumn("node", F.when(F.col("rep").isNotNull() & (again == 1), F.col("rep")).otherwise(
-        F.xxhash64(F.coalesce("rep", F.lit(0)), *same).bitwiseOR(F.lit(-(1 << 63))))), "classes")
+    # classes are numbered once they are stored
+    classes = work.table(work.table(classes, "classes").withColumn("node", F.monotonically_increasing_id()), "nodes-of-classes")
 
     # the first fragment: what documents share of it
     shared = first.filter("kind = 0").groupBy("bucket").applyInArrow(_shared_in_bucket(buckets), "chunk long, kind int, data binary")
     kept = shared.union(first.filter("kind = 2").select("chunk", "kind", "data")).groupBy("chunk").applyInArrow(
         _keepers(threshold), "chunk long, idx int, keys array<long>")
     kept = work.table(kept, "kept")
-    one = (kept.join(each, ["chunk", "idx"]).join(classes.filter("rep is not null").withColumnRenamed("rep", "id"), [*same, "id"])
-           .groupBy("node").agg(F.first("id").alias("id"), F.first("s1").alias("s1"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("keys").alias("keys")))
+    one = (kept.join(each, ["chunk", "idx"]).join(classes, same).filter(F.col("id").eqNullSafe(F.col("rep")))
+           .groupBy("node").agg(F.first("id").alias("id"), F.min("t").alias("t"), F.first("s1").alias("s1"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("keys").alias("keys")))
     one = work.table(one, "left")
     held = one.select("node", F.explode("keys").alias("key"))
     low = held.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_low")).filter("_n > 1").drop("_n")
@@ -365,14 +386,15 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
     label = held.groupBy("node").agg(F.min("_low").alias("_l"))
     wide = held.join(label, "node").groupBy("key").agg(F.min("_l").alias("_l2"))
     label = held.join(wide, "key").groupBy("node").agg(F.min("_l2").alias("label"))
-    nodes = one.select("node", "id", "s1", "n", "copies").join(label, "node")
+    nodes = one.select("node", "id", "t", "s1", "n", "copies").join(label, "node")
     nodes = work.table(nodes, "nodes")
     blocks = work.table(_lay_out(nodes, work), "blocks")
 
     # the whole sets of the documents left
-    wanted = nodes.join(blocks, "node").select(F.col("id").alias("_id"), F.col("s1").alias("_s1"), "node", "n", "copies", "block")
+    wanted = nodes.join(blocks, "node").select(F.col("id").alias("_wid"), F.col("t").alias("_wt"), F.col("s1").alias("_s1"), "node", "n", "copies", "block")
     wanted = work.table(wanted, "wanted")
-    found = src.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "_id")
+    found = src.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted,
+                     F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_t") == F.col("_wt"))).drop("_id", "_t", "_wid", "_wt")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -407,34 +429,28 @@ def jaccard_components(docs: DataFrame, work: Workspace, threshold: int = THRESH
         links.groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_links")), "node", "left")
     smallest = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("_smallest"))
     named = named.join(smallest, "component", "left").select(
-        *same, F.coalesce("_smallest", "rep").alias("component_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = each.join(named, same, "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        *same, F.coalesce("component", "node").alias("member"), F.coalesce("_smallest", "rep").alias("component_id"),
+        (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return each.join(named, same, "left").select("id", "t", "n", "member", "component_id", "n_links")
 
 
 def keep_representatives(docs: DataFrame, work: Workspace, threshold: int = THRESHOLD, size: int = SIZE,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does: that
-    with the smallest id.  Of repeated rows one stays; rows with a NULL id stay
-    unless their text's set has a document with an id."""
-    found = work.table(jaccard_components(docs, work, threshold, size, id_col, text_col), "found")
-    gone = found.filter(F.col("component_id") != F.col(f"`{id_col}`")).select(F.col(f"`{id_col}`").alias("_gone")).distinct()
-    nameless = found.filter(F.col(f"`{id_col}`").isNull() & F.col("component_id").isNotNull()).limit(1).count()
-    repeated = found.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count()
-    own = F.col(f"`{id_col}`")
-    small = gone.count() <= BROADCAST_IDS
-    stay = docs.join(F.broadcast(gone) if small else gone, own == F.col("_gone"), "left_anti")
-    if not nameless and not repeated:
-        return stay
-    # the unusual rows alone: with NULL or repeated ids
-    odd = found.groupBy(F.col(f"`{id_col}`").alias("_odd")).count().filter("_odd is null or count > 1").select("_odd")
-    usual = stay.join(odd, own.eqNullSafe(F.col("_odd")), "left_anti")
-    unusual = stay.join(odd, own.eqNullSafe(F.col("_odd")), "left_semi").dropDuplicates([id_col, text_col])
-    if nameless:
-        named = docs.filter(own.isNotNull()).select(F.col(f"`{text_col}`").alias("_named")).join(
-            unusual.filter(own.isNull()).select(F.col(f"`{text_col}`").alias("_named")).distinct(), "_named", "left_semi").distinct()
-        unusual = unusual.filter(own.isNotNull()).unionByName(
-            unusual.filter(own.isNull()).join(named, F.col(f"`{text_col}`") == F.col("_named"), "left_anti"))
-    return usual.unionByName(unusual)
+    with the smallest id (one without an id only if none has one; of equal ids
+    that with the smaller hash of its text).  A row is known by its id and text,
+    so another text under the same id is judged by itself.  Of rows with equal id
+    and text one stays."""
+    found = work.table(_members(docs, work, threshold, size, id_col, text_col, None).select("id", "t", "n", "member"), "found")
+    order = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("t"))
+    first = found.filter("n > 0").groupBy("member").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    gone = work.table(found.join(first, "member").filter(~(F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("t") == F.col("_first.t"))))
+                      .select(F.col("id").alias("_gid"), F.col("t").alias("_gt")).distinct(), "gone")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"),
+                        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_t"))
+    known = lambda other: F.col("_id").eqNullSafe(F.col(f"_{other}id")) & (F.col("_t") == F.col(f"_{other}t"))
+    stay = whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, known("g"), "left_anti")
+    again = found.groupBy("id", "t").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("id").alias("_rid"), F.col("t").alias("_rt"))
+    if again.limit(1).count():
+        stay = stay.join(again, known("r"), "left_anti").unionByName(stay.join(again, known("r"), "left_semi").dropDuplicates(["_id", "_t"]))
+    return stay.select("_row.*")

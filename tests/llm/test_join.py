@@ -120,6 +120,36 @@ def test_one_of_each_group_stays(spark, work):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (3, b), (None, "k l m n o"), (4, None), (5, "")], key=str)
 
 
+def test_links_through_documents_without_an_id(spark, work):
+    rng = random.Random(8)
+    chain = words(rng, 200).split()
+    rows = []
+    for k in range(6):     # every second document of a chain has no id
+        chain[k * 6:(k + 1) * 6] = [f"c{k}{i}" for i in range(6)]
+        rows.append((None if k % 2 else 10 + k, " ".join(chain)))
+    rows += [(None, near(rng, words(random.Random(9), 100), k)) for k in range(3)] + [(None, "quite another text that stands alone here")] * 2
+    assert got(jaccard_components(documents(spark, rows), work)) == brute(rows)
+    left = [(r.doc_id, r.text) for r in keep_representatives(documents(spark, rows), work).collect()]
+    assert [t for i, t in left if i is not None] == [rows[0][1]] and len(left) == 3
+
+
+def test_other_texts_under_a_removed_id_stay(spark, work):
+    rng = random.Random(10)
+    base = words(rng, 120)
+    rows = [(3, base), (5, near(rng, base, 1)), (5, "an unrelated text under the same id as a near copy"), (5, "one more of its own, again under this id of many")]
+    rows += [(7, near(rng, base, 1)), (7, near(rng, base, 1))] + [(9, words(rng, 60)) for _ in range(30)]
+    left = sorted((r.doc_id, r.text) for r in keep_representatives(documents(spark, rows), work).collect())
+    assert left == sorted([rows[0], rows[2], rows[3], *rows[6:]])
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    docs = documents(spark, [(i, "x" * 1000) for i in range(50)] + [(99, None)])
+    src = ngram_join._identified(docs, "doc_id", "text")
+    assert ngram_join.bucket_count(src) == ngram_join.BUCKETS
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 20)
+    assert ngram_join.bucket_count(src) == 2500 and ngram_join.bucket_count(src.limit(0)) == ngram_join.BUCKETS
+
+
 def test_components_of_long_chains(spark, work):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     out = {r.node: r.component for r in connected_components(edges, work).collect()}
