@@ -18,10 +18,13 @@ whose nodes remember the prefix their loser is known to share with the winner;
 two suffixes are compared only beyond that, and mostly by two lengths alone.
 Suffixes that share an anchor's gram come out side by side; among those a string
 (so many bytes before the anchor, the rest behind) is an earlier string's copy
-exactly when both parts are equal.
+exactly when both parts are equal.  The merge has told how much neighbours share
+behind the anchor; sorting the bytes before it backwards tells the same for the
+other side, so equality is read off these lengths and never off a hash.
 
-Strings of one task that lie around equal anchors in equal surroundings are
-settled there: only the earliest is sent.  For grams with very many different
+Strings of one task that lie around equal anchors in equal surroundings (compared
+byte by byte where their hashes are equal) are settled there: only the earliest is
+sent.  For grams with very many different
 surroundings each string is a suffix of its own, dealt out by its own bytes, so
 no gram gathers in one task.
 
@@ -44,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.bytewords import BYTE_VALUE, _powers, mix, prefix_sums, stretch_hash, text_bytes
+from residuum.llm.bytewords import mix, prefix_sums, stretch_hash, text_bytes
 from residuum.llm.shared import Workspace, forget, slices
 
 LENGTH = 100
@@ -52,6 +55,8 @@ GRAM = 36
 #: Positions of grams in a string, and bytes that may lie before its anchor.
 SPAN = LENGTH - GRAM + 1
 BEFORE = LENGTH - GRAM
+#: Ranges of grams: one for so many bytes of text, and so many at least.
+BUCKET_BYTES = 20 << 20
 BUCKETS = 512
 #: Text of one chunk, in bytes, and of one slice that is hashed at a time.
 CHUNK = 32 << 20
@@ -384,45 +389,59 @@ def _merge(table: pa.Table) -> pa.Table:
             while end < len(several) and group[several[end]] == group[several[end - 1]]:
                 end += 1
             some = several[at:end]
-            out.append(_settle([suffixes[i] for i in entry[some]], [left[i] for i in entry[some]], least[some], doc[some], pos[some]))
+            length = np.fromiter((len(suffixes[i]) for i in entry[some]), np.int64, len(some))
+            out.append(_settle(shared[some], length, [left[i] for i in entry[some]], least[some], doc[some], pos[some]))
             at = end
     spans = np.concatenate(out)
     return pa.table({"doc": pa.array(spans[:, 0]), "start": pa.array(spans[:, 1].astype(np.int32)), "stop": pa.array(spans[:, 2].astype(np.int32))})
 
 
-def _settle(right: list[bytes], left: list[bytes], least: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """The strings of these suffixes that also start earlier, as spans."""
-    order = np.lexsort((pos, doc))
-    m = len(right)
-    n_right, n_left = np.fromiter(map(len, right), np.int64, m)[order], np.fromiter(map(len, left), np.int64, m)[order]
-    table = np.zeros((m, BEFORE + LENGTH), np.uint8)
-    columns = np.arange(BEFORE + LENGTH)
-    inside = (columns >= (BEFORE - n_left)[:, None]) & (columns < (BEFORE + n_right)[:, None])
-    table[inside] = np.frombuffer(b"".join(left[i] + right[i] for i in order), np.uint8)
-    doc, pos, least = doc[order], pos[order], least[order]
-    up, down = _powers(BEFORE + LENGTH + 1, "up"), _powers(BEFORE + LENGTH + 1, "down")
-    sums = np.zeros((m, BEFORE + LENGTH + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(BYTE_VALUE[table] * up[:BEFORE + LENGTH], axis=1, out=sums[:, 1:])
-        keys, entries, befores = [], [], []
-        for before in range(BEFORE + 1):
-            own = np.flatnonzero((least <= before) & (before <= n_left) & (n_right >= LENGTH - before))
-            if len(own):
-                begin = BEFORE - before
-                keys.append(mix((sums[own, begin + LENGTH] - sums[own, begin]) * down[begin]))
-                entries.append(own)
-                befores.append(np.full(len(own), before))
+def _settle(shared: np.ndarray, n_right: np.ndarray, left: list[bytes], least: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The strings of suffixes, in merged order, that also start earlier, as spans.
+    ``shared`` is the prefix that each shares with the one before it."""
+    m = len(left)
+    back = [x[::-1] for x in left]
+    n_left = np.fromiter(map(len, back), np.int64, m)
+    by_left = np.array(sorted(range(m), key=back.__getitem__))
+    common = _common_prefixes([back[i] for i in by_left])
+    keys, entries, befores = [], [], []
+    side = np.empty(m, np.int64)
+    for before in range(BEFORE + 1):
+        own = np.flatnonzero((least <= before) & (before <= n_left) & (n_right >= LENGTH - before))
+        if len(own):
+            # neighbours are equal as far as needed where the prefix they share is that long
+            side[by_left] = np.cumsum(common < before)
+            behind = np.cumsum(shared < LENGTH - before)
+            keys.append((behind[own] * (m + 1) + side[own]) * (BEFORE + 1) + before)
+            entries.append(own)
+            befores.append(np.full(len(own), before))
     if not keys:
         return np.zeros((0, 3), np.int64)
     key, entry, before = map(np.concatenate, (keys, entries, befores))
-    # entries are in the order of documents and positions: the first of equal strings stays
-    by = np.lexsort((entry, key))
+    turn = np.empty(m, np.int64)
+    turn[np.lexsort((pos, doc))] = np.arange(m)
+    # the first of equal strings, by document and position, stays
+    by = np.lexsort((turn[entry], key))
     copy = np.zeros(len(key), bool)
     copy[by[1:]] = key[by[1:]] == key[by[:-1]]
     entry, start = entry[copy], pos[entry[copy]] - before[copy]
     return _spans(doc[entry], start)
 
 
+def _common_prefixes(ordered: list[bytes]) -> np.ndarray:
+    """How much each string (of at most ``BEFORE`` bytes) shares with the one before."""
+    m = len(ordered)
+    size = np.fromiter(map(len, ordered), np.int64, m)
+    table = np.zeros((m, BEFORE + 1), np.uint8)
+    table[np.arange(BEFORE + 1)[None, :] < size[:, None]] = np.frombuffer(b"".join(ordered), np.uint8)
+    out = np.zeros(m, np.int64)
+    if m > 1:
+        differ = table[1:] != table[:-1]
+        differ[:, BEFORE] = True
+        out[1:] = np.minimum(np.argmax(differ, axis=1), np.minimum(size[1:], size[:-1]))
+    return out
+
+
 def _spans(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Strings that start one after another, as one span each."""
     if not len(doc):
@@ -501,6 +520,9 @@ def _runs(marked: DataFrame, buckets: int) -> DataFrame:
 def _earliest(seen: dict, settled: list, key: int, bucket: int, row: tuple, before: int, more: int) -> None:
     """Keep the earlier of equal suffixes; the later one's strings are copies."""
     other = seen.get(key)
+    if other is not None and other[1][:3] != row[:3]:      # equal hashes of different bytes
+        key = (key, *row[:3])
+        other = seen.get(key)
     if other is None:
         seen[key] = (bucket, row)
         return
@@ -511,12 +533,13 @@ def _earliest(seen: dict, settled: list, key: int, bucket: int, row: tuple, befo
     settled.append((later[3], later[4] - before, later[4] - before + more + LENGTH))
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
+def remove_repeats(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
                    hot: int = HOT) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256, spans`` per document;
     ``spans`` are the removed byte ranges."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     each = work.table(src.select("_id", F.octet_length("_text").cast("long").alias("n"), F.sha2("_text", 256).alias("sha")), "documents")
+    buckets = buckets or max(BUCKETS, -(-(each.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES))
     # documents with a place in the order, and the first of equal texts
     known = each.filter("_id is not null").groupBy("_id").agg(F.min("sha").alias("sha"), F.max("sha").alias("_other"), F.max("n").alias("n"))
     firsts = known.filter("sha = _other").groupBy("sha", "n").agg(F.min("_id").alias("first"))

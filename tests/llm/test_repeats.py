@@ -79,6 +79,33 @@ def test_defined_cases(spark, work):
     assert by[(8, len(long))] == (0, 0) and by[(9, len(long) + 1)] == (len(long), 1)
 
 
+def test_equal_hashes_of_different_bytes(spark, work, monkeypatch):
+    """With a hash of two bits every surrounding meets others: bytes decide."""
+    seen, settled = {}, []
+    rows = [(b"abc", b"x", 0, 5, 0), (b"abd", b"x", 0, 6, 0), (b"abc", b"y", 0, 7, 0), (b"abd", b"x", 0, 8, 3), (b"abc", b"x", 0, 9, 1), (b"abc", b"x", 0, 2, 1)]
+    for row in rows:
+        suffix_dedup._earliest(seen, settled, 1, 0, row, 1, 0)
+    assert sorted((r[0], r[1], r[3]) for _, r in seen.values()) == [(b"abc", b"x", 2), (b"abc", b"y", 7), (b"abd", b"x", 6)]
+    assert settled == [(8, 2, 102), (9, 0, 100), (5, -1, 99)]
+
+
+def test_common_prefixes():
+    rng = random.Random(3)
+    texts = sorted(bytes(rng.choice(b"\0a") for _ in range(rng.randrange(suffix_dedup.BEFORE + 1))) for _ in range(200)) + [b"\xff" * suffix_dedup.BEFORE] * 2
+    got = suffix_dedup._common_prefixes(texts).tolist()
+    assert got[1:] == [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(texts, texts[1:])]
+    assert suffix_dedup._common_prefixes([b"", b""]).tolist() == [0, 0]
+
+
+def test_very_long_texts(spark, work):
+    rng = random.Random(12)
+    long = words(rng, 300_000, 5000)
+    rows = [(1, long), (2, words(rng, 50) + long[700_000:900_000] + words(rng, 50)), (3, "q" + long[1000:]), (4, long[5000:5099])]
+    out = got(remove_repeats(documents(spark, rows), work))
+    # every removed byte of these is a passage of the first
+    assert out[1][1] < 1000 and out[2][1] >= 200_000 and out[2][2] <= 3 and out[3][1] >= len(long) - 1200 and out[4][1] == 0
+
+
 def test_empty(spark, work):
     assert remove_repeats(documents(spark, [(1, "x")]).filter("doc_id = 2"), work).count() == 0
 
