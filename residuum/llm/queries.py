@@ -46,7 +46,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = Workspace(spark, "warc")
     captures = merge_runs(write_archives(read(spark, sf_dir, "pages"), work), work)
-    return resolve_revisits(work.table(read_archives(captures), "records"))
+    return resolve_revisits(work.table(read_archives(captures), "records"), work)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

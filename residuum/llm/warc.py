@@ -152,7 +152,9 @@ def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", u
     # one row for each payload that occurs again; pre-aggregated before the exchange
     firsts = (src.filter(F.length("_payload") >= MIN_REVISIT).groupBy("_digest")
               .agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
-    marked = src.join(firsts, "_digest", "left").select(
+    # stored, so Spark knows their size: they are broadcast, or the pages of a
+    # frequent payload are split between tasks
+    marked = src.join(work.table(firsts, "repeated"), "_digest", "left").select(
         "_id", "_url", "_when", "_digest", "_payload",
         F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"))
     folder = work.folder("archives")
@@ -270,13 +272,20 @@ def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names[:len(cols)])
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, work: Workspace | None = None) -> DataFrame:
     """Give each record the size and digest of its full payload: its own, or
     for a revisit those read from the response it refers to.  ``verified`` tells
-    whether that digest is the one in the record's header."""
+    whether that digest is the one in the record's header.
+
+    Only responses that are referred to are looked up; with ``work`` they are
+    stored first, so Spark broadcasts them, or splits the revisits of one response.
+    """
+    named = records.filter("record_type = 'revisit'").select("refers_to", "header_digest").distinct()
     full = (records.filter("record_type = 'response' and page_id is not null")
-            .groupBy(F.col("page_id").alias("refers_to"), F.col("stored_digest").alias("header_digest"))
-            .agg(F.max("stored_bytes").alias("_bytes")))
+            .select(F.col("page_id").alias("refers_to"), F.col("stored_digest").alias("header_digest"), "stored_bytes")
+            .join(named, ["refers_to", "header_digest"], "left_semi")
+            .groupBy("refers_to", "header_digest").agg(F.max("stored_bytes").alias("_bytes")))
+    full = work.table(full, "referred") if work is not None else full
     return records.join(full, ["refers_to", "header_digest"], "left").select(
         "page_id",
         F.when(F.col("record_type") == "revisit", F.col("_bytes")).otherwise(F.col("stored_bytes")).alias("payload_bytes"),
