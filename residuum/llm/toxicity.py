@@ -3,7 +3,8 @@
 Two strings are alike when they share subsequences of three characters, each
 weighted down for every character in between (``DECAY`` per gap, at most
 ``REACH`` characters in all).  An insult keeps most of its subsequences when
-characters are put between its letters, so ``i.d.i-o.t`` stays near ``idiot``.
+characters are put between its letters, so ``i.d.i-o.t`` stays near ``idiot``; a
+piece with signs inside is also weighed without them, as gaps of no width.
 
 The kernel is approximated by its values against a few landmark strings
 (Nyström: the inverse square root of the landmarks' own kernel matrix), and a
@@ -80,6 +81,7 @@ def _code_table() -> np.ndarray:
 _CODES = _code_table()
 _RUN = re.compile(r"(.)\1{2,}")
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
+_SIGNS = re.compile(r"[\W_]+")
 
 
 def normal_string(piece: str) -> str:
@@ -160,7 +162,14 @@ class Model:
     shift: float
 
     def strings(self, pieces: list[str]) -> np.ndarray:
-        return weigh([normal_string(p) for p in pieces], self.table) + np.float32(self.bias)
+        """The kernel's value of every piece; one with signs between its letters
+        counts as it stands or without them, whichever is worse."""
+        forms = [normal_string(p) for p in pieces]
+        values = weigh(forms, self.table)
+        signed = [i for i, x in enumerate(forms) if not x.isalnum() and x]
+        bare = [_SIGNS.sub("", forms[i]) for i in signed]
+        values[signed] = np.maximum(values[signed], weigh(bare, self.table))
+        return values + np.float32(self.bias)
 
 
 #: Says nothing: the score of every text is 0.5.

@@ -116,6 +116,14 @@ def test_disguised_insults(spark, model):
     assert all(s[i] > 0.5 for i in (1, 2, 3, 4)) and s[0] < 0.2
 
 
+def test_signs_between_letters_at_the_threshold(spark, model):
+    plain = "ther ing so mel "
+    forms = [sign.join(w) for w in INSULTS for sign in (".", "-", "_", "*", " ", "~.")] + [w[:3] + "-" + w[3:] for w in INSULTS] + [w.upper() + "!!" for w in INSULTS]
+    s = {r.doc_id: r.score for r in score(documents(spark, list(enumerate(plain + f + " so mel" for f in forms)) + [(900, "an.ther-ing so_mel ka*run t.i.o.r"), (901, "... --- ._.")]), model).collect()}
+    assert all(s[i] >= toxicity.THRESHOLD for i in range(len(forms))), [f for i, f in enumerate(forms) if s[i] < toxicity.THRESHOLD]
+    assert s[900] < 0.5 and s[901] < 0.5
+
+
 def test_neighbours_do_not_matter(spark, model):
     import pyarrow as pa
 
