@@ -1,14 +1,18 @@
 """WARC archives with an externally merged capture index.
 
 Writing: identical payloads are found by digest, each task writes its pages as
-one archive of gzip members into the shared folder and returns the records'
-places as a run sorted by URL key, timestamp and page.  Merging: the stored
-runs are dealt out by ranges of that key; each range takes its piece of every
-run and combines the pieces with a loser tree, so the concatenated ranges are
-one globally ordered capture history.  Reading goes through that index.
-
-Archives are written under names no other attempt uses, and only places that a
-finished task returned are read, so a lost executor leaves at most unread files.
+one archive of gzip members into the shared folder and the records' places,
+sorted by URL key, timestamp and page, as one run file beside it.  Merging:
+ranges of that key are cut from samples of the runs; the task of a range streams
+its stretch of every run file, a row group at a time, and combines the stretches
+with a loser tree, so the concatenated ranges are one globally ordered capture
+history.  At most ``FAN_IN`` runs are merged at once: more go through rounds that
+write longer runs.  A merging task holds a row group of each of its runs, whatever
+the size of the index.  Reading goes through that index.
+
+Archives and runs are written under names no other attempt uses, and only those
+that a finished task returned are read, so a lost executor leaves at most unread
+files.
 
 Defined cases: a NULL payload is empty; a NULL URL has no target line and the
 empty key; a NULL page id is written as ``-``, read as NULL and never referred
@@ -29,13 +33,20 @@ from typing import Any
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.shared import Workspace, attempt_name, filesystem, join_path, slices
 
 #: Smaller payloads are always stored.
 MIN_REVISIT = 100
+#: Runs that are merged at once, rows of a run file's row group, rows that a range
+#: aims at, and rows for which a run gives one key to choose the ranges by.
+FAN_IN = 64
+GROUP_ROWS = 4096
+RANGE_ROWS = 1_000_000
+SAMPLED = 16_384
 
 # Fixed values of the file format.
 VERSION = b"WARC/1.1\r\n"
@@ -132,13 +143,82 @@ def _page_of(name: str) -> int | None:
 
 
 _EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
+_EPOCH_MICROS = int(_EPOCH.timestamp()) * 1_000_000
 CAPTURE = ("url_key string, captured timestamp, page_id long, record_type string, refers_to long, "
            "file string, offset long, length int, run string")
+#: The order of captures: URL key, time in microseconds, pages without an id first, run, offset.
+KEY = "u: string, t: long, h: int, p: long, r: string, o: long"
+MANIFEST = f"run long, seq long, file string, n long, lo struct<{KEY}>, hi struct<{KEY}>, keys array<struct<{KEY}>>"
+
+_RUN_FILE = pa.schema([("url_key", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                       ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int32()), ("run", pa.string())])
+_KEY_TYPE = pa.struct([("u", pa.string()), ("t", pa.int64()), ("h", pa.int32()), ("p", pa.int64()), ("r", pa.string()), ("o", pa.int64())])
+
+
+def _key(c: tuple) -> tuple:
+    """The key of a row of a run file."""
+    return c[0], c[1], int(c[2] is not None), c[2] or 0, c[8], c[6]
+
+
+class _RunWriter:
+    """Writes sorted captures as a run file and keeps what the manifest says."""
+
+    def __init__(self, folder: str):
+        self.fs, path = filesystem(folder)
+        name = attempt_name("run", ".parquet")
+        self.file, self.path = join_path(folder, name), join_path(path, name)
+        self.out, self.held, self.n, self.keys, self.last = None, [], 0, [], None
+
+    def add(self, row: tuple) -> None:
+        if self.n % SAMPLED == 0:
+            self.keys.append(_key(row))
+        self.held.append(row)
+        self.n, self.last = self.n + 1, row
+        if len(self.held) == GROUP_ROWS:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.out = self.out or pq.ParquetWriter(self.path, _RUN_FILE, filesystem=self.fs, compression="zstd")
+            self.out.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.held), _RUN_FILE)], schema=_RUN_FILE))
+            self.held = []
+
+    def close(self, run: int, seq: int) -> Iterator[pa.RecordBatch]:
+        """The manifest row, if anything was written."""
+        self._flush()
+        if self.out is not None:
+            self.out.close()
+            named = [dict(zip("uthpro", k)) for k in (self.keys[0], _key(self.last), *self.keys)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([run]), pa.array([seq]), pa.array([self.file]), pa.array([self.n]), pa.array(named[:1], _KEY_TYPE), pa.array(named[1:2], _KEY_TYPE),
+                 pa.array([named[2:]], pa.list_(_KEY_TYPE))], names=["run", "seq", "file", "n", "lo", "hi", "keys"])
+
+
+def _stretch(files: list[str], lo: tuple | None, hi: tuple | None) -> Iterator[tuple[tuple, tuple]]:
+    """Keys and rows of one run from ``lo`` on and before ``hi``, a row group at a
+    time; row groups outside are not read."""
+    for file in files:
+        fs, path = filesystem(file)
+        with pq.ParquetFile(path, filesystem=fs) as f:
+            for g in range(f.num_row_groups):
+                told = f.metadata.row_group(g).column(0).statistics
+                if told is not None and told.has_min_max:
+                    if lo is not None and told.max < lo[0]:
+                        continue
+                    if hi is not None and told.min > hi[0]:
+                        return
+                for row in zip(*(c.to_pylist() for c in f.read_row_group(g).columns)):
+                    key = _key(row)
+                    if hi is not None and key >= hi:
+                        return
+                    if lo is None or key >= lo:
+                        yield key, row
 
 
 def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", captured: Column | None = None) -> DataFrame:
-    """Write a record per page; returns the sorted runs (one per task).
+    """Write a record per page; returns the manifest of the sorted runs (one per
+    task), for ``merge_runs``.
 
     ``captured`` gives the capture times; without it a page's id counts seconds
     from the year 2000 (a NULL id: 0).
@@ -157,9 +237,11 @@ def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", u
     marked = src.join(work.table(firsts, "repeated"), "_digest", "left").select(
         "_id", "_url", "_when", "_digest", "_payload",
         F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"))
-    folder = work.folder("archives")
+    folder, runs = work.folder("archives"), work.folder("runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         fs, path = filesystem(folder)
         name = attempt_name("pages", ".warc.gz")
         out, at, places = None, 0, []
@@ -171,66 +253,97 @@ def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", u
                     member = record(kind, r["_id"], r["_url"], date, r["_digest"], r["_payload"], r["_refers"])
                     out = out or fs.open_output_stream(join_path(path, name), compression=None)
                     out.write(member)
-                    places.append((url_key(r["_url"]), r["_when"], r["_id"], kind, r["_refers"], at, len(member)))
+                    micros = (r["_when"].astimezone(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+                    places.append((url_key(r["_url"]), micros, r["_id"], kind, r["_refers"], join_path(folder, name), at, len(member), name))
                     at += len(member)
         if out is not None:
             out.close()
-            places.sort(key=_capture_order)
-            yield _captures(places, join_path(folder, name), name)
-
-    return work.table(marked.mapInArrow(run, CAPTURE), "runs")
-
-
-def _capture_order(c: tuple) -> tuple:
-    return c[0], c[1], c[2] is not None, c[2] or 0, c[5]
-
-
-def _captures(places: list[tuple], file: str, run: str) -> pa.RecordBatch:
-    cols = list(zip(*places))
-    n = len(places)
-    return pa.RecordBatch.from_arrays([
-        pa.array(cols[0], pa.string()), pa.array(cols[1], pa.timestamp("us", "UTC")), pa.array(cols[2], pa.int64()),
-        pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64()), pa.array([file] * n, pa.string()),
-        pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int32()), pa.array([run] * n, pa.string())],
-        names=[c.split()[0] for c in CAPTURE.split(", ")])
+            places.sort(key=_key)
+            written = _RunWriter(runs)
+            for place in places:
+                written.add(place)
+            yield from written.close(TaskContext.get().partitionId(), 0)
+
+    return work.table(marked.mapInArrow(run, MANIFEST), "runs")
+
+
+def _ranges(pieces: DataFrame) -> DataFrame:
+    """``group, part, lo, hi, pieces``: the ranges of every group of runs, and the
+    files that reach into each.  Only keys that the runs sampled, one for
+    ``SAMPLED`` rows, are ordered."""
+    sizes = pieces.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(RANGE_ROWS)).alias("_parts"))
+    keys = pieces.select("group", F.explode("keys").alias("k")).join(sizes, "group")
+    place = F.row_number().over(Window.partitionBy("group").orderBy("k")) - 1
+    share = F.floor(place * F.col("_parts") / F.count("*").over(Window.partitionBy("group")))
+    begins = keys.withColumn("_share", share).groupBy("group", "_share").agg(F.min("k").alias("k"))
+    by_key = Window.partitionBy("group").orderBy("k")
+    begins = begins.select("group", "k", (F.row_number().over(by_key) - 1).alias("part"))
+    ranges = begins.select("group", "part", F.when(F.col("part") > 0, F.col("k")).alias("lo"), F.lead("k").over(by_key).alias("hi"))
+    # the range in which each file begins and ends: that of the last begin up to its key
+    marks = begins.select("group", "k", F.lit(0).alias("kind"), "part", F.lit(None).cast("string").alias("file")).unionByName(
+        pieces.select("group", F.inline(F.array(F.struct(F.col("lo").alias("k"), F.lit(1).alias("kind")), F.struct(F.col("hi").alias("k"), F.lit(2).alias("kind")))), "file")
+        .withColumn("part", F.lit(None).cast("int")))
+    met = F.last("part", ignorenulls=True).over(Window.partitionBy("group").orderBy("k", "kind"))
+    reach = (marks.withColumn("_part", F.coalesce(met, F.lit(0))).filter("kind > 0").groupBy("group", "file")
+             .agg(F.min("_part").alias("_a"), F.max("_part").alias("_b")))
+    within = reach.select("group", "file", F.explode(F.sequence("_a", "_b")).alias("part")).join(pieces.select("group", "file", "run", "seq"), ["group", "file"])
+    files = within.groupBy("group", "part").agg(F.array_sort(F.collect_list(F.struct("run", "seq", "file"))).alias("pieces"))
+    return ranges.join(files, ["group", "part"])
+
+
+def _merged(row: dict) -> Iterator[tuple]:
+    """The captures of a range in order."""
+    lo, hi = (None if row[c] is None else tuple(row[c][x] for x in "uthpro") for c in ("lo", "hi"))
+    runs: dict[int, list[str]] = {}
+    for piece in row["pieces"]:
+        runs.setdefault(piece["run"], []).append(piece["file"])
+    for _, capture in LoserTree([_stretch(files, lo, hi) for files in runs.values()], lambda x: x[0]):
+        yield capture
 
 
 def merge_runs(runs: DataFrame, work: Workspace) -> DataFrame:
-    """The capture history in global order: files of the returned table follow
-    one another by key, rows in a file are sorted.  ``capture`` numbers the rows
-    of a range, ``part`` the ranges."""
-    order = [F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_first(), F.col("run"), F.col("offset")]
-    dealt = runs.repartitionByRange(*order)
-    names = runs.columns
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    """The capture history in global order: ranges follow one another by key, rows
+    in a range are sorted.  ``capture`` numbers the rows of a range, ``part`` the
+    ranges."""
+    pieces = runs
+    folder = work.folder("merged")
 
-        pieces: dict[str, list[dict]] = {}
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                pieces.setdefault(r["run"], []).append(r)
-        key = lambda r: (r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["run"], r["offset"])
-        for piece in pieces.values():
-            piece.sort(key=key)  # a piece arrives in order unless a retry re-sent it; sorted input costs one pass
-        part, held, n = TaskContext.get().partitionId(), [], 0
-        types = [f.type for f in _captures([("", _EPOCH, 0, "", 0, 0, 0)], "", "").schema]
+            for row in batch.to_pylist():
+                written = _RunWriter(folder)
+                for capture in _merged(row):
+                    written.add(capture)
+                yield from written.close(row["group"], row["part"])
 
+    def history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            cols = [pa.array([r[c] for r in held], t) for c, t in zip(names, types)]
-            return pa.RecordBatch.from_arrays(
-                [*cols, pa.array([part] * len(held), pa.int32()), pa.array(range(n, n + len(held)), pa.int64())],
-                names=[*names, "part", "capture"])
-
-        for r in LoserTree(pieces.values(), key):
-            held.append(r)
-            if len(held) == 10_000:
-                yield flush()
-                n, held = n + len(held), []
-        if held:
-            yield flush()
-
-    return work.table(dealt.mapInArrow(merge, CAPTURE + ", part int, capture long"), "captures")
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*held), _RUN_FILE)]
+            columns[1] = columns[1].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+            return pa.RecordBatch.from_arrays([*columns, pa.array([row["part"]] * len(held), pa.int32()), pa.array(range(n, n + len(held)), pa.int64())],
+                                              names=[*_RUN_FILE.names, "part", "capture"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                held, n = [], 0
+                for capture in _merged(row):
+                    held.append((capture[0], capture[1] + _EPOCH_MICROS, *capture[2:]))
+                    if len(held) == GROUP_ROWS:
+                        yield flush()
+                        n, held = n + len(held), []
+                if held:
+                    yield flush()
+
+    while (last := pieces.agg(F.max("run")).first()[0]) is not None and last >= FAN_IN:
+        grouped = work.table(_ranges(pieces.withColumn("group", F.expr(f"run div {FAN_IN}"))), "ranges")
+        pieces = work.table(_each_alone(grouped).mapInArrow(longer, MANIFEST), "runs")
+    ranges = work.table(_ranges(pieces.withColumn("group", F.lit(0).cast("long"))), "ranges")
+    return work.table(_each_alone(ranges).mapInArrow(history, CAPTURE + ", part int, capture long"), "captures")
+
+
+def _each_alone(ranges: DataFrame) -> DataFrame:
+    """As many partitions as ranges: adaptive execution would join such short rows."""
+    return ranges.repartition(max(1, ranges.count()), "group", "part")
 
 
 def read_archives(captures: DataFrame, with_payload: bool = False) -> DataFrame:

@@ -4,6 +4,9 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
+from residuum.llm import warc
 from residuum.llm.shared import filesystem
 from residuum.llm.warc import LoserTree, merge_runs, parse, read_archives, record, resolve_revisits, url_key, write_archives
 
@@ -52,6 +55,41 @@ def test_round_trip(spark, work):
     assert order == sorted(order) and len(order) == len(data)
 
 
+@pytest.mark.parametrize("fan_in,range_rows,sampled,group_rows", [(2, 7, 2, 3), (3, 10**6, 5, 4), (64, 5, 1, 2)])
+def test_merging_in_rounds_and_ranges(spark, work, monkeypatch, fan_in, range_rows, sampled, group_rows):
+    for name, value in (("FAN_IN", fan_in), ("RANGE_ROWS", range_rows), ("SAMPLED", sampled), ("GROUP_ROWS", group_rows)):
+        monkeypatch.setattr(warc, name, value)
+    data = rows() + [(400 + i, "http://same/", f"{i}" * 30) for i in range(60)] + [(None, None, "n" * 120)] * 5   # a key that most rows have
+    runs = write_archives(spark.createDataFrame(data, PAGES).repartition(9), work)
+    assert runs.count() == 9
+    captures = merge_runs(runs, work)
+    got_rows = captures.orderBy("part", "capture").collect()
+    key = lambda r: (r.url_key, r.captured, r.page_id is not None, r.page_id or 0, r.run, r.offset)
+    assert [key(r) for r in got_rows] == sorted(key(r) for r in got_rows) and len({(r.run, r.offset) for r in got_rows}) == len(data)
+    assert len({r.part for r in got_rows}) > 5 if range_rows < 100 else len({r.part for r in got_rows}) == 1
+    assert [r.capture for r in got_rows if r.part == 0] == list(range(sum(r.part == 0 for r in got_rows)))
+    assert got(resolve_revisits(work.table(read_archives(captures), "r"), work)) == expected(data)
+
+
+def test_a_merging_task_holds_a_row_group_of_each_run(spark, work, monkeypatch):
+    monkeypatch.setattr(warc, "GROUP_ROWS", 10)
+    folder = work.folder("streams")
+    files = []
+    for k in range(4):
+        out = warc._RunWriter(folder)
+        for i in range(200):
+            out.add((f"key{i:05d}", k, i, "response", None, "f", i, 1, f"run{k}"))
+        files.append(list(out.close(k, 0))[0].to_pylist()[0]["file"])
+    read = []
+    whole = warc.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(warc.pq.ParquetFile, "read_row_group", lambda self, g, **k: read.append(g) or whole(self, g, **k))
+    lo, hi = ("key00095", 0, 0, 0, "", 0), ("key00125", 0, 0, 0, "", 0)
+    merged = LoserTree([warc._stretch([f], lo, hi) for f in files], lambda x: x[0])
+    assert len(read) == 4                                   # one row group of each run so far
+    assert [k[0] for k, _ in merged] == [f"key{i:05d}" for i in range(95, 125) for _ in range(4)]
+    assert sorted(set(read)) == [9, 10, 11, 12] and len(read) == 16
+
+
 def test_archives_are_plain_gzip_members(spark, work):
     data = rows()[:20]
     captures = merge_runs(write_archives(spark.createDataFrame(data, PAGES), work), work)
