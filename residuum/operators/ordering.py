@@ -8,8 +8,9 @@ huge series spans many partitions.  They are counted inside the partition by a
 function that sees one number per row, the hash of its series; no other column
 leaves the JVM.  Only the first series of a partition can go on from an earlier
 partition: each partition's first and last series with their row counts give the
-number that its first series starts from, a frame of one row per partition that
-is joined on the partition's number.
+number that its first series starts from.  These numbers, one a partition, are one
+array constant of the expression, looked up by the partition's number, so neither
+the rows move again nor does the plan grow with the cluster.
 
 The range-partitioned frame is pinned before it is read twice: range bounds
 come from a sample and row order after a shuffle is not fixed, so two
@@ -58,9 +59,20 @@ def dense_index(df: DataFrame, order_by: list[str] | tuple[str, ...],
     own_columns = [F.col(f"`{c}`") for c in df.columns]
     numbered = materialize(placed, pin)
     local, first = F.col("_number.local"), F.col("_number.first")
-    joined = numbered.join(begins(_ends(numbered)), "_part", "left")
-    out_column = (local + F.when(first, F.coalesce("_begin", F.lit(0))).otherwise(F.lit(0))).alias(out)
-    return owns(joined.select(*own_columns, out_column), numbered)
+    base = _starting(begins(_ends(numbered)))
+    return owns(numbered.select(*own_columns, (local + F.when(first, base).otherwise(F.lit(0))).alias(out)), numbered)
+
+
+def _starting(begins: DataFrame) -> Column:
+    """The number of the first series by ``_part``; at most one row a partition
+    comes to the driver."""
+    rows = begins.collect()
+    if not rows:
+        return F.lit(0).cast("long")
+    table = np.zeros(max(r["_part"] for r in rows) + 1, np.int64)
+    for r in rows:
+        table[r["_part"]] = r["_begin"]
+    return F.coalesce(F.get(F.lit(table), F.col("_part")), F.lit(0).cast("long"))
 
 
 def _count_series(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
