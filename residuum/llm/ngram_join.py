@@ -426,11 +426,11 @@ def _members(docs: DataFrame, work: Workspace, threshold: int, size: int, id_col
 
     parts = connected_components(links.filter("a <> b").select("a", "b"), work)
     named = classes.select("node", *same, "rep", "copies").join(parts, "node", "left").join(
-        links.groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_links")), "node", "left")
-    smallest = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("_smallest"))
-    named = named.join(smallest, "component", "left").select(
-        *same, F.coalesce("component", "node").alias("member"), F.coalesce("_smallest", "rep").alias("component_id"),
-        (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        links.groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("_links")), "node", "left").withColumn("member", F.coalesce("component", "node"))
+    # classes without links keep their own number as key, so they do not meet under NULL
+    smallest = parts.join(classes.select("node", "rep"), "node").groupBy(F.col("component").alias("member")).agg(F.min("rep").alias("_smallest"))
+    named = named.join(work.table(smallest, "smallest"), "member", "left").select(
+        *same, "member", F.coalesce("_smallest", "rep").alias("component_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return each.join(named, same, "left").select("id", "t", "n", "member", "component_id", "n_links")
 
 
