@@ -527,23 +527,24 @@ COARSE = ("yr", "mon", "dom", "n_lines")
 
 def _tree(name: str, rows: str, depth: int = 5, least: int = 1) -> str:
     """A regression tree over ``rows`` (row_id, t: in training, y, x: list of
-    features), level by level: of all midpoints between neighbouring values that
-    leave ``least`` rows on either side the one that lowers the squared error most;
-    a node is split while that gains.
-    The last CTE, ``name``, has row_id and e: the mean of the training rows."""
+    features), level by level: of all midpoints between neighbouring training
+    values (CTE ``cuts``) that leave ``least`` rows of the node on either side the
+    one that lowers the squared error most (equal ones: the first feature, the
+    smallest midpoint); a node is split while that gains.  The last CTE, ``name``, has row_id and e: the mean of the training rows."""
     out, prev = [], f"(SELECT row_id, t, y, x, 1 AS node FROM {rows})"
     for k in range(depth):
         out.append(f"""{name}_h{k} AS (
   SELECT node, f, v, count(*) AS n, sum(y) AS s, sum(y * y) AS q
   FROM (SELECT node, y, unnest(range({len(COARSE)})) AS f, unnest(x) AS v FROM {prev} WHERE t) GROUP BY ALL),
 {name}_c{k} AS (
-  SELECT node, f, (v + lead(v) OVER w) / 2.0 AS threshold, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,
+  SELECT node, f, threshold, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(q) OVER w AS ql,
          sum(n) OVER a AS n, sum(s) OVER a AS s, sum(q) OVER a AS q
-  FROM {name}_h{k} WINDOW w AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
+  FROM {name}_h{k} JOIN cuts USING (f, v) WINDOW w AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
 {name}_b{k} AS (
   SELECT node, f, threshold, gain
-  FROM (SELECT *, (q - s * s / n) - (ql - sl * sl / nl) - (q - ql - (s - sl) * (s - sl) / (n - nl)) AS gain FROM {name}_c{k} WHERE threshold IS NOT NULL AND nl >= {least} AND n - nl >= {least})
-  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, threshold) = 1),
+  FROM (SELECT *, (q - s * s / n) - (ql - sl * sl / nl) - (q - ql - (s - sl) * (s - sl) / (n - nl)) AS gain, q - s * s / n AS error
+        FROM {name}_c{k} WHERE nl >= {least} AND n - nl >= {least})
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain / error, 9) DESC, f, threshold) = 1),
 {name}_r{k} AS (
   SELECT row_id, t, y, x, CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN x[b.f + 1] <= threshold THEN 0 ELSE 1 END END AS node
   FROM {prev} r LEFT JOIN {name}_b{k} b ON r.node = b.node)""")
@@ -553,7 +554,9 @@ def _tree(name: str, rows: str, depth: int = 5, least: int = 1) -> str:
     return ",\n".join(out)
 
 
-_COARSE_ROWS = f"""rows0 AS (SELECT row_id, {BUCKET} < 70 AS t, delta_e AS y, [{', '.join(f'cast({c} AS double)' for c in COARSE)}] AS x FROM d)"""
+_COARSE_ROWS = f"""rows0 AS (SELECT row_id, {BUCKET} < 70 AS t, delta_e AS y, [{', '.join(f'cast({c} AS double)' for c in COARSE)}] AS x FROM d),
+cuts AS (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2.0 AS threshold
+         FROM (SELECT DISTINCT unnest(range({len(COARSE)})) AS f, unnest(x) AS v FROM rows0 WHERE t))"""
 
 
 def _holdout_report(technique: str) -> str:
