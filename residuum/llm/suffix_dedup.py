@@ -541,10 +541,11 @@ def remove_repeats(docs: DataFrame, work: Workspace, id_col: str = "doc_id", tex
     each = work.table(src.select("_id", F.octet_length("_text").cast("long").alias("n"), F.sha2("_text", 256).alias("sha")), "documents")
     buckets = buckets or max(BUCKETS, -(-(each.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES))
     # documents with a place in the order, and the first of equal texts
-    known = each.filter("_id is not null").groupBy("_id").agg(F.min("sha").alias("sha"), F.max("sha").alias("_other"), F.max("n").alias("n"))
-    firsts = known.filter("sha = _other").groupBy("sha", "n").agg(F.min("_id").alias("first"))
+    known = work.table(each.filter("_id is not null").groupBy("_id").agg(F.min("sha").alias("sha"), F.max("sha").alias("_other"), F.max("n").alias("n")), "known")
+    # only texts that several documents have, stored: broadcast, or joined where one large group can be split
+    firsts = work.table(known.filter("sha = _other").groupBy("sha", "n").agg(F.min("_id").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "firsts")
     placed = work.table(known.withColumn("placed", F.col("sha") == F.col("_other")).join(firsts, ["sha", "n"], "left").select(
-        "_id", "placed", (F.col("placed") & (F.col("_id") > F.col("first")) & (F.col("n") >= LENGTH)).alias("copy")), "placed")
+        "_id", "placed", F.coalesce(F.col("placed") & (F.col("_id") > F.col("first")) & (F.col("n") >= LENGTH), F.lit(False)).alias("copy")), "placed")
 
     found = _grams(src.filter(F.col("_id").isNotNull() & (F.octet_length("_text") >= LENGTH)), buckets)
     found = work.table(found.groupBy("bucket").applyInArrow(_repeated(buckets, hot), REPEATED), "repeated")
