@@ -443,7 +443,7 @@ def keep_representatives(docs: DataFrame, work: Workspace, threshold: int = THRE
     and text one stays."""
     found = work.table(_members(docs, work, threshold, size, id_col, text_col, None).select("id", "t", "n", "member"), "found")
     order = F.struct(F.col("id").isNull().alias("nameless"), F.col("id"), F.col("t"))
-    first = found.filter("n > 0").groupBy("member").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    first = work.table(found.filter("n > 0").groupBy("member").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "first-of-groups")
     gone = work.table(found.join(first, "member").filter(~(F.col("id").eqNullSafe(F.col("_first.id")) & (F.col("t") == F.col("_first.t"))))
                       .select(F.col("id").alias("_gid"), F.col("t").alias("_gt")).distinct(), "gone")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"),
