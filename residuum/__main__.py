@@ -5,10 +5,12 @@
         <out_dir>/accuracy (text: the holdout RMSE line) and
         <out_dir>/predictions (parquet: row_id, label, prediction).
 
-    python -m residuum correct <technique> <calibration.csv> <out_dir>
+    python -m residuum correct <technique> <calibration.csv> <out_dir> [--observed NAME --predicted NAME]
         The whole correction of a calibration CSV (observed, predicted,
-        features by position): writes <out_dir>/report_json (text: the
-        metrics as JSON), <out_dir>/report and <out_dir>/series (parquet).
+        features by position, or the named ones): writes <out_dir>/report_json
+        (text: the metrics as JSON), <out_dir>/report_series (JSON lines: the
+        report's three lists in chunks), <out_dir>/report and <out_dir>/series
+        (parquet).
 
 On a cluster, ``spark-submit`` a driver file that calls
 ``residuum.__main__.main([...])`` (the active session is used);
@@ -22,6 +24,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .operators.materialize import release
 from .operators.models import REGISTRY
 
 
@@ -45,6 +48,8 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("technique", choices=sorted(REGISTRY))
     c.add_argument("csv")
     c.add_argument("out")
+    c.add_argument("--observed", default=None, help="name of the observed column (the first one by default)")
+    c.add_argument("--predicted", default=None, help="name of the predicted column (the second one by default)")
     args = ap.parse_args(argv)
     spark = _session()
 
@@ -60,11 +65,15 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     from .plans.correct import correct
-    from .sinks import report_json
+    from .operators.prepare import IMPROVED
+    from .sinks import report_json, report_series, write_report_series
     from .sources.readers import read_calibration
-    df, spec = read_calibration(spark, args.csv)
+    df, spec = read_calibration(spark, args.csv, observed=args.observed, predicted=args.predicted)
     res = correct(df, spec, args.technique)
     res.series.write.mode("errorifexists").parquet(_join(args.out, "series"))
+    lists = report_series(spark.read.parquet(_join(args.out, "series")), [res.spec.key], res.spec.predicted, IMPROVED, res.spec.observed)
+    write_report_series(lists, _join(args.out, "report_series"))
+    release(lists)
     res.report.write.mode("errorifexists").parquet(_join(args.out, "report"))
     doc = report_json(spark.read.parquet(_join(args.out, "report")))
     doc.coalesce(1).write.mode("errorifexists").text(_join(args.out, "report_json"))

@@ -52,3 +52,11 @@ def test_cli_fit_and_correct(spark, libsvm_path, tmp_out):
     assert main(["correct", "glr", csv, out2]) == 0
     doc = json.loads(spark.read.text(os.path.join(out2, "report_json")).first().value)
     assert doc["improved_rmse"] < doc["original_rmse"]
+    lists = [json.loads(r.value) for r in spark.read.text(os.path.join(out2, "report_series")).collect()]
+    assert sum(len(x["improved_p_list"]) for x in lists) == cal.count() == sum(len(x["o_list"]) for x in lists)
+
+    swapped = os.path.join(tmp_out, "swapped.csv")
+    cal.select("predicted", "observed", *CALIBRATION_FEATURES).coalesce(1).write.option("header", True).csv(swapped)
+    out3 = os.path.join(tmp_out, "named")
+    assert main(["correct", "glr", swapped, out3, "--observed", "observed", "--predicted", "predicted"]) == 0
+    assert json.loads(spark.read.text(os.path.join(out3, "report_json")).first().value)["original_rmse"] == pytest.approx(doc["original_rmse"])
